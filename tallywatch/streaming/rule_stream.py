@@ -1,0 +1,134 @@
+"""The failure rule on a stream of events.
+
+Each micro-batch runs the batch operator over the new rows plus what the rule
+must remember: per user the last ``threshold - 1`` counted rows. Rows wait
+until the watermark has passed them, so order across micro-batches does not
+matter within the allowed delay; later ones go to a side table. A busy user is
+split like in the batch rule. Everything a batch writes is named by its number,
+so a repeated batch writes the same again.
+
+The order column must not run against the time column.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tallywatch.functions.columns import as_number, c
+from tallywatch.operators.labels import update_label
+from tallywatch.operators.quantiles import approx_quantiles
+from tallywatch.operators.sequence import SequenceRule, flag_failures
+from tallywatch.session import delete, scratch_path
+
+
+def start(
+    stream: DataFrame,
+    rule: SequenceRule,
+    time: str,
+    folder: str,
+    delay_seconds: float = 600,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Write the flagged rows' ``key, order`` to ``folder``/flags, batch by batch."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        _advance(batch, number, rule, time, folder, delay_seconds)
+
+    return (
+        stream.writeStream.foreachBatch(run)
+        .option("checkpointLocation", folder + "/checkpoint")
+        .trigger(**(trigger or {"processingTime": "1 minute"}))
+        .start()
+    )
+
+
+def _memory(spark: SparkSession, folder: str, number: int) -> tuple[DataFrame, float] | None:
+    """Remembered and waiting rows after batch ``number``, and its watermark."""
+    if number < 0:
+        return None
+    clock = spark.read.parquet(f"{folder}/clock/{number}").first()["clock"]
+    return spark.read.parquet(f"{folder}/memory/{number}"), clock
+
+
+def _flags(rows: DataFrame, rule: SequenceRule) -> DataFrame:
+    """Flagged rows among the new ones; remembered rows only give the look-back."""
+    flagged = flag_failures(rows.select(c(rule.key), c(rule.order), c(rule.event), "_new"), rule)
+    return flagged.filter("label = 1 and _new").select(c(rule.key), c(rule.order))
+
+
+def _advance(
+    batch: DataFrame, number: int, rule: SequenceRule, time: str, folder: str, delay: float
+) -> None:
+    spark = batch.sparkSession
+    rows = (
+        batch.filter(rule.counted())
+        .select(c(rule.key), c(rule.order), c(rule.event), as_number(batch, time).alias("_time"))
+        .withColumn("_new", F.lit(True))
+        .persist()
+    )
+    try:
+        clock = rows.agg(F.max("_time")).first()[0]
+        clock = float("-inf") if clock is None else clock - delay
+        known = _memory(spark, folder, number - 1)
+        pool = rows
+        if known is not None:
+            memory, before = known
+            late = F.col("_time") < before
+            rows.filter(late).write.mode("overwrite").parquet(f"{folder}/late/{number}")
+            pool = rows.filter(~late).unionByName(memory)
+            clock = max(clock, before)
+        ready = pool.filter(~F.col("_new") | (F.col("_time") < clock))
+        _flags(ready, rule).write.mode("overwrite").parquet(f"{folder}/flags/batch={number}")
+
+        latest = Window.partitionBy(c(rule.key)).orderBy(c(rule.order).desc())
+        carry = (
+            ready.withColumn("_place", F.row_number().over(latest))
+            .filter(F.col("_place") < rule.threshold)
+            .drop("_place")
+            .withColumn("_new", F.lit(False))
+        )
+        waiting = pool.filter(F.col("_new") & (F.col("_time") >= clock))
+        carry.unionByName(waiting).write.mode("overwrite").parquet(f"{folder}/memory/{number}")
+        spark.range(1).select(F.lit(clock).alias("clock")).write.mode("overwrite").parquet(
+            f"{folder}/clock/{number}"
+        )
+        if number > 1:
+            delete(spark, f"{folder}/memory/{number - 2}")
+    finally:
+        rows.unpersist()
+
+
+def drain(spark: SparkSession, rule: SequenceRule, folder: str, last: int) -> None:
+    """After the stream's end, flag what still waits for the watermark."""
+    known = _memory(spark, folder, last)
+    if known is not None:
+        _flags(known[0], rule).write.mode("overwrite").parquet(f"{folder}/flags/batch={last + 1}")
+
+
+def flags(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/flags").drop("batch")
+
+
+def replay(
+    df: DataFrame, rule: SequenceRule, time: str, batches: int = 3, delay_seconds: float = 600
+) -> DataFrame:
+    """Feed a table through the stream in time order, ``batches`` micro-batches,
+    and return it with the stream's labels."""
+    spark = df.sparkSession
+    folder = scratch_path(spark, "replay")
+    clock: Column = as_number(df, time)
+    probabilities = [i / batches for i in range(1, batches)]
+    numbered = df.withColumn("_clock", clock)
+    cuts = approx_quantiles(numbered, ["_clock"], probabilities, 0.001).get("_clock", [])
+    inf = float("inf")
+    for low, high in zip([-inf, *cuts], [*cuts, inf]):
+        part = numbered.filter((F.col("_clock") >= low) & (F.col("_clock") < high))
+        part.drop("_clock").coalesce(1).write.mode("append").parquet(folder + "/input")
+    source = (
+        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/input")
+    )
+    query = start(source, rule, time, folder, delay_seconds, {"availableNow": True})
+    query.awaitTermination()
+    drain(spark, rule, folder, query.lastProgress["batchId"])
+    return update_label(df.withColumn("label", F.lit(0)), flags(spark, folder), rule.order)
