@@ -1,8 +1,8 @@
 """Global order without a global task: dense ids and running totals.
 
-Rows are cut into ordered buckets whose bounds come from a quantile sketch. The
-bucket is a plain expression of the row, so a lost task recomputes to the same
-result, and work inside a bucket is added to the totals of the buckets before.
+Rows are cut into ordered buckets whose bounds come from a sample. The bucket is
+a plain expression of the row, so a lost task recomputes to the same result, and
+work inside a bucket is added to the totals of the buckets before.
 The only data in a single task are those totals, one row per bucket.
 """
 
@@ -14,6 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywatch.functions.columns import as_number, c
+from tallywatch.operators.quantiles import SAMPLE, grid
 from tallywatch.session import stage
 
 MAX_BUCKETS = 2000
@@ -24,8 +25,10 @@ def _cut(df: DataFrame, lead: str) -> tuple[DataFrame, list[float]]:
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2, min(wanted, MAX_BUCKETS))
     number = df.withColumn("_lead", as_number(df, lead))
-    grid = [i / buckets for i in range(1, buckets)]
-    found = number.agg(F.percentile_approx("_lead", grid, 20 * buckets)).first()[0] or []
+    rows = df.count()
+    drawn = number if rows <= SAMPLE else number.sample(SAMPLE / rows, seed=7)
+    bounds = F.percentile_approx("_lead", grid(buckets), 20 * buckets)
+    found = drawn.agg(bounds).first()[0] or []
     seen = Counter(v for v in found if v == v)
     # NaN is kept as the highest bucket, null as the lowest.
     splits = [-float("inf"), *sorted(v for v in seen if abs(v) != float("inf")), float("inf")]

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import sys
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.functions.columns import c
 
 # Values still in question are sorted in one task only below this count.
 SORT_LIMIT = 50_000
-GRID = 500
-GRID_ACCURACY = 10_000
+# Rows a bound is guessed from.
+SAMPLE = 1_000_000
+ACCURACY = 1000
+
+
+def grid(parts: int) -> Column:
+    """The inner probabilities i / ``parts``, as one constant."""
+    return F.expr("array(" + ", ".join(f"{i / parts!r}D" for i in range(1, parts)) + ")")
 
 
 def _value(df: DataFrame, name: str) -> Column:
@@ -49,81 +58,152 @@ def exact_quantiles(
 ) -> dict[str, list]:
     """The value at rank ``ceil(p * n)`` (1 at least) of each column.
 
-    Every pass is one map-side combined aggregate over all columns that counts
-    the rows below and inside an open bracket and sketches the inside, which
-    narrows the bracket about ``GRID``-fold. Few enough values are sorted.
+    A quantile is enclosed by two values guessed from a sample, and the rows
+    below, between and above them are counted, so a bad guess costs a round but
+    never the result. Every round cuts what is left to under a hundredth; few
+    enough values are sorted. All columns share the passes. Whole numbers beyond
+    2 ** 53 are compared as doubles.
     """
-    targets = {(n, p): _Bracket() for n in columns for p in probabilities}
-    while todo := [k for k, b in targets.items() if not b.done]:
-        aggregates = []
-        for i, (name, _) in enumerate(todo):
-            aggregates += targets[todo[i]].aggregates(_value(df, name), str(i))
-        row = df.agg(*aggregates).first().asDict()
-        for i, (name, p) in enumerate(todo):
-            targets[name, p].narrow(row, str(i), p)
-    return {
-        n: [targets[n, p].answer for p in probabilities]
+    values = {n: _value(df, n) for n in columns}
+    counts = df.agg(*[F.count(v).alias(n) for n, v in values.items()]).first()
+    searches = [
+        _Search(n, p, counts[n], max(1, math.ceil(p * counts[n])))
         for n in columns
-        if all(targets[n, p].answer is not None for p in probabilities)
-    }
-
-
-class _Bracket:
-    """Open interval (low, high) known to hold one quantile, or its end points."""
-
-    def __init__(self) -> None:
-        self.low = self.high = self.rank = self.answer = None
-        self.few = False
-        self.done = False
-
-    def aggregates(self, value: Column, tag: str) -> list[Column]:
-        inside = value.isNotNull()
-        if self.low is not None:
-            inside &= (value > self.low) & (value < self.high)
-        held = F.when(inside, value)
-        if self.few:
-            pick = F.element_at(F.sort_array(F.collect_list(held)), F.lit(self.rank))
-            return [pick.alias("pick" + tag)]
-        result = [
-            F.count(held).alias("inside" + tag),
-            F.percentile_approx(
-                held, [g / GRID for g in range(GRID + 1)], GRID_ACCURACY
-            ).alias("grid" + tag),
-        ]
+        if counts[n]
+        for p in probabilities
+    ]
+    while wide := [s for s in searches if s.answer is None and s.size > SORT_LIMIT]:
+        _enclose(df, values, wide)
+        below, equal = _count_bounds(df, values, wide)
+        for s in wide:
+            s.narrow(below, equal)
+    if narrow := [s for s in searches if s.answer is None]:
+        near = df.filter(_any(s.inside(values) for s in narrow))
+        picked = near.agg(*[s.pick(values).alias(str(i)) for i, s in enumerate(narrow)]).first()
+        for i, s in enumerate(narrow):
+            s.answer = picked[i]
+    found: dict[str, list] = {}
+    for s in searches:
+        found.setdefault(s.column, []).append(s.answer)
+    return found
+
+
+def _any(conditions) -> Column:
+    return functools.reduce(lambda x, y: x | y, conditions)
+
+
+class _Search:
+    """The value of one rank, known to lie in an open interval of ``size`` rows."""
+
+    def __init__(self, column: str, probability: float, size: int, rank: int) -> None:
+        self.column, self.probability, self.size, self.rank = column, probability, size, rank
+        self.low = self.high = self.answer = None
+        self.before = 0
+        self.bounds: tuple = ()
+
+    def inside(self, values: dict[str, Column]) -> Column:
+        value = values[self.column]
+        condition = value.isNotNull()
         if self.low is not None:
-            for at, bound in (("low", self.low), ("high", self.high)):
-                result.append(F.count_if(value < bound).alias(f"below_{at}{tag}"))
-                result.append(F.count_if(value == bound).alias(f"at_{at}{tag}"))
-        return result
-
-    def narrow(self, row: dict, tag: str, p: float) -> None:
-        if self.few:
-            self.answer, self.done = row["pick" + tag], True
-            return
-        inside = row["inside" + tag]
-        if self.low is None:
-            if inside == 0:
-                self.done = True
+            condition &= value > self.low
+        if self.high is not None:
+            condition &= value < self.high
+        return condition
+
+    def around(self) -> list[float]:
+        """Where in the interval to look; wide enough for a sample's error."""
+        margin = 2 / ACCURACY + (3 / math.sqrt(SAMPLE) if self.size > SAMPLE else 0)
+        at = (self.rank - self.before) / self.size
+        return [max(0.0, at - margin), min(1.0, at + margin)]
+
+    def narrow(self, below: dict, equal: dict) -> None:
+        """Use the counts of rows below and equal to each bound."""
+        for bound in self.bounds:
+            under = below[self.column, bound]
+            if self.rank <= under:
+                self.high = bound
+                self.size = under - self.before
                 return
-            self.rank = max(1, math.ceil(p * inside))
-            within = self.rank
-        else:
-            start = row["below_low" + tag] + row["at_low" + tag]
-            if self.rank <= start:
-                self.answer, self.done = self.low, True
+            upto = under + equal[self.column, bound]
+            if self.rank <= upto:
+                self.answer = bound
                 return
-            if self.rank > row["below_high" + tag]:
-                self.answer, self.done = self.high, True
-                return
-            within = self.rank - start
-        if inside <= SORT_LIMIT:
-            self.rank, self.few = within, True
-            return
-        grid = row["grid" + tag]
-        at = within / inside * GRID
-        slack = 1 + GRID * 2 / GRID_ACCURACY
-        self.low = grid[max(0, math.floor(at - slack))]
-        self.high = grid[min(GRID, math.ceil(at + slack))]
+            self.size -= upto - self.before
+            self.low, self.before = bound, upto
+
+    def pick(self, values: dict[str, Column]) -> Column:
+        held = F.collect_list(F.when(self.inside(values), values[self.column]))
+        return F.element_at(F.sort_array(held), F.lit(self.rank - self.before))
+
+
+def _enclose(df: DataFrame, values: dict[str, Column], searches: list[_Search]) -> None:
+    """Guess two bounds for every search; searches in one interval share a sketch."""
+    near = df.filter(_any(s.inside(values) for s in searches))
+    largest = max(s.size for s in searches)
+    if largest > SAMPLE:
+        near = near.sample(SAMPLE / largest, seed=7)
+    shared: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        shared.setdefault((s.column, s.low, s.high), []).append(s)
+    sketches = []
+    for i, group in enumerate(shared.values()):
+        held = F.when(group[0].inside(values), values[group[0].column])
+        points = [p for s in group for p in s.around()]
+        sketches.append(F.percentile_approx(held, points, ACCURACY).alias(str(i)))
+    row = near.agg(*sketches).first()
+    for i, group in enumerate(shared.values()):
+        for j, s in enumerate(group):
+            # A sample may miss a small interval; the next round draws again.
+            s.bounds = tuple(sorted(set(row[i][2 * j : 2 * j + 2]))) if row[i] else ()
+
+
+def _count_bounds(
+    df: DataFrame, values: dict[str, Column], searches: list[_Search]
+) -> tuple[dict, dict]:
+    """Rows below and equal to every bound, from one grouped count.
+
+    Every bound opens two buckets: the one of just itself, which ends at the
+    next double, and the one after it.
+    """
+    inf = float("inf")
+    bounds: dict[str, list] = {}
+    for s in searches:
+        bounds[s.column] = sorted({*bounds.get(s.column, []), *s.bounds})
+    names = list(bounds)
+    splits = []
+    for name in names:
+        starts = {float(b) for b in bounds[name]}
+        starts |= {math.nextafter(b, inf) for b in starts} | {-inf, inf, -sys.float_info.max}
+        starts |= {sys.float_info.max}
+        splits.append(sorted(starts))
+    # Adding 0 turns -0.0 into 0.0, which a binary search tells apart.
+    numbers = df.select(
+        *[(values[n].cast("double") + 0.0).alias(f"v{i}") for i, n in enumerate(names)]
+    )
+    placed = Bucketizer(
+        inputCols=numbers.columns,
+        outputCols=[f"p{i}" for i in range(len(names))],
+        splitsArray=splits,
+        handleInvalid="keep",
+    ).transform(numbers)
+    pairs = [
+        F.struct(F.lit(i).alias("i"), F.col(f"p{i}").cast("int").alias("place"))
+        for i in range(len(names))
+    ]
+    rows = placed.select(F.inline(F.array(*pairs))).groupBy("i", "place").count().collect()
+    below, equal = {}, {}
+    for i, name in enumerate(names):
+        found = {
+            splits[i][r["place"]]: r["count"]
+            for r in rows
+            if r["i"] == i and r["place"] is not None and r["place"] < len(splits[i]) - 1
+        }
+        for b in bounds[name]:
+            # Infinity shares its bucket with the largest double.
+            at = min(float(b), sys.float_info.max)
+            below[name, b] = sum(k for start, k in found.items() if start < at)
+            equal[name, b] = found.get(at, 0)
+    return below, equal
 
 
 def quantile_table(

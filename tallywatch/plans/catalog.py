@@ -1038,7 +1038,11 @@ def fit_forest(spark, folder):
 
 @query()
 def fit_svm(spark, folder):
-    return model.fit_svm(_training(spark, folder)).select("event_id", "label", "prediction")
+    """Trained on balanced rows, since flags are rare, and applied to all."""
+    rows = _training(spark, folder)
+    even = balancing.balance(rows, "label", "event_id", 1.0)
+    scored = model.fit(even, model.svm()).transform(rows)
+    return scored.select("event_id", "label", "prediction")
 
 
 @query()

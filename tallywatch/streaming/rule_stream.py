@@ -3,7 +3,7 @@
 Each micro-batch runs the batch operator over the new rows plus what the rule
 must remember: per user the last ``threshold - 1`` counted rows. Rows wait
 until the watermark has passed them, so order across micro-batches does not
-matter within the allowed delay; later ones go to a side table. A busy user is
+matter within the allowed delay; later ones are set aside. A busy user is
 split like in the batch rule. Everything a batch writes is named by its number,
 so a repeated batch writes the same again.
 
@@ -30,7 +30,7 @@ def start(
     delay_seconds: float = 600,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Write the flagged rows' ``key, order`` to ``folder``/flags, batch by batch."""
+    """Write flagged and late rows to ``folder``, batch by batch."""
 
     def run(batch: DataFrame, number: int) -> None:
         _advance(batch, number, rule, time, folder, delay_seconds)
@@ -43,23 +43,19 @@ def start(
     )
 
 
-def _memory(spark: SparkSession, folder: str, number: int) -> tuple[DataFrame, float] | None:
-    """Remembered and waiting rows after batch ``number``, and its watermark."""
-    if number < 0:
-        return None
-    clock = spark.read.parquet(f"{folder}/clock/{number}").first()["clock"]
-    return spark.read.parquet(f"{folder}/memory/{number}"), clock
+def _path(folder: str, number: int, kind: str = "") -> str:
+    return f"{folder}/output/batch={number}" + (f"/kind={kind}" if kind else "")
 
 
 def _flags(rows: DataFrame, rule: SequenceRule) -> DataFrame:
     """Flagged rows among the new ones; remembered rows only give the look-back."""
-    flagged = flag_failures(rows.select(c(rule.key), c(rule.order), c(rule.event), "_new"), rule)
-    return flagged.filter("label = 1 and _new").select(c(rule.key), c(rule.order))
+    return flag_failures(rows, rule).filter("label = 1 and _new").drop("label")
 
 
 def _advance(
     batch: DataFrame, number: int, rule: SequenceRule, time: str, folder: str, delay: float
 ) -> None:
+    """One write per micro-batch: flags, late rows, memory and watermark together."""
     spark = batch.sparkSession
     rows = (
         batch.filter(rule.counted())
@@ -68,19 +64,17 @@ def _advance(
         .persist()
     )
     try:
-        clock = rows.agg(F.max("_time")).first()[0]
-        clock = float("-inf") if clock is None else clock - delay
-        known = _memory(spark, folder, number - 1)
-        pool = rows
-        if known is not None:
-            memory, before = known
-            late = F.col("_time") < before
-            rows.filter(late).write.mode("overwrite").parquet(f"{folder}/late/{number}")
-            pool = rows.filter(~late).unionByName(memory)
+        newest = rows.agg(F.max("_time")).first()[0]
+        clock = float("-inf") if newest is None else newest - delay
+        pool, late = rows, rows.limit(0)
+        if number > 0:
+            before = spark.read.parquet(_path(folder, number - 1, "clock")).first()["_time"]
             clock = max(clock, before)
+            late = rows.filter(F.col("_time") < before)
+            memory = spark.read.schema(rows.schema).parquet(_path(folder, number - 1, "memory"))
+            pool = rows.filter(F.col("_time") >= before).unionByName(memory)
         ready = pool.filter(~F.col("_new") | (F.col("_time") < clock))
-        _flags(ready, rule).write.mode("overwrite").parquet(f"{folder}/flags/batch={number}")
-
+        waiting = pool.filter(F.col("_new") & (F.col("_time") >= clock))
         latest = Window.partitionBy(c(rule.key)).orderBy(c(rule.order).desc())
         carry = (
             ready.withColumn("_place", F.row_number().over(latest))
@@ -88,26 +82,47 @@ def _advance(
             .drop("_place")
             .withColumn("_new", F.lit(False))
         )
-        waiting = pool.filter(F.col("_new") & (F.col("_time") >= clock))
-        carry.unionByName(waiting).write.mode("overwrite").parquet(f"{folder}/memory/{number}")
-        spark.range(1).select(F.lit(clock).alias("clock")).write.mode("overwrite").parquet(
-            f"{folder}/clock/{number}"
-        )
+        tick = spark.createDataFrame([(clock,)], "_time double")
+        # An empty kind still needs its folder, hence a row without order value.
+        blank = tick.select(F.lit(None).cast("double").alias("_time"))
+        parts = {
+            "flags": _flags(ready, rule),
+            "late": late,
+            "memory": carry.unionByName(waiting).unionByName(blank, allowMissingColumns=True),
+            "clock": tick,
+        }
+        output = None
+        for kind, part in parts.items():
+            part = part.withColumn("kind", F.lit(kind))
+            output = (
+                part if output is None else output.unionByName(part, allowMissingColumns=True)
+            )
+        output.write.mode("overwrite").partitionBy("kind").parquet(_path(folder, number))
         if number > 1:
-            delete(spark, f"{folder}/memory/{number - 2}")
+            delete(spark, _path(folder, number - 2, "memory"))
     finally:
         rows.unpersist()
 
 
 def drain(spark: SparkSession, rule: SequenceRule, folder: str, last: int) -> None:
     """After the stream's end, flag what still waits for the watermark."""
-    known = _memory(spark, folder, last)
-    if known is not None:
-        _flags(known[0], rule).write.mode("overwrite").parquet(f"{folder}/flags/batch={last + 1}")
+    memory = spark.read.parquet(_path(folder, last, "memory"))
+    _flags(memory, rule).write.mode("overwrite").parquet(_path(folder, last + 1, "flags"))
+
+
+def _kind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    output = spark.read.option("basePath", folder + "/output").parquet(folder + "/output")
+    return output.filter(F.col("kind") == kind).drop("batch", "kind", "_new")
 
 
 def flags(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/flags").drop("batch")
+    """Every row flagged so far."""
+    return _kind(spark, folder, "flags")
+
+
+def late(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that came after the watermark had passed them; they were not judged."""
+    return _kind(spark, folder, "late")
 
 
 def replay(
