@@ -30,12 +30,13 @@ HEAD_CHARS = 512
 class LabelEncoder:
     """String values numbered by falling frequency, ties in alphabetical order.
 
-    ``table`` holds ``column, value, index``; ``sizes`` the number of distinct
-    values. Nulls and unseen values get the number after the last.
+    ``table`` holds ``column, value, index``; ``sizes`` per column the number of
+    distinct values and the length of the longest. Nulls and unseen values get
+    the number after the last.
     """
 
     table: DataFrame
-    sizes: dict[str, int]
+    sizes: dict[str, tuple[int, int]]
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str] | None = None) -> LabelEncoder:
@@ -51,35 +52,41 @@ class LabelEncoder:
             .agg(F.count(F.lit(1)).alias("n"))
         )
         counts = stage(counts, "label-counts")
-        sizes = {r[0]: r[1] for r in counts.groupBy("column").count().collect()}
+        measured = counts.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.length("value")).alias("longest")
+        )
+        sizes = {n: (0, 0) for n in columns}
+        sizes.update({r["column"]: (r["n"], r["longest"]) for r in measured.collect()})
         order = [F.col("column"), F.desc("n"), F.col("value")]
-        if sum(sizes.values()) <= RANK_LIMIT:
+        if sum(n for n, _ in sizes.values()) <= RANK_LIMIT:
             place = F.row_number().over(Window.partitionBy("column").orderBy(*order[1:])) - 1
             table = counts.withColumn("index", place.cast("double"))
         else:
             start, shift = 0, F.lit(0)
             for name in sorted(sizes):
                 shift = F.when(F.col("column") == name, start).otherwise(shift)
-                start += sizes[name]
+                start += sizes[name][0]
             table = ranked(counts, order, "_all").withColumn(
                 "index", (F.col("_all") - shift).cast("double")
             )
         table = stage(table.select("column", "value", "index"), "label-index")
-        return cls(table, {n: sizes.get(n, 0) for n in columns})
+        return cls(table, sizes)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Replace each fitted column by its index.
+        """Replace each fitted column that ``df`` has by its index.
 
         The most frequent values are looked up in a broadcast of at most
         ``HEAD`` rows. What is left has no frequent value, so the shuffle join
         against the tail of the table does not skew.
         """
         columns = df.columns
-        for name, size in self.sizes.items():
-            df = self._encode(df, name, size)
+        for name in self.sizes:
+            if name in columns:
+                df = self._encode(df, name)
         return df.select(*[c(n) for n in columns])
 
-    def _encode(self, df: DataFrame, name: str, size: int) -> DataFrame:
+    def _encode(self, df: DataFrame, name: str) -> DataFrame:
+        size, longest = self.sizes[name]
         codes = self.table.filter(F.col("column") == name).select(
             F.col("value").alias("_value"), F.col("index").alias("_index")
         )
@@ -88,9 +95,7 @@ class LabelEncoder:
         unknown = F.lit(float(size))
         index = F.coalesce(F.col("_index"), unknown).alias(name)
         kept = [index if n == name else c(n) for n in df.columns]
-        if size <= HEAD and self.table.filter(
-            (F.col("column") == name) & (F.length("value") > HEAD_CHARS)
-        ).isEmpty():
+        if size <= HEAD and longest <= HEAD_CHARS:
             return joined.select(*kept)
         settled = F.col("_index").isNotNull() | c(name).isNull()
         rest = joined.filter(~settled).drop("_value", "_index")
@@ -100,14 +105,15 @@ class LabelEncoder:
     def save(self, path: str) -> None:
         self.table.write.mode("overwrite").parquet(path + "/table")
         sizes = self.table.sparkSession.createDataFrame(
-            list(self.sizes.items()), "column string, size int"
+            [(name, *size) for name, size in self.sizes.items()],
+            "column string, size int, longest int",
         )
         sizes.coalesce(1).write.mode("overwrite").parquet(path + "/sizes")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LabelEncoder:
         sizes = spark.read.parquet(path + "/sizes").collect()
-        return cls(spark.read.parquet(path + "/table"), {r["column"]: r["size"] for r in sizes})
+        return cls(spark.read.parquet(path + "/table"), {r[0]: (r[1], r[2]) for r in sizes})
 
 
 def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

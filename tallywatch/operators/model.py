@@ -8,8 +8,10 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomFores
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 
+from tallywatch.functions.columns import c
 from tallywatch.operators.metrics import threshold_prediction
 from tallywatch.operators.reports import class_distribution
+from tallywatch.session import stage
 
 # Columns MLlib adds beside the prediction.
 MODEL_COLUMNS = ("rawPrediction", "probability", "features")
@@ -34,9 +36,14 @@ def svm(label: str = "label", features: str = "features") -> Estimator:
 
 
 def fit(df: DataFrame, estimator: Estimator) -> PipelineModel:
-    """Train on ``df``. The trainers keep their own compact copy of the features
-    between iterations, so ``df`` itself is not cached."""
-    return Pipeline(stages=[estimator]).fit(df)
+    """Train on the label and features of ``df``.
+
+    They are staged first: a trainer passes over its rows many times, and both
+    its tasks and the recovery of a lost executor should start from files.
+    """
+    columns = (estimator.getLabelCol(), estimator.getFeaturesCol())
+    rows = stage(df.select(*map(c, columns)), "training", even=True)
+    return Pipeline(stages=[estimator]).fit(rows)
 
 
 def score_linear(model: PipelineModel, df: DataFrame, at: float = 0.8) -> DataFrame:

@@ -17,12 +17,13 @@ from tallywatch.functions.columns import as_number, c
 from tallywatch.operators.quantiles import SAMPLE, grid
 from tallywatch.session import stage
 
-MAX_BUCKETS = 2000
+MAX_BUCKETS = 4000
 
 
 def _cut(df: DataFrame, lead: str) -> tuple[DataFrame, list[float]]:
     """Add ``_lead`` and ``_bucket``; also the values too frequent for one bucket."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Several buckets per task, so that hashing spreads them evenly.
+    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2, min(wanted, MAX_BUCKETS))
     number = df.withColumn("_lead", as_number(df, lead))
     rows = df.count()
@@ -50,28 +51,28 @@ def _before(totals: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
 
 
 def dense_id(
-    df: DataFrame, lead: str, tie: str, name: str = "id", span: int = 1 << 22
+    df: DataFrame, lead: str, tie: str, name: str = "id", span_bits: int = 22
 ) -> DataFrame:
     """Number the rows 1, 2, ... by (``lead``, ``tie``), nulls of ``lead`` first.
 
     ``tie`` is an integer column, unique among rows of equal ``lead``. A value
-    of ``lead`` that fills more than a bucket is cut along ``tie`` by ``span``.
+    of ``lead`` that fills more than a bucket is cut along ``tie`` into pieces of
+    at most ``2 ** span_bits`` rows.
     """
     cut, frequent = _cut(df, lead)
     alone = F.col("_lead").isNull()
     if frequent:
         alone |= F.col("_lead").isin(frequent)
     last = F.lit((1 << 63) - 1)
-    cut = cut.withColumn(
-        "_part", F.when(alone, F.floor(c(tie) / F.lit(span)).cast("bigint")).otherwise(last)
-    )
+    piece = F.shiftright(c(tie).cast("bigint"), span_bits)
+    cut = cut.withColumn("_part", F.when(alone, piece).otherwise(last))
     totals = cut.groupBy("_bucket", "_part").agg(F.count(F.lit(1)).alias("rows"))
     # One row per bucket and span of ``tie``: small however large the table.
     before = F.broadcast(_before(totals, ["_bucket", "_part"], ["rows"]))
     place = F.row_number().over(Window.partitionBy("_bucket", "_part").orderBy(c(lead), c(tie)))
     return (
         cut.withColumn("_place", place)
-        .join(before, ["_bucket", "_part"])
+        .join(before, ["_bucket", "_part"], "left")
         .select(
             (F.col("_before_rows") + F.col("_place")).cast("bigint").alias(name),
             *[c(n) for n in df.columns],
@@ -92,7 +93,7 @@ def running_totals(
     value = -F.col("_key") if descending else F.col("_key")
     return (
         groups.select("*", *[F.sum(n).over(upto).alias("_upto_" + n) for n in sums])
-        .join(before, "_bucket")
+        .join(before, "_bucket", "left")
         .select(
             value.alias(order),
             *sums,

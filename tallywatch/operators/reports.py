@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.functions.columns import c, quantitative_columns, unpivot
+from tallywatch.functions.columns import c, quantitative_columns, string_columns, unpivot
 from tallywatch.operators.sequence import SequenceRule
 
 
@@ -41,6 +41,16 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return unpivot(df.agg(*aggregates), columns, {s: "_" + s for s in ("count", *stats)})
 
 
+def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``column, count, min, max`` of string columns."""
+    columns = list(columns) if columns is not None else string_columns(df)
+    stats = {"count": F.count, "min": F.min, "max": F.max}
+    aggregates = [
+        f(c(name)).alias(f"{i}_{stat}") for i, name in enumerate(columns) for stat, f in stats.items()
+    ]
+    return unpivot(df.agg(*aggregates), columns, {s: "_" + s for s in stats})
+
+
 def prediction_counts(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     """One row: ``normal`` predictions of 0 and ``anomaly`` predictions of 1."""
     return df.agg(

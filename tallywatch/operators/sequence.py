@@ -6,9 +6,9 @@ failure qualifies exactly when the ``threshold - 1`` such events before it were
 failures too. So the rule needs a look-back of fixed length, not a running
 count, and it can be cut into pieces:
 
-1. rows are grouped by (user, segment), a segment being a fixed span of the
-   order column. As order values are unique, no group exceeds the span, however
-   many rows one user has;
+1. rows are grouped by (user, segment), a segment being ``2 ** span_bits``
+   consecutive values of the order column. As order values are unique, no group
+   holds more rows than that, however many one user has;
 2. the first ``threshold - 1`` rows of a group need rows of earlier segments.
    Those heads, and the last ``threshold - 1`` rows of every group, meet in a
    second, far smaller grouping by user alone.
@@ -29,8 +29,8 @@ from tallywatch.functions.columns import c
 class SequenceRule:
     """``threshold`` failures of one ``key`` in a row, in ``order``.
 
-    ``order`` must be a unique integer column. ``span`` bounds the rows of one
-    user that a single task sorts.
+    ``order`` must be a unique integer column. ``2 ** span_bits`` bounds the rows
+    of one user that a single task sorts.
     """
 
     # The rule's title, the log's column names and task names.
@@ -41,11 +41,11 @@ class SequenceRule:
     fail: str = "LoginFailure"
     reset: str = "LogOn"
     threshold: int = 3
-    span: int = 1 << 26
+    span_bits: int = 26
 
     def __post_init__(self) -> None:
-        if self.threshold < 1 or self.span < 1:
-            raise ValueError("threshold and span must be at least 1")
+        if self.threshold < 1 or not 0 <= self.span_bits < 63:
+            raise ValueError("threshold must be at least 1 and span_bits from 0 to 62")
 
     def failed(self) -> Column:
         return c(self.event).eqNullSafe(self.fail)
@@ -55,7 +55,7 @@ class SequenceRule:
         return c(self.event).isin(self.fail, self.reset)
 
     def segment(self) -> Column:
-        return F.floor(c(self.order) / F.lit(self.span))
+        return F.shiftright(c(self.order).cast("bigint"), self.span_bits)
 
 
 def flag_failures(df: DataFrame, rule: SequenceRule) -> DataFrame:

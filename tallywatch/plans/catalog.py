@@ -110,7 +110,7 @@ def consecutive_failures_(spark, folder):
 def consecutive_failures_segmented(spark, folder):
     """The rule with short segments, as a long log or a busy user would have."""
     rule = SequenceRule(
-        key="user_id", order="event_id", event="event_type", fail="error", reset="purchase", span=256
+        key="user_id", order="event_id", event="event_type", fail="error", reset="purchase", span_bits=8
     )
     logins = load(spark, folder, "events").select("event_id", "user_id", "event_type")
     return consecutive_failures(logins, rule)
@@ -380,6 +380,19 @@ def describe(spark, folder):
     return rounded(reports.describe(lines), 4, "mean", "stddev")
 
 
+@query(
+    " UNION ALL ".join(
+        f"""
+        SELECT '{n}' AS "column", CAST(COUNT({n}) AS BIGINT) AS "count",
+               MIN({n}) AS "min", MAX({n}) AS "max" FROM customer
+        """
+        for n in ("c_name", "c_mktsegment")
+    )
+)
+def describe_text(spark, folder):
+    return reports.describe_text(load(spark, folder, "customer"))
+
+
 PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
 
 

@@ -7,8 +7,9 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallywatch.functions.columns import c, string_columns
 from tallywatch.operators import clean, encode, model, scale, select
 from tallywatch.operators.balance import balance, train_test_split
 from tallywatch.operators.metrics import binary_metrics, multiclass_metrics, threshold_prediction
@@ -64,12 +65,18 @@ class FittedPipeline:
     encoder: encode.LabelEncoder | None = None
 
     def features(self, df: DataFrame) -> DataFrame:
+        """The cleaning that needs no statistics, then the encoding."""
+        if "Clean_data" in self.spec.cleaning:
+            df = clean.normalize_names(df)
+        if "Handle_null_values" in self.spec.cleaning:
+            df = clean.fill_nulls(df)
         df = encode.time_parts(df)
         if self.encoder is not None:
             return self.encoder.transform(df)
         if self.spec.formatting == "HashingTF_Encoding":
-            return encode.hashing_tf(df, num_features=self.spec.text_slots)
-        return encode.hash_encode(df, exclude=())
+            texts = string_columns(df, (self.spec.label,))
+            return encode.hashing_tf(df, texts, self.spec.text_slots)
+        return encode.hash_encode(df, exclude=(self.spec.label,))
 
     def transform(self, df: DataFrame) -> DataFrame:
         scored = self.stages.transform(self.features(df))
@@ -165,20 +172,28 @@ def _last(stages: list[Transformer]) -> str:
 def run_pipeline(df: DataFrame, spec: PipelineSpec = PipelineSpec()) -> PipelineRun:
     """Label, clean, split, fit every stage on the training rows, score all rows.
 
+    A text label is numbered by falling frequency.
+
     The cleaned table is staged once: fitting reads it many times, and a lost
     executor then re-reads files instead of repeating the rule's shuffles.
     """
     if spec.rule is not None:
         df = consecutive_failures(df, spec.rule)
-    table = stage(clean_data(df, spec), "cleaned")
+    df = clean_data(df, spec)
+    if spec.key not in df.columns:
+        # Equal rows share a key, so they fall on the same side of the split.
+        df = df.withColumn(spec.key, F.xxhash64(*map(c, df.columns)))
+    table = stage(df, "cleaned")
+    if spec.label in string_columns(table):
+        table = encode.label_encode(table, [spec.label])
     train, test = train_test_split(table, spec.key)
     if "Balance_data" in spec.cleaning:
         train = balance(train, spec.label, spec.key, spec.balance_ratio)
 
     fitted = FittedPipeline(spec, PipelineModel([]))
     if spec.formatting == "Lebel_encoding":
-        fitted.encoder = encode.LabelEncoder.fit(train)
-    ready = stage(fitted.features(train), "training")
+        fitted.encoder = encode.LabelEncoder.fit(encode.time_parts(train))
+    ready = stage(fitted.features(train), "training", even=True)
     columns = encode.feature_columns(ready, (spec.key, spec.label))
     stages = _feature_stages(ready, spec, columns)
     estimator = ESTIMATORS[spec.model](spec.label, _last(stages))

@@ -52,13 +52,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallywatch/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, even: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor re-reads files instead of repeating
-    the work. Parquet keeps later reads down to the columns they use.
+    the work. Parquet keeps later reads down to the columns they use. ``even``
+    spends a shuffle on partitions of equal size, for tables read many times.
     """
     path = scratch_path(df.sparkSession, name)
+    if even:
+        df = df.hint("rebalance")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
