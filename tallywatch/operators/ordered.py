@@ -20,26 +20,54 @@ from tallywatch.session import stage
 MAX_BUCKETS = 4000
 
 
-def _cut(df: DataFrame, lead: str) -> tuple[DataFrame, list[float]]:
-    """Add ``_lead`` and ``_bucket``; also the values too frequent for one bucket."""
+def _bucketed(df: DataFrame, column: str, output: str, found: list[float]) -> DataFrame:
+    """Add the bucket of ``column``: null lowest, NaN highest."""
+    inf = float("inf")
+    cuts = sorted({v for v in found if v == v and abs(v) != inf}) or [0.0]
+    placed = Bucketizer(
+        splits=[-inf, *cuts, inf], inputCol=column, outputCol=output, handleInvalid="keep"
+    ).transform(df)
+    place = F.when(c(column).isNull(), -1).otherwise(c(output).cast("int"))
+    return placed.withColumn(output, place)
+
+
+def _cut(df: DataFrame, lead: str, tie: str | None = None) -> DataFrame:
+    """Add ``_bucket`` by ``lead`` and, with ``tie``, ``_part`` within it.
+
+    A value of ``lead`` too frequent for one bucket is cut along ``tie``, at
+    bounds shared by all such values: any of them falls into pieces no larger
+    than the rest. There are at most five times ``MAX_BUCKETS`` pieces.
+    """
     # Several buckets per task, so that hashing spreads them evenly.
     wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2, min(wanted, MAX_BUCKETS))
     number = df.withColumn("_lead", as_number(df, lead))
     rows = df.count()
     drawn = number if rows <= SAMPLE else number.sample(SAMPLE / rows, seed=7)
-    bounds = F.percentile_approx("_lead", grid(buckets), 20 * buckets)
-    found = drawn.agg(bounds).first()[0] or []
-    seen = Counter(v for v in found if v == v)
-    # NaN is kept as the highest bucket, null as the lowest.
-    splits = [-float("inf"), *sorted(v for v in seen if abs(v) != float("inf")), float("inf")]
-    if len(splits) < 3:
-        splits = [-float("inf"), 0.0, float("inf")]
-    cut = Bucketizer(
-        splits=splits, inputCol="_lead", outputCol="_bucket", handleInvalid="keep"
-    ).transform(number)
-    bucket = F.when(F.col("_lead").isNull(), -1).otherwise(F.col("_bucket").cast("int"))
-    return cut.withColumn("_bucket", bucket), [v for v, k in seen.items() if k > 1]
+    empty = F.count_if(F.col("_lead").isNull())
+    row = drawn.agg(
+        F.percentile_approx("_lead", grid(buckets), 20 * buckets), empty * buckets, F.count(F.lit(1))
+    ).first()
+    found = row[0] or []
+    cut = _bucketed(number, "_lead", "_bucket", found)
+    if tie is None:
+        return cut
+
+    frequent = [v for v, k in Counter(found).items() if k > 1 and v == v]
+    alone = F.coalesce(F.col("_lead").isin(frequent), F.lit(False))
+    if row[1] > row[2]:
+        alone |= F.col("_lead").isNull()
+        frequent.append(None)
+    # Other values of the bucket follow the frequent one, its lowest.
+    last = F.lit(MAX_BUCKETS * 8)
+    if not frequent:
+        return cut.withColumn("_part", last)
+    pieces = max(2, 4 * buckets // len(frequent))
+    bounds = F.percentile_approx("_tie", grid(pieces), 20 * pieces)
+    cut = cut.withColumn("_tie", as_number(df, tie))
+    drawn = drawn.withColumn("_tie", as_number(df, tie)).filter(alone)
+    cut = _bucketed(cut, "_tie", "_part", drawn.agg(bounds).first()[0] or [])
+    return cut.withColumn("_part", F.when(alone, F.col("_part")).otherwise(last))
 
 
 def _before(totals: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
@@ -50,24 +78,14 @@ def _before(totals: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     )
 
 
-def dense_id(
-    df: DataFrame, lead: str, tie: str, name: str = "id", span_bits: int = 22
-) -> DataFrame:
+def dense_id(df: DataFrame, lead: str, tie: str, name: str = "id") -> DataFrame:
     """Number the rows 1, 2, ... by (``lead``, ``tie``), nulls of ``lead`` first.
 
-    ``tie`` is an integer column, unique among rows of equal ``lead``. A value
-    of ``lead`` that fills more than a bucket is cut along ``tie`` into pieces of
-    at most ``2 ** span_bits`` rows.
+    ``tie`` is a number or time, unique among rows of equal ``lead``.
     """
-    cut, frequent = _cut(df, lead)
-    alone = F.col("_lead").isNull()
-    if frequent:
-        alone |= F.col("_lead").isin(frequent)
-    last = F.lit((1 << 63) - 1)
-    piece = F.shiftright(c(tie).cast("bigint"), span_bits)
-    cut = cut.withColumn("_part", F.when(alone, piece).otherwise(last))
+    cut = _cut(df, lead, tie)
     totals = cut.groupBy("_bucket", "_part").agg(F.count(F.lit(1)).alias("rows"))
-    # One row per bucket and span of ``tie``: small however large the table.
+    # One row per bucket and piece: a fixed number, however large the table.
     before = F.broadcast(_before(totals, ["_bucket", "_part"], ["rows"]))
     place = F.row_number().over(Window.partitionBy("_bucket", "_part").orderBy(c(lead), c(tie)))
     return (
@@ -85,7 +103,7 @@ def running_totals(
 ) -> DataFrame:
     """Per distinct ``order`` value the sums, and ``cum_*`` up to and including it."""
     keyed = df.select(c(order).alias("_key"), *[e.alias(n) for n, e in sums.items()])
-    cut, _ = _cut(keyed.withColumn("_key", -F.col("_key") if descending else F.col("_key")), "_key")
+    cut = _cut(keyed.withColumn("_key", -F.col("_key") if descending else F.col("_key")), "_key")
     added = [F.sum(n).alias(n) for n in sums]
     groups = cut.groupBy("_bucket", "_key").agg(*added)
     before = F.broadcast(_before(cut.groupBy("_bucket").agg(*added), ["_bucket"], list(sums)))

@@ -3,34 +3,36 @@
 A failure is flagged when it is at least the ``threshold``-th failure since the
 user's last reset. Only failures and resets matter to that question, and a
 failure qualifies exactly when the ``threshold - 1`` such events before it were
-failures too. So the rule needs a look-back of fixed length, not a running
-count, and it can be cut into pieces:
+failures too. So the rule is a look-back of fixed length within the user, one
+shuffle of the failures and resets; all other rows stay where they are.
 
-1. rows are grouped by (user, segment), a segment being ``2 ** span_bits``
-   consecutive values of the order column. As order values are unique, no group
-   holds more rows than that, however many one user has;
-2. the first ``threshold - 1`` rows of a group need rows of earlier segments.
-   Those heads, and the last ``threshold - 1`` rows of every group, meet in a
-   second, far smaller grouping by user alone.
-
-Rows that are neither failure nor reset never take part in a shuffle.
+A user who holds too many rows for one task is cut into pieces along the order
+column. The first ``threshold - 1`` rows of a piece need rows of earlier pieces:
+these heads, and the last ``threshold - 1`` rows of every piece, meet in a
+second, far smaller shuffle by user.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallywatch.functions.columns import c
+from tallywatch.functions.columns import as_number, c
+from tallywatch.operators.quantiles import SAMPLE, grid
+
+MAX_PIECES = 4000
 
 
 @dataclass(frozen=True)
 class SequenceRule:
     """``threshold`` failures of one ``key`` in a row, in ``order``.
 
-    ``order`` must be a unique integer column. ``2 ** span_bits`` bounds the rows
-    of one user that a single task sorts.
+    ``order`` is a number or time, unique within a user. A log of at least
+    ``split_from`` failures and resets is searched for busy users, those with
+    more than ``busy_share`` of them (half a shuffle partition by default).
     """
 
     # The rule's title, the log's column names and task names.
@@ -41,11 +43,12 @@ class SequenceRule:
     fail: str = "LoginFailure"
     reset: str = "LogOn"
     threshold: int = 3
-    span_bits: int = 26
+    split_from: int = 1_000_000
+    busy_share: float | None = None
 
     def __post_init__(self) -> None:
-        if self.threshold < 1 or not 0 <= self.span_bits < 63:
-            raise ValueError("threshold must be at least 1 and span_bits from 0 to 62")
+        if self.threshold < 1:
+            raise ValueError("threshold must be at least 1")
 
     def failed(self) -> Column:
         return c(self.event).eqNullSafe(self.fail)
@@ -54,8 +57,54 @@ class SequenceRule:
         """Rows that move the counter."""
         return c(self.event).isin(self.fail, self.reset)
 
-    def segment(self) -> Column:
-        return F.shiftright(c(self.order).cast("bigint"), self.span_bits)
+
+@dataclass
+class _Pieces:
+    """Which users are cut, and where along the order column."""
+
+    users: list
+    cuts: list[float]
+
+    def busy(self, user: Column) -> Column:
+        named = F.coalesce(user.isin([u for u in self.users if u is not None]), F.lit(False))
+        return named | user.isNull() if None in self.users else named
+
+    def add(self, rows: DataFrame, rule: SequenceRule) -> DataFrame:
+        """Add ``_piece``, which never falls along the order; -1 for whole users."""
+        bounds = [-float("inf"), *sorted(set(self.cuts)), float("inf")]
+        placed = Bucketizer(
+            splits=bounds, inputCol="_at", outputCol="_bucket", handleInvalid="keep"
+        ).transform(rows.withColumn("_at", as_number(rows, rule.order)))
+        piece = F.when(self.busy(c(rule.key)), F.col("_bucket")).otherwise(-1.0).cast("int")
+        return placed.withColumn("_piece", piece).drop("_at", "_bucket")
+
+
+def _pieces(df: DataFrame, rule: SequenceRule) -> _Pieces | None:
+    """Busy users and cuts from a sample; None when no user needs cutting.
+
+    The sample only steers the sizes of the pieces, never the result. At most
+    ``2 / share`` users can pass the limit, and their rows are cut into as many
+    pieces, so a piece is as small as the rows of an ordinary user.
+    """
+    rows = df.filter(rule.counted()).select(
+        c(rule.key).alias("user"), as_number(df, rule.order).alias("at")
+    )
+    total = rows.count()
+    if total < rule.split_from:
+        return None
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = rule.busy_share or 1 / (2 * partitions)
+    share = max(share, 2 / MAX_PIECES)
+    drawn = rows if total <= SAMPLE else rows.sample(SAMPLE / total, seed=7)
+    limit = share / 2 * min(total, SAMPLE)
+    busy = drawn.groupBy("user").count().filter(F.col("count") >= limit)
+    found = _Pieces([r["user"] for r in busy.collect()], [])
+    if not found.users:
+        return None
+    pieces = max(2, math.ceil(2 / share))
+    cuts = F.percentile_approx("at", grid(pieces), 20 * pieces)
+    found.cuts = drawn.filter(found.busy(F.col("user"))).agg(cuts).first()[0] or []
+    return found
 
 
 def flag_failures(df: DataFrame, rule: SequenceRule) -> DataFrame:
@@ -70,28 +119,31 @@ def flag_failures(df: DataFrame, rule: SequenceRule) -> DataFrame:
     rows = df.filter(rule.counted()).select(
         *[c(n) if n.lower() in held else F.when(rule.failed(), c(n)).alias(n) for n in columns],
         rule.failed().alias("_fail"),
-        rule.segment().alias("_segment"),
-    )
-    fails = F.sum(F.col("_fail").cast("int"))
-
-    group = Window.partitionBy(c(rule.key), "_segment").orderBy(c(rule.order))
-    local = rows.select(
-        "*",
-        F.row_number().over(group).alias("_position"),
-        F.lead(c(rule.order), back).over(group).isNull().alias("_tail"),
-        fails.over(group.rowsBetween(-back, 0)).alias("_run"),
-    )
-    head = F.col("_position") <= back
-    inner = local.filter(~head)
-
-    user = Window.partitionBy(c(rule.key)).orderBy(c(rule.order)).rowsBetween(-back, 0)
-    heads = (
-        local.filter(head | F.col("_tail"))
-        .withColumn("_run", fails.over(user))
-        .filter(head)
     )
+    run = F.sum(F.col("_fail").cast("int"))
     label = (F.col("_run") == rule.threshold).cast("int").alias("label")
-    return inner.unionByName(heads).filter("_fail").select(*map(c, columns), label)
+    user = Window.partitionBy(c(rule.key)).orderBy(c(rule.order))
+
+    pieces = _pieces(df, rule)
+    whole = rows if pieces is None else rows.filter(~pieces.busy(c(rule.key)))
+    flagged = whole.withColumn("_run", run.over(user.rowsBetween(-back, 0)))
+    if pieces is not None:
+        group = Window.partitionBy(c(rule.key), "_piece").orderBy(c(rule.order))
+        local = pieces.add(rows.filter(pieces.busy(c(rule.key))), rule).select(
+            "*",
+            F.row_number().over(group).alias("_position"),
+            F.lead(c(rule.order), back).over(group).isNull().alias("_tail"),
+            run.over(group.rowsBetween(-back, 0)).alias("_run"),
+        )
+        head = F.col("_position") <= back
+        heads = (
+            local.filter(head | F.col("_tail"))
+            .withColumn("_run", run.over(user.rowsBetween(-back, 0)))
+            .filter(head)
+        )
+        for part in (local.filter(~head), heads):
+            flagged = flagged.unionByName(part.select(*flagged.columns))
+    return flagged.filter("_fail").select(*map(c, columns), label)
 
 
 def consecutive_failures(df: DataFrame, rule: SequenceRule = SequenceRule()) -> DataFrame:
@@ -118,27 +170,28 @@ def rule_hits(df: DataFrame, rules: list[SequenceRule]) -> DataFrame:
 def user_state(df: DataFrame, rule: SequenceRule = SequenceRule()) -> DataFrame:
     """Failures since the last reset, per user with a failure or a reset.
 
-    Each (user, segment) group is reduced to one row first, so a busy user
-    reaches the last step as one row per segment.
+    Each piece of a user is reduced to one row first, so a busy user reaches
+    the last step as one row per piece.
     """
     rows = df.filter(rule.counted()).select(
-        c(rule.key).alias("user"),
-        c(rule.order).alias("_order"),
-        rule.failed().alias("_fail"),
-        rule.segment().alias("_segment"),
+        c(rule.key), c(rule.order), rule.failed().alias("_fail")
     )
-    group = Window.partitionBy("user", "_segment")
-    reset_at = F.max(F.when(~F.col("_fail"), F.col("_order"))).over(group)
-    open_fail = F.col("_fail") & (F.col("_reset").isNull() | (F.col("_order") > F.col("_reset")))
+    pieces = _pieces(df, rule)
+    rows = rows.withColumn("_piece", F.lit(-1)) if pieces is None else pieces.add(rows, rule)
+    group = Window.partitionBy(c(rule.key), "_piece")
+    reset_at = F.max(F.when(~F.col("_fail"), c(rule.order))).over(group)
+    still_open = F.col("_reset").isNull() | (c(rule.order) > F.col("_reset"))
     parts = (
         rows.withColumn("_reset", reset_at)
-        .groupBy("user", "_segment")
-        .agg(F.count_if(open_fail).alias("_n"), F.max("_reset").alias("_reset"))
+        .groupBy(c(rule.key).alias("user"), "_piece")
+        .agg(F.count_if(F.col("_fail") & still_open).alias("_n"), F.max("_reset").alias("_reset"))
     )
-    last = F.max(F.when(F.col("_reset").isNotNull(), F.col("_segment"))).over(
+    if pieces is None:
+        return parts.select("user", F.col("_n").alias("failures"))
+    last = F.max(F.when(F.col("_reset").isNotNull(), F.col("_piece"))).over(
         Window.partitionBy("user")
     )
-    counts = F.when(F.col("_last").isNull() | (F.col("_segment") >= F.col("_last")), F.col("_n"))
+    counts = F.when(F.col("_last").isNull() | (F.col("_piece") >= F.col("_last")), F.col("_n"))
     return (
         parts.withColumn("_last", last)
         .groupBy("user")

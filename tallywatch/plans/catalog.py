@@ -7,6 +7,7 @@ the reset, every other type leaves the counter alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -43,15 +44,7 @@ ORACLE: dict[str, str] = {}
 LOGINS = SequenceRule(
     key="user_id", order="event_id", event="event_type", fail="error", reset="purchase"
 )
-LONG_RUN = SequenceRule(
-    name="Long Login Failure Run",
-    key="user_id",
-    order="event_id",
-    event="event_type",
-    fail="error",
-    reset="purchase",
-    threshold=5,
-)
+LONG_RUN = replace(LOGINS, name="Long Login Failure Run", threshold=5)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -108,10 +101,8 @@ def consecutive_failures_(spark, folder):
 
 @query(CONSECUTIVE_SQL)
 def consecutive_failures_segmented(spark, folder):
-    """The rule with short segments, as a long log or a busy user would have."""
-    rule = SequenceRule(
-        key="user_id", order="event_id", event="event_type", fail="error", reset="purchase", span_bits=8
-    )
+    """The rule with every user cut into pieces, as a busy user's log would be."""
+    rule = replace(LOGINS, split_from=1, busy_share=0.001)
     logins = load(spark, folder, "events").select("event_id", "user_id", "event_type")
     return consecutive_failures(logins, rule)
 
@@ -1075,10 +1066,7 @@ def _log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _spec(**options) -> PipelineSpec:
-    rule = SequenceRule(
-        key="user_id", order="id", event="event_type", fail="error", reset="purchase"
-    )
-    return PipelineSpec(rule=rule, **options)
+    return PipelineSpec(rule=replace(LOGINS, order="id"), **options)
 
 
 @query()

@@ -16,6 +16,11 @@ def spark():
         {
             "spark.sql.shuffle.partitions": "2",
             "spark.driver.memory": "8g",
+            # Tiny tables: planning and compiling cost more than running. The
+            # queries are checked with code generation by tools/check.py.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+            "spark.sql.sources.parallelPartitionDiscovery.threshold": "1000",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

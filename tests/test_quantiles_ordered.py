@@ -78,20 +78,24 @@ def test_dense_id(spark, kind):
         "timestamp_ntz": F.timestamp_seconds(F.col("n") * 3600).cast("timestamp_ntz"),
     }[kind]
     df = spark.createDataFrame(rows, "n int, key bigint").select(lead.alias("lead"), "key", "n")
-    result = ordered.dense_id(df.repartition(5), "lead", "key", span_bits=4)
+    result = ordered.dense_id(df.repartition(5), "lead", "key")
     assert result.columns == ["id", "lead", "key", "n"]
     found = [(r["id"], r["n"], r["key"]) for r in result.orderBy("id").collect()]
     expected = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert found == [(i + 1, n, key) for i, (n, key) in enumerate(expected)]
 
 
-def test_frequent_lead_is_cut(spark):
-    """No task numbers more than a span of the frequent value's rows."""
-    df = spark.range(1000).select(F.lit(5).alias("lead"), F.col("id").alias("key"))
-    cut, frequent = ordered._cut(df, "lead")
-    assert frequent == [5.0]
-    ids = ordered.dense_id(df, "lead", "key", span_bits=5).select("id", "key")
-    assert ids.filter(F.col("id") != F.col("key") + 1).isEmpty()
+@pytest.mark.parametrize("value", [5, None])
+def test_frequent_lead_is_cut(spark, value):
+    """No task numbers more than a small part of the frequent value's rows, however
+    the tie column is spread."""
+    lead = F.when(F.col("id") < 900, F.lit(value)).otherwise(F.col("id")).cast("int")
+    df = spark.range(1000).select(lead.alias("lead"), F.exp(F.col("id") / 10).alias("key"), "id")
+    cut = ordered._cut(df, "lead", "key")
+    sizes = [r["count"] for r in cut.groupBy("_bucket", "_part").count().collect()]
+    assert max(sizes) <= 150
+    ids = ordered.dense_id(df.withColumnRenamed("id", "n"), "lead", "key").select("id", "n")
+    assert ids.filter(F.col("id") != F.col("n") + 1).isEmpty()
 
 
 def test_running_totals(spark):

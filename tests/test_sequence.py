@@ -77,13 +77,14 @@ def test_users_are_separate_and_case_sensitive(spark):
 
 @pytest.mark.parametrize("seed", range(5))
 def test_random_logs(spark, seed):
-    """Any segment length and threshold gives the loop's labels; one user holds a
-    large part of the rows."""
+    """Whether and where users are cut never changes the loop's labels; one user
+    holds a large part of the rows."""
     rnd = random.Random(seed)
     users = ["hot"] * 5 + [None, "b", "c", "d"]
     rows = [(rnd.choice(users), rnd.choice("FFFLOX")) for _ in range(rnd.choice([5, 60, 300]))]
     threshold = rnd.choice([1, 2, 3, 5])
-    rule = SequenceRule(threshold=threshold, span_bits=rnd.choice([0, 1, 3, 5, 26]))
+    cutting = [(1, 0.001), (1, 0.02), (1, 0.2), (50, None), (10**6, None)][seed]
+    rule = SequenceRule(threshold=threshold, split_from=cutting[0], busy_share=cutting[1])
     labels, counter = by_loop(rows, threshold)
     df = log(spark, rows, rnd.choice([1, 4, 7]))
     result = consecutive_failures(df, rule)
@@ -107,6 +108,8 @@ def test_negative_and_sparse_ids(spark):
         [(i, "u", "LoginFailure") for i in ids], "id bigint, TargetUserName string, Task string"
     )
     assert labels_of(consecutive_failures(df)) == [0, 0, 1, 1, 1]
+    cut = SequenceRule(split_from=1, busy_share=0.01)
+    assert labels_of(consecutive_failures(df, cut)) == [0, 0, 1, 1, 1]
 
 
 def test_empty(spark):
@@ -120,14 +123,27 @@ def test_bad_rule():
         SequenceRule(threshold=0)
 
 
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plan(spark):
-    """Only failures and resets are shuffled, in two exchanges: by (user, segment)
-    and by user. No task holds everything, nothing is joined."""
+    """One shuffle by user; nothing is joined and no task holds everything."""
     df = log(spark, [("a", "F"), ("b", "L")] * 50)
-    result = consecutive_failures(df.filter(F.col("id") >= 0))
-    result.collect()
-    plan = result._jdf.queryExecution().executedPlan().toString()
+    plan = executed(consecutive_failures(df.filter(F.col("id") >= 0)))
+    final = plan.split("== Initial Plan ==")[0]
+    assert "SinglePartition" not in plan and "Join" not in plan
+    assert final.count("Exchange hashpartitioning") == 1
+
+
+def test_plan_with_busy_user(spark):
+    """Every row is shuffled once; both steps for the busy user share the shuffle
+    of their pieces, and only the pieces' ends are shuffled again."""
+    df = log(spark, [("a", "F")] * 300 + [(f"u{i}", "L") for i in range(300)])
+    result = consecutive_failures(df, SequenceRule(split_from=100))
+    plan = executed(result)
     final = plan.split("== Initial Plan ==")[0]
     assert "SinglePartition" not in plan and "Join" not in plan
     assert "ReusedExchange" in final
-    assert "Exchange hashpartitioning(TargetUserName" in final
+    assert labels_of(result)[:5] == [0, 0, 1, 1, 1]
