@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from tallywatch.functions.columns import c
 from tallywatch.functions.keys import digest_bucket, row_digest
@@ -29,19 +29,9 @@ def balance(
     rare, common = c(label) == minority, c(label) == majority
     if ratio is None:
         return df.filter(rare | common)
-    quota = int(df.filter(rare).count() * ratio)
     digest = row_digest(c(key))
     prefix = F.substring(digest, 1, DIGITS)
-    counts = df.filter(common).groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    # At most 16 ** DIGITS rows.
-    upto = F.sum("n").over(Window.orderBy("prefix"))
-    edge = (
-        counts.withColumn("upto", upto)
-        .filter(F.col("upto") >= quota)
-        .orderBy("prefix")
-        .select("prefix", (F.lit(quota) - F.col("upto") + F.col("n")).alias("left"))
-        .first()
-    )
+    edge = _edge(df.filter(rare | common), rare, prefix, ratio)
     if edge is None:
         return df.filter(rare | common)
     place = F.row_number().over(Window.partitionBy("_prefix").orderBy("_digest", c(key)))
@@ -55,6 +45,29 @@ def balance(
     return df.filter(rare | (common & (prefix < edge["prefix"]))).unionByName(last)
 
 
+def _edge(df: DataFrame, rare: Column, prefix: Column, ratio: float) -> Row | None:
+    """The prefix in which the quota runs out and how many of its rows are left
+    to take; None when there are too few rows to run out."""
+    # One pass over the rows leaves at most 16 ** DIGITS counts and one more.
+    counts = (
+        df.groupBy(rare.alias("rare"), F.when(~rare, prefix).alias("prefix"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .persist()
+    )
+    try:
+        quota = int((counts.filter("rare").agg(F.sum("n")).first()[0] or 0) * ratio)
+        return (
+            counts.filter("not rare")
+            .withColumn("upto", F.sum("n").over(Window.orderBy("prefix")))
+            .filter(F.col("upto") >= quota)
+            .orderBy("prefix")
+            .select("prefix", (F.lit(quota) - F.col("upto") + F.col("n")).alias("left"))
+            .first()
+        )
+    finally:
+        counts.unpersist()
+
+
 def train_test_split(
     df: DataFrame, key: str = "id", train_tenths: int = 8
 ) -> tuple[DataFrame, DataFrame]:

@@ -30,7 +30,7 @@ MAX_PIECES = 4000
 class SequenceRule:
     """``threshold`` failures of one ``key`` in a row, in ``order``.
 
-    ``order`` is a number or time, unique within a user. A log of at least
+    ``order`` is a number or time, never null and unique within a user. A log of at least
     ``split_from`` failures and resets is searched for busy users, those with
     more than ``busy_share`` of them (half a shuffle partition by default).
     """
