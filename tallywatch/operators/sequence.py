@@ -60,23 +60,23 @@ class SequenceRule:
 
 @dataclass
 class _Pieces:
-    """Which users are cut, and where along the order column."""
+    """Which users are cut (at most ``MAX_PIECES``), and where along the order column."""
 
-    users: list
+    users: DataFrame
     cuts: list[float]
 
-    def busy(self, user: Column) -> Column:
-        named = F.coalesce(user.isin([u for u in self.users if u is not None]), F.lit(False))
-        return named | user.isNull() if None in self.users else named
+    def keep(self, rows: DataFrame, key: str, busy: bool) -> DataFrame:
+        """The rows of the busy users, or of all others."""
+        same = c(key).eqNullSafe(F.col("_busy"))
+        return rows.join(F.broadcast(self.users), same, "left_semi" if busy else "left_anti")
 
     def add(self, rows: DataFrame, rule: SequenceRule) -> DataFrame:
-        """Add ``_piece``, which never falls along the order; -1 for whole users."""
+        """Add ``_piece``, which never falls along the order."""
         bounds = [-float("inf"), *sorted(set(self.cuts)), float("inf")]
         placed = Bucketizer(
             splits=bounds, inputCol="_at", outputCol="_bucket", handleInvalid="keep"
         ).transform(rows.withColumn("_at", as_number(rows, rule.order)))
-        piece = F.when(self.busy(c(rule.key)), F.col("_bucket")).otherwise(-1.0).cast("int")
-        return placed.withColumn("_piece", piece).drop("_at", "_bucket")
+        return placed.withColumn("_piece", F.col("_bucket").cast("int")).drop("_at", "_bucket")
 
 
 def _pieces(df: DataFrame, rule: SequenceRule) -> _Pieces | None:
@@ -97,13 +97,15 @@ def _pieces(df: DataFrame, rule: SequenceRule) -> _Pieces | None:
     share = max(share, 2 / MAX_PIECES)
     drawn = rows if total <= SAMPLE else rows.sample(SAMPLE / total, seed=7)
     limit = share / 2 * min(total, SAMPLE)
-    busy = drawn.groupBy("user").count().filter(F.col("count") >= limit)
-    found = _Pieces([r["user"] for r in busy.collect()], [])
-    if not found.users:
+    counts = drawn.groupBy(F.col("user").alias("_busy")).count()
+    busy = counts.filter(F.col("count") >= limit).select("_busy")
+    users = busy.collect()
+    if not users:
         return None
+    found = _Pieces(df.sparkSession.createDataFrame(users, busy.schema), [])
     pieces = max(2, math.ceil(2 / share))
     cuts = F.percentile_approx("at", grid(pieces), 20 * pieces)
-    found.cuts = drawn.filter(found.busy(F.col("user"))).agg(cuts).first()[0] or []
+    found.cuts = found.keep(drawn, "user", True).agg(cuts).first()[0] or []
     return found
 
 
@@ -118,18 +120,19 @@ def flag_failures(df: DataFrame, rule: SequenceRule) -> DataFrame:
     # A reset row only has to be present: its other columns stay behind.
     rows = df.filter(rule.counted()).select(
         *[c(n) if n.lower() in held else F.when(rule.failed(), c(n)).alias(n) for n in columns],
-        rule.failed().alias("_fail"),
+        # A number, so that both readers of the pieces' shuffle sum it as it is.
+        rule.failed().cast("int").alias("_fail"),
     )
-    run = F.sum(F.col("_fail").cast("int"))
+    run = F.sum("_fail")
     label = (F.col("_run") == rule.threshold).cast("int").alias("label")
     user = Window.partitionBy(c(rule.key)).orderBy(c(rule.order))
 
     pieces = _pieces(df, rule)
-    whole = rows if pieces is None else rows.filter(~pieces.busy(c(rule.key)))
+    whole = rows if pieces is None else pieces.keep(rows, rule.key, False)
     flagged = whole.withColumn("_run", run.over(user.rowsBetween(-back, 0)))
     if pieces is not None:
         group = Window.partitionBy(c(rule.key), "_piece").orderBy(c(rule.order))
-        local = pieces.add(rows.filter(pieces.busy(c(rule.key))), rule).select(
+        local = pieces.add(pieces.keep(rows, rule.key, True), rule).select(
             "*",
             F.row_number().over(group).alias("_position"),
             F.lead(c(rule.order), back).over(group).isNull().alias("_tail"),
@@ -143,7 +146,7 @@ def flag_failures(df: DataFrame, rule: SequenceRule) -> DataFrame:
         )
         for part in (local.filter(~head), heads):
             flagged = flagged.unionByName(part.select(*flagged.columns))
-    return flagged.filter("_fail").select(*map(c, columns), label)
+    return flagged.filter("_fail = 1").select(*map(c, columns), label)
 
 
 def consecutive_failures(df: DataFrame, rule: SequenceRule = SequenceRule()) -> DataFrame:
@@ -177,12 +180,15 @@ def user_state(df: DataFrame, rule: SequenceRule = SequenceRule()) -> DataFrame:
         c(rule.key), c(rule.order), rule.failed().alias("_fail")
     )
     pieces = _pieces(df, rule)
-    rows = rows.withColumn("_piece", F.lit(-1)) if pieces is None else pieces.add(rows, rule)
+    whole = rows if pieces is None else pieces.keep(rows, rule.key, False)
+    cut = whole.withColumn("_piece", F.lit(0))
+    if pieces is not None:
+        cut = cut.unionByName(pieces.add(pieces.keep(rows, rule.key, True), rule))
     group = Window.partitionBy(c(rule.key), "_piece")
     reset_at = F.max(F.when(~F.col("_fail"), c(rule.order))).over(group)
     still_open = F.col("_reset").isNull() | (c(rule.order) > F.col("_reset"))
     parts = (
-        rows.withColumn("_reset", reset_at)
+        cut.withColumn("_reset", reset_at)
         .groupBy(c(rule.key).alias("user"), "_piece")
         .agg(F.count_if(F.col("_fail") & still_open).alias("_n"), F.max("_reset").alias("_reset"))
     )

@@ -10,9 +10,8 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywatch.functions.columns import c
 from tallywatch.operators import (
     balance as balancing,
     clean,
@@ -743,10 +742,10 @@ def hashing_tf(spark, folder):
 # ---------------------------------------------- vectors, scaling, selection
 
 
-def _parts(df: DataFrame, names: tuple[str, ...], vector: str = "features") -> list[Column]:
-    """The vector's entries as columns."""
-    array = vector_to_array(c(vector))
-    return [array[i].alias(n) for i, n in enumerate(names)]
+def _parts(df: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
+    """The key and the vector's entries as columns."""
+    arrays = df.select(key, vector_to_array("features").alias("entries"))
+    return arrays.select(key, *[F.col("entries")[i].alias(n) for i, n in enumerate(names)])
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -761,8 +760,7 @@ SCALED = (*LINE_NUMBERS, "one")
 
 
 def _scaled(df: DataFrame) -> DataFrame:
-    out = df.select("l_orderkey", *_parts(df, SCALED))
-    return rounded(out, 6, *SCALED)
+    return rounded(_parts(df, "l_orderkey", SCALED), 6, *SCALED)
 
 
 @query(
@@ -775,8 +773,7 @@ def _scaled(df: DataFrame) -> DataFrame:
 def assemble(spark, folder):
     lines = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", *LINE_NUMBERS)
     names = tuple(f"f{i}" for i in range(5))
-    vectors = encode.assemble(lines, exclude=("l_orderkey",))
-    return vectors.select("l_orderkey", *_parts(vectors, names))
+    return _parts(encode.assemble(lines, exclude=("l_orderkey",)), "l_orderkey", names)
 
 
 BUCKET_SQL = """

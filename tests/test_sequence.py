@@ -143,7 +143,11 @@ def test_plan_with_busy_user(spark):
     df = log(spark, [("a", "F")] * 300 + [(f"u{i}", "L") for i in range(300)])
     result = consecutive_failures(df, SequenceRule(split_from=100))
     plan = executed(result)
-    final = plan.split("== Initial Plan ==")[0]
-    assert "SinglePartition" not in plan and "Join" not in plan
-    assert "ReusedExchange" in final
+    final = plan.split("== Initial Plan ==")[0].splitlines()
+    assert "SinglePartition" not in plan and "SortMergeJoin" not in plan
+    shuffles = [x for x in final if "Exchange hashpartitioning" in x]
+    reused = [x for x in shuffles if "ReusedExchange" in x]
+    # By user, by user and piece, the pieces' ends by user; one of them read twice.
+    assert len(shuffles) - len(reused) == 3 and len(reused) == 1
+    assert "_piece" in reused[0]
     assert labels_of(result)[:5] == [0, 0, 1, 1, 1]
