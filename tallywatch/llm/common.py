@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import shutil
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 10_000
@@ -43,3 +47,19 @@ def unit_draw(*parts: Column) -> Column:
     """A draw from 0 to 1 that depends on nothing but ``parts`` (48 bits of their MD5)."""
     digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give this package to the Python workers of every executor, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        target = f"{tempfile.mkdtemp()}/{package.name}"
+        # Spark's own file server hands the archive to the executors.
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(target, "zip", package.parent, package.name)
+        )
+        _shipped.add(app)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywatch.llm import chat, mixing, quality, urls
+from tallywatch.llm import chat, language, mixing, quality, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    out = language.held_out(F.col("doc_id"), 5, 0)
+    model = language.fit(documents.filter(~out))
+    found = language.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op4_url_verdicts")
 def op4_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, folder, "pages"), urls.rule_table(spark))
@@ -39,6 +48,14 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    done = substrings.dedup_substrings(documents.select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, r: s + r["words"])
+    return done.select("doc_id", "text", n_removed.alias("n_removed"), "removed")
+
+
 @query("op9_mix_sources")
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, folder, "documents"))
