@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywatch.llm import chat, language, mixing, quality, substrings, urls
+from tallywatch.llm import chat, language, mixing, ngram_join, quality, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, folder, "documents"))
+
+
 @query("op8_substring_dedup")
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
@@ -258,3 +263,25 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM (
   SELECT doc_id, source, size, taken FROM met UNION ALL SELECT doc_id, source, size, 0 FROM sized WHERE size = 0) m
 JOIN goal g ON m.source IS NOT DISTINCT FROM g.source
 """
+
+
+# Every pair that shares an n-gram, by the n-grams; classes by the links they make.
+ORACLE["op7_ngram_join"] = f"""
+WITH RECURSIVE split AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM documents),
+grams AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS g FROM split
+), classes AS (
+  SELECT g, row_number() OVER () AS c, min(doc_id) AS copy_id, count(*) AS copies, len(g) AS n FROM grams WHERE len(g) > 0 GROUP BY g
+), flat AS (SELECT c, copies, n, unnest(g) AS x FROM classes),
+links AS (
+  SELECT a.c AS a, b.c AS b, any_value(b.copies) AS copies FROM flat a JOIN flat b ON a.x = b.x AND a.c <> b.c
+  GROUP BY a.c, b.c HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))
+), reached AS (
+  SELECT c, copy_id FROM classes UNION SELECT b, copy_id FROM reached JOIN links ON c = a
+), named AS (SELECT c, min(copy_id) AS class_id FROM reached GROUP BY c),
+counted AS (SELECT a, sum(copies) AS n_links, count(*) AS n_set_links FROM links GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(copy_id, doc_id) AS copy_id, coalesce(copies, 1) AS n_copies,
+  CAST(len(grams.g) AS BIGINT) AS n_grams, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(n_set_links, 0) AS n_set_links
+FROM grams LEFT JOIN classes ON grams.g = classes.g LEFT JOIN named USING (c) LEFT JOIN counted ON c = a
+"""
