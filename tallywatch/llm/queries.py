@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywatch.llm import chat, language, mixing, ngram_join, quality, substrings, urls
+from tallywatch.llm import chat, language, mixing, ngram_join, quality, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,27 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    out = language.held_out(F.col("doc_id"), 3, 1)
+    labels = (
+        table(spark, folder, "labels")
+        .filter(~out)
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"))
+    )
+    model = toxicity.fit(documents.join(labels, "doc_id"))
+    scored = toxicity.score(documents, model)
+    return scored.select(
+        "doc_id",
+        out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
 @query("op4_url_verdicts")
 def op4_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, folder, "pages"), urls.rule_table(spark))
