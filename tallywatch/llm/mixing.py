@@ -227,7 +227,8 @@ def mix_sources(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     piece = F.struct(first.alias("first"), length.alias("length"), F.col("times").alias("times"))
     met = (
         at.join(
-            times.filter("times > 0"),
+            # Its size is guessed from the shards it comes from, far too low for a broadcast.
+            times.filter("times > 0").hint("merge"),
             F.col("source").eqNullSafe(F.col("_source"))
             & (F.col("shard") == F.col("_shard"))
             & (F.col("at") == F.col("block")),
