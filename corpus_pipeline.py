@@ -1,13 +1,64 @@
-"""A training corpus from raw documents: the operators of ``tallywatch.llm`` as stages."""
+"""A training corpus from raw documents: five operators of ``tallywatch.llm`` in a row.
+
+Each stage takes (spark, docs, sf_dir) and gives a table with the columns of ``documents``, the
+last one the mix. ``run`` writes every stage's result to the shared folder and reads
+it back as the next one's input.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallywatch.llm import decontaminate, language, mixing, ngram_join, substrings
+from tallywatch.session import stage
+
+#: Documents whose language has less than this share of the evidence are rejected.
+LEAST_SCORE = 0.5
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: ``und`` and undecided ones go."""
+    found = language.identify(docs, language.fit(docs))
+    kept = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return found.filter(kept).drop("lang_pred", "score")
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of copies and near copies."""
+    return ngram_join.one_per_class(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has; ``n_chars`` follows."""
+    done = substrings.dedup_substrings(docs).drop("removed")
+    return done.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, benchmark).filter(F.size("leaks") == 0).drop("leaks")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix_sources(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identified),
+    ("ngram_join", distinct_texts),
+    ("substring_dedup", without_repeats),
+    ("decontaminate", without_leaks),
+    ("mix_sources", mixed),
+]
 
+#: The language model, MinHash and gear hashes are no SQL; tests hold the result against plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, apply in STAGES:
+        docs = stage(apply(spark, docs, sf_dir), name)
+    return docs

@@ -120,11 +120,12 @@ def _prints(join: Join):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(counts, pa.int32()),
                     pa.array(digests, pa.binary()),
                     pa.array(signatures, pa.binary()),
                 ],
-                names=["doc_id", "n", "digest", "signature"],
+                names=["doc_id", "mark", "n", "digest", "signature"],
             )
 
     return prints
@@ -333,14 +334,16 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     ``doc_id``; ``class_id``, the lowest ``doc_id`` that it is tied to by links, directly or
     over others; ``copy_id``, the lowest of its copy class; ``n_copies`` of that class;
     ``n_grams`` of its set; ``n_links``, the documents of other sets that are similar enough;
-    ``n_set_links``, the number of their sets.
+    ``n_set_links``, the number of their sets; ``mark``, a hash of its text.
     """
     spark = documents.sparkSession
     ship_code(spark)
     docs = pick(documents, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     prints = stage(
-        docs.mapInArrow(_prints(join), f"doc_id {kind}, n int, digest binary, signature binary"),
+        docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(
+            _prints(join), f"doc_id {kind}, mark bigint, n int, digest binary, signature binary"
+        ),
         "prints",
     )
     classes = stage(
@@ -414,7 +417,7 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     )
     none = F.lit(0).cast("bigint")
     return (
-        prints.select("doc_id", "n", "digest")
+        prints.select("doc_id", "mark", "n", "digest")
         .join(full, F.col("digest") == F.col("_digest"), "left")
         .select(
             "doc_id",
@@ -427,5 +430,34 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
             F.col("n").cast("bigint").alias("n_grams"),
             F.coalesce("n_links", none).alias("n_links"),
             F.coalesce("n_set_links", none).alias("n_set_links"),
+            "mark",
         )
     )
+
+
+def one_per_class(documents: DataFrame, join: Join = Join()) -> DataFrame:
+    """``documents`` with one row of each class: of the lowest ``doc_id``, once.
+
+    Rows without n-grams all stay.
+    """
+    found = ngram_join(documents, join)
+    lowest = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "mark"))
+    kept = (
+        found.filter("n_grams > 0")
+        .groupBy("class_id")
+        .agg(lowest.alias("kept"))
+        .select(F.col("kept.doc_id").alias("_doc"), F.col("kept.mark").alias("_mark"))
+    )
+    wordless = found.filter("n_grams = 0").select(
+        F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")
+    )
+    columns = documents.columns
+    rows = documents.toDF(*[f"_{i}" for i in range(len(columns))])
+    place = lambda name: next(
+        f"_{i}" for exact in (True, False) for i, n in enumerate(columns) if (n == name if exact else n.lower() == name)
+    )
+    keyed = rows.withColumn("_key_mark", F.xxhash64(place("text")))
+    same = F.col(place("doc_id")).eqNullSafe(F.col("_doc")) & (F.col("_key_mark") == F.col("_mark"))
+    with_words = keyed.join(kept, same, "left_semi").dropDuplicates([place("doc_id"), "_key_mark"])
+    none = keyed.join(wordless.distinct(), same, "left_semi")
+    return with_words.unionByName(none).drop("_key_mark").toDF(*columns)

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywatch.llm import chat, language, main_text, mixing, ngram_join, quality, substrings, toxicity, urls
+from tallywatch.llm import (
+    chat,
+    decontaminate,
+    language,
+    main_text,
+    mixing,
+    ngram_join,
+    quality,
+    substrings,
+    toxicity,
+    urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,9 +88,22 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_decontaminate")
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    done = decontaminate.decontaminate(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    )
+    return done.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("leaked"),
+        F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
+        F.transform("leaks", lambda x: x["first"].cast("bigint")).alias("first_words"),
+    )
+
+
 @query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, folder, "documents"))
+    return ngram_join.ngram_join(table(spark, folder, "documents")).drop("mark")
 
 
 @query("op8_substring_dedup")
@@ -314,3 +338,33 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(copy_id, doc_id)
   CAST(len(grams.g) AS BIGINT) AS n_grams, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(n_set_links, 0) AS n_set_links
 FROM grams LEFT JOIN classes ON grams.g = classes.g LEFT JOIN named USING (c) LEFT JOIN counted ON c = a
 """
+
+
+# Every window of a document that shares a shingle with an item of its size, compared plainly.
+ORACLE["op6_decontaminate"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text IS NULL AS missing, {WORDS} AS ws FROM documents),
+items AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
+item AS (SELECT item_id, len(ws) AS n, least(len(ws), 5) AS size, ws FROM items WHERE len(ws) > 0),
+item_bag AS (
+  SELECT item_id, n, size, ws[i:i + size - 1] AS g, count(*) AS c
+  FROM (SELECT *, unnest(range(1, n - size + 2)) AS i FROM item) GROUP BY ALL
+), doc_grams AS (
+  SELECT r, len(ws) AS n_doc, size, p, ws[p:p + size - 1] AS g
+  FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS p FROM docs, (SELECT DISTINCT size FROM item) WHERE len(ws) >= size)
+), shared AS (SELECT DISTINCT r, n_doc, d.p, i.size, n, item_id FROM doc_grams d JOIN item_bag i ON d.g = i.g AND d.size = i.size),
+starts AS (
+  SELECT DISTINCT r, n_doc, size, n, item_id, s FROM (
+    SELECT *, unnest(range(greatest(1, p - (n - size)), least(p, greatest(n_doc - n + 1, 1)) + 1)) AS s FROM shared)
+), bags AS (
+  SELECT w.r, w.item_id, w.n, w.size, w.s, g, count(*) AS c FROM starts w JOIN doc_grams d
+    ON w.r = d.r AND w.size = d.size AND d.p >= w.s AND d.p <= w.s + w.n - w.size GROUP BY ALL
+), compared AS (
+  SELECT b.r, b.item_id, b.s, sum(b.c) AS own, sum(least(b.c, coalesce(i.c, 0))) AS common, any_value(b.n - b.size + 1) AS other
+  FROM bags b LEFT JOIN item_bag i ON b.item_id = i.item_id AND b.g = i.g GROUP BY b.r, b.item_id, b.s
+), best AS (
+  SELECT r, item_id, arg_max(s, (common / (own + other - common), -s)) AS s
+  FROM compared WHERE common / (own + other - common) >= 0.8 GROUP BY r, item_id
+), leaks AS (SELECT r, list(item_id ORDER BY item_id) AS item_ids, list(s - 1 ORDER BY item_id) AS first_words FROM best GROUP BY r)
+SELECT doc_id, item_ids IS NOT NULL AS leaked, coalesce(item_ids, []) AS item_ids, coalesce(first_words, []) AS first_words
+FROM docs LEFT JOIN leaks USING (r)
+"""
