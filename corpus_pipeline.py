@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywatch.llm import decontaminate, language, mixing, ngram_join, substrings
+from tallywatch.llm.common import place, positional
 from tallywatch.session import stage
 
 #: Documents whose language has less than this share of the evidence are rejected.
@@ -18,9 +19,7 @@ LEAST_SCORE = 0.5
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: ``und`` and undecided ones go."""
-    found = language.identify(docs, language.fit(docs))
-    kept = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    return found.filter(kept).drop("lang_pred", "score")
+    return language.keep_identified(docs, language.fit(docs), LEAST_SCORE)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +29,15 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; ``n_chars`` follows."""
-    done = substrings.dedup_substrings(docs).drop("removed")
-    return done.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    done = positional(substrings.dedup_substrings(docs)).drop(f"_{len(docs.columns)}")
+    length = F.char_length(f"_{place(docs.columns, 'text')}").cast("bigint")
+    return done.withColumn(f"_{place(docs.columns, 'n_chars')}", length).toDF(*docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, benchmark).filter(F.size("leaks") == 0).drop("leaks")
+    return decontaminate.without_leaks(docs, benchmark)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,15 +21,22 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     Columns are taken by position, so further columns whose names differ only in case, or
     repeat a name, do no harm: the first exact match wins, else the first in any case.
     """
-    found = []
-    for name in names:
-        exact = [i for i, n in enumerate(df.columns) if n == name]
-        found.append((exact or [i for i, n in enumerate(df.columns) if n.lower() == name.lower()])[0])
-    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(
-        *[F.col(f"_{i}").alias(n) for i, n in zip(found, names)]
+    return positional(df).select(
+        *[F.col(f"_{place(df.columns, name)}").alias(name) for name in names]
     )
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``_0``, ``_1``, ...: no name can clash."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def place(columns: list[str], name: str) -> int:
+    """Where the column is: the first exact match, else the first in any case."""
+    exact = [i for i, n in enumerate(columns) if n == name]
+    return (exact or [i for i, n in enumerate(columns) if n.lower() == name.lower()])[0]
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallywatch.llm.common import bounded, pick, words
+from tallywatch.llm.common import bounded, pick, place, positional, words
 from tallywatch.session import stage
 
 
@@ -221,16 +221,21 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, leak: Leak = Leak(
     leaks = stage(leaks, "leaks")
     columns = documents.columns
     kind = dict(leaks.dtypes)["leaks"]
-    rows = documents.toDF(*[f"_{i}" for i in range(len(columns))])
-    place = lambda name: next(
-        f"_{i}" for exact in (True, False) for i, n in enumerate(columns) if (n == name if exact else n.lower() == name)
-    )
+    rows = positional(documents)
+    doc, text = F.col(f"_{place(columns, 'doc_id')}"), F.col(f"_{place(columns, 'text')}")
     return (
         rows.join(
             bounded(leaks),
-            F.col(place("doc_id")).eqNullSafe(F.col("_doc")) & (F.xxhash64(place("text")) == F.col("_mark")),
+            doc.eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_mark")),
             "left",
         )
         .select(*rows.columns, F.coalesce("leaks", F.array().cast(kind)).alias("leaks"))
         .toDF(*columns, "leaks")
     )
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFrame:
+    """``documents`` that hold no window of an item."""
+    done = positional(decontaminate(documents, benchmark, leak))
+    last = done.columns[-1]
+    return done.filter(F.size(last) == 0).drop(last).toDF(*documents.columns)

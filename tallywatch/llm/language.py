@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallywatch.llm.common import pick, ship_code
+from tallywatch.llm.common import pick, place, positional, ship_code
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -194,20 +194,17 @@ class Scorer:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``."""
+def _scored(documents: DataFrame, model: Model) -> DataFrame:
+    """Columns by position, then ``lang_pred`` and ``score``."""
     ship_code(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    columns = documents.columns
-    at = [i for i, n in enumerate(columns) if n == "text"] or [
-        i for i, n in enumerate(columns) if n.lower() == "text"
-    ]
-    rows = documents.toDF(*[f"_{i}" for i in range(len(columns))])
+    at = place(documents.columns, "text")
+    rows = positional(documents)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.text(t.as_py()) for t in batch.column(at[0])]
+            found = [scorer.text(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
@@ -218,8 +215,19 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             )
 
     kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-    done = rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
-    return done.toDF(*columns, "lang_pred", "score")
+    return rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+
+
+def identify(documents: DataFrame, model: Model) -> DataFrame:
+    """``documents`` with ``lang_pred`` and ``score``."""
+    return _scored(documents, model).toDF(*documents.columns, "lang_pred", "score")
+
+
+def keep_identified(documents: DataFrame, model: Model, least: float) -> DataFrame:
+    """``documents`` whose language is known with a score of at least ``least``."""
+    kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)
+    found = _scored(documents, model).filter(kept).drop("lang_pred", "score")
+    return found.toDF(*documents.columns)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallywatch.llm.common import ship_code
+from tallywatch.llm.common import place, positional, ship_code
 
 _names = lambda text: frozenset(text.split())
 
@@ -346,10 +346,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text`` in place of ``html``."""
     ship_code(pages.sparkSession)
     columns = pages.columns
-    at = ([i for i, n in enumerate(columns) if n == "html"] or [
-        i for i, n in enumerate(columns) if n.lower() == "html"
-    ])[0]
-    rows = pages.toDF(*[f"_{i}" for i in range(len(columns))])
+    at = place(columns, "html")
+    rows = positional(pages)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

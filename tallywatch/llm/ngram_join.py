@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallywatch.llm import textarrays as ta
-from tallywatch.llm.common import pick, ship_code
+from tallywatch.llm.common import pick, place, positional, ship_code
 from tallywatch.llm.graph import connected_components
 from tallywatch.session import stage
 
@@ -452,12 +452,9 @@ def one_per_class(documents: DataFrame, join: Join = Join()) -> DataFrame:
         F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")
     )
     columns = documents.columns
-    rows = documents.toDF(*[f"_{i}" for i in range(len(columns))])
-    place = lambda name: next(
-        f"_{i}" for exact in (True, False) for i, n in enumerate(columns) if (n == name if exact else n.lower() == name)
-    )
-    keyed = rows.withColumn("_key_mark", F.xxhash64(place("text")))
-    same = F.col(place("doc_id")).eqNullSafe(F.col("_doc")) & (F.col("_key_mark") == F.col("_mark"))
-    with_words = keyed.join(kept, same, "left_semi").dropDuplicates([place("doc_id"), "_key_mark"])
+    doc, text = f"_{place(columns, 'doc_id')}", f"_{place(columns, 'text')}"
+    keyed = positional(documents).withColumn("_key_mark", F.xxhash64(text))
+    same = F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_key_mark") == F.col("_mark"))
+    with_words = keyed.join(kept, same, "left_semi").dropDuplicates([doc, "_key_mark"])
     none = keyed.join(wordless.distinct(), same, "left_semi")
     return with_words.unionByName(none).drop("_key_mark").toDF(*columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallywatch.llm import textarrays as ta
-from tallywatch.llm.common import pick, ship_code
+from tallywatch.llm.common import pick, place, positional, ship_code
 
 #: Of 65,536 gear values so many cut.
 CUTS = 1 << 14
@@ -172,11 +172,8 @@ def dedup_substrings(documents: DataFrame, min_words: int = 20) -> DataFrame:
         .agg(F.collect_list("chunk").alias("chunks"))
     )
     columns = documents.columns
-    at = {n: i for i, n in reversed(list(enumerate(columns)))}
-    doc = at.get("doc_id", next(i for i, n in enumerate(columns) if n.lower() == "doc_id"))
-    text = at.get("text", next(i for i, n in enumerate(columns) if n.lower() == "text"))
-    rows = documents.toDF(*[f"_{i}" for i in range(len(columns))])
-    rows = _marked(rows, f"_{text}")
+    doc, text = place(columns, "doc_id"), place(columns, "text")
+    rows = _marked(positional(documents), f"_{text}")
     met = rows.join(
         found, F.col(f"_{doc}").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left"
     )

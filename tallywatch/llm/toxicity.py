@@ -2,9 +2,11 @@
 
 Labels mark documents, so tokens are labelled first: word and prefix features that occur far
 more often in toxic documents than in others (likelihood ratio test over the labelled
-sample) form a lexicon, and in toxic documents the tokens that show one are toxic, all
-others are not. The field then learns weights of word and prefix features and of the four
-transitions from windows around labelled tokens. Its marginals (forward-backward over every
+sample) form a lexicon, unless they owe it to copies: such a feature stands between the same
+words again and again. In toxic documents the tokens that show a feature of the lexicon are
+toxic, all others are not. The field then learns weights of word and prefix features and of the four
+transitions from windows around labelled tokens, of other documents around tokens that share a prefix with the
+lexicon. Its marginals (forward-backward over every
 line of the whole text) give the toxic spans, runs of tokens of at least one half, and the
 document's score: one minus the product over spans of one minus their highest marginal, or
 without a span the highest marginal.
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.llm.common import pick, ship_code
+from tallywatch.llm.common import pick, place, positional, ship_code
 
 TOKEN = re.compile(r"\w+")
 
@@ -76,8 +78,6 @@ def _feature_counts(prefixes: tuple[int, ...]):
                 for word in set(TOKEN.findall((text or "").lower())):
                     own.update(features(word, prefixes))
                 seen[toxic].update(own)
-            # What no toxic document shows is never in the lexicon, but it may be elsewhere
-            # in another batch: the counts of others are kept for all features.
             names = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -91,7 +91,29 @@ def _feature_counts(prefixes: tuple[int, ...]):
     return count
 
 
+def _contexts(candidates: set[str], prefixes: tuple[int, ...]):
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The neighbours that each candidate feature has in a batch."""
+        for batch in batches:
+            found = set()
+            for text in batch.column(0).to_pylist():
+                tokens = TOKEN.findall((text or "").lower())
+                for i, word in enumerate(tokens):
+                    for f in features(word, prefixes):
+                        if f in candidates:
+                            found.add((f, " ".join(tokens[max(0, i - 1) : i + 2])))
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)],
+                names=["feature", "context"],
+            )
+
+    return contexts
+
+
 def _windows(lexicon: set[str], settings: Settings):
+    alike = {f for word in lexicon for f in features(word.strip(), settings.prefixes)}
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows of tokens with their tags: around toxic tokens, else one of the text."""
         size = settings.window
@@ -108,6 +130,12 @@ def _windows(lexicon: set[str], settings: Settings):
                 hits = [i for i, m in enumerate(mark) if m]
                 if toxic and not hits:
                     continue  # nothing says which of its tokens are toxic
+                if not toxic:
+                    hits = [
+                        i
+                        for i, w in enumerate(tokens)
+                        if any(f in alike for f in features(w, settings.prefixes))
+                    ]
                 centers = hits[:: max(1, len(hits) // 4)] or [len(text) % len(tokens)]
                 for center in centers:
                     low = max(0, center - size // 2)
@@ -253,7 +281,16 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
         .limit(settings.lexicon)
         .collect()
     )
-    words = {r["feature"] for r in lexicon}
+    docs_with = {r["feature"]: r["a"] for r in lexicon}
+    around = (
+        known.filter("toxic = 1")
+        .mapInArrow(_contexts(set(docs_with), settings.prefixes), "feature string, context string")
+        .distinct()
+        .groupBy("feature")
+        .count()
+        .collect()
+    )
+    words = {r["feature"] for r in around if 2 * r["count"] >= docs_with[r["feature"]]}
     cut = known.mapInArrow(_windows(words, settings), "tokens array<string>, tags array<tinyint>")
     # At most five windows per sampled row; the lowest hashes stay.
     samples = cut.orderBy(F.xxhash64("tokens"), "tokens").limit(settings.windows).collect()
@@ -332,10 +369,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     ship_code(spark)
     shared = spark.sparkContext.broadcast(model)
     columns = documents.columns
-    at = [i for i, n in enumerate(columns) if n == "text"] or [
-        i for i, n in enumerate(columns) if n.lower() == "text"
-    ]
-    rows = documents.toDF(*[f"_{i}" for i in range(len(columns))])
+    at = place(columns, "text")
+    rows = positional(documents)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -343,7 +378,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
                 batch = whole.slice(begin, 1000)
-                found = scorer.batch(batch.column(at[0]).to_pylist())
+                found = scorer.batch(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *batch.columns,
