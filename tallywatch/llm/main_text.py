@@ -6,7 +6,7 @@ words of class and id. A part named like that stays if it holds an ``article`` o
 or, on a page without those, over half of the text that is left. Every paragraph then scores a point, one per comma and one
 per hundred characters up to three; its container gets them in full, the next ancestor half, those above
 a third of the step before. A container's score is discounted by its link density. The best
-one is kept, widened to the ``article`` or ``main`` around it, or else joined by its headings
+one is kept (on a page with an ``article`` or ``main``, of those inside), widened to the ``article`` or ``main`` around it, or else joined by its headings
 and those siblings that score well enough or are plain paragraphs.
 
 The text of what is kept: character references decoded, white space within a block turned
@@ -37,6 +37,11 @@ INLINE = _names(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s"
     " samp small span strike strong sub sup time tt u var wbr br img"
 )
+#: Elements that are no text, but do not end the block they stand in.
+SILENT = _names(
+    "script style template noscript svg math audio video canvas object iframe button select textarea"
+    " input map"
+)
 #: Elements that are never part of the article.
 DROPPED = _names(
     "script style textarea title xmp iframe noembed noframes head nav footer aside form button select option"
@@ -106,7 +111,7 @@ class Page:
                 node = open_nodes.pop()
                 self.end[node] = len(self.tag)
                 open_count[self.tag[node]] -= 1
-                block |= self.tag[node] not in INLINE
+                block |= self.tag[node] not in INLINE and self.tag[node] not in SILENT
             return block
 
         def find(tags: frozenset[str], barrier: frozenset[str]) -> int | None:
@@ -143,7 +148,7 @@ class Page:
                         continue
                     if close_to(depth):
                         flow += 1
-                elif name not in INLINE:
+                elif name not in INLINE and name not in SILENT:
                     flow += 1
                 continue
             if name == "br":
@@ -151,7 +156,7 @@ class Page:
                 continue
             if name in ("html", "body") and open_count.get(name):
                 continue
-            block = name not in INLINE
+            block = name not in INLINE and name not in SILENT
             if block:
                 flow += 1
                 if name in CLOSES:
@@ -302,7 +307,10 @@ def extract(source: str | None) -> str:
     scores = {i: points[i] * (1 - density(i)) for i in range(n) if points[i] and not gone[i]}
     if not scores:
         return ""
-    best = max(scores, key=lambda i: (scores[i], -i))
+    # Where a page marks its article, nothing else is it.
+    best = max(
+        [i for i in scores if in_article[i]] or scores, key=lambda i: (scores[i], -i)
+    )
     top = best
     while top >= 0 and tag[top] not in ("article", "main"):
         top = parent[top]

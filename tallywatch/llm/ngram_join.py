@@ -42,8 +42,10 @@ def bands_for(threshold: float, recall: float, most: int = 128) -> tuple[int, in
     """Bands and rows per band: the most rows whose bands, at most ``most`` hashes, reach ``recall``."""
     best = None
     for rows in range(1, most + 1):
-        miss = 1 - threshold**rows
-        bands = 1 if miss <= 0 else math.ceil(math.log(1 - recall) / math.log(miss))
+        share = threshold**rows
+        if share < 1e-9:
+            break
+        bands = 1 if share >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-share))
         if bands * rows <= most:
             best = bands, rows
     if best is None:
