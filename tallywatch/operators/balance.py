@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.functions.columns import c
 from tallywatch.functions.keys import digest_bucket, row_digest
+from tallywatch.operators.ordered import ranked
 
-# Leading hex digits of the digest by which the larger class is counted.
-DIGITS = 5
+# Leading hex digits of the digest by which the larger class is counted first: 65,536 counts.
+DIGITS = 4
 
 
 def balance(
@@ -21,51 +22,46 @@ def balance(
 ) -> DataFrame:
     """All ``minority`` rows and exactly ``int(minority count * ratio)`` of the others.
 
-    Majority rows are taken in the order of their key's digest. Counts per
-    digest prefix find the prefix where the quota runs out, so whole prefixes
-    are kept or dropped by a filter and only that one prefix is ranked. Rows
+    Majority rows are taken in the order of their key's digest. Counts per digest prefix
+    find the prefix where the quota runs out: prefixes before it are kept by a filter, and
+    the rows of that one are put in order by ranges, as many as their number asks for. Rows
     of neither class go. ``ratio=None`` keeps both classes whole.
     """
     rare, common = c(label) == minority, c(label) == majority
     if ratio is None:
         return df.filter(rare | common)
-    digest = row_digest(c(key))
-    prefix = F.substring(digest, 1, DIGITS)
+    prefix = F.substring(row_digest(c(key)), 1, DIGITS)
     edge = _edge(df.filter(rare | common), rare, prefix, ratio)
     if edge is None:
         return df.filter(rare | common)
-    place = F.row_number().over(Window.partitionBy("_prefix").orderBy("_digest", c(key)))
-    last = (
-        df.filter(common & (prefix == edge["prefix"]))
-        .withColumns({"_prefix": prefix, "_digest": digest})
-        .withColumn("_place", place)
-        .filter(F.col("_place") <= edge["left"])
-        .select(*[c(n) for n in df.columns])
+    at_edge, left = edge
+    # Rows of one key are told apart by their content; equal rows are interchangeable.
+    ties = {
+        "_digest": row_digest(c(key)),
+        "_row": F.xxhash64(*map(c, df.columns)),
+        "_any": F.monotonically_increasing_id(),
+    }
+    last = ranked(
+        df.filter(common & (prefix == at_edge)).withColumns(ties),
+        [F.col(n).asc() for n in ties],
+        "_rank",
     )
-    return df.filter(rare | (common & (prefix < edge["prefix"]))).unionByName(last)
+    last = last.filter(F.col("_rank") < left).select(*[c(n) for n in df.columns])
+    return df.filter(rare | (common & (prefix < at_edge))).unionByName(last)
 
 
-def _edge(df: DataFrame, rare: Column, prefix: Column, ratio: float) -> Row | None:
+def _edge(df: DataFrame, rare: Column, prefix: Column, ratio: float) -> tuple[str, int] | None:
     """The prefix in which the quota runs out and how many of its rows are left
     to take; None when there are too few rows to run out."""
     # One pass over the rows leaves at most 16 ** DIGITS counts and one more.
-    counts = (
-        df.groupBy(rare.alias("rare"), F.when(~rare, prefix).alias("prefix"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .persist()
-    )
-    try:
-        quota = int((counts.filter("rare").agg(F.sum("n")).first()[0] or 0) * ratio)
-        return (
-            counts.filter("not rare")
-            .withColumn("upto", F.sum("n").over(Window.orderBy("prefix")))
-            .filter(F.col("upto") >= quota)
-            .orderBy("prefix")
-            .select("prefix", (F.lit(quota) - F.col("upto") + F.col("n")).alias("left"))
-            .first()
-        )
-    finally:
-        counts.unpersist()
+    counts = df.groupBy(F.when(~rare, prefix).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    found = {r["prefix"]: r["n"] for r in counts.collect()}
+    quota = int(found.pop(None, 0) * ratio)
+    for name in sorted(found):
+        if found[name] >= quota:
+            return name, quota
+        quota -= found[name]
+    return None
 
 
 def train_test_split(

@@ -10,10 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 from tallywatch.functions.columns import c, quantitative_columns, string_columns, unpivot
 from tallywatch.operators.quantiles import approx_quantiles
 
-# Rows looked at before a whole column is scanned for a value.
-PROBE_ROWS = 1000
-
-
 def normalize_names(df: DataFrame) -> DataFrame:
     """Dots in column names become underscores; clashing names are an error."""
     names = [n.replace(".", "_") for n in df.columns]
@@ -26,8 +22,7 @@ def normalize_names(df: DataFrame) -> DataFrame:
 def empty_columns(df: DataFrame) -> list[str]:
     """Columns that hold only nulls and empty strings.
 
-    The first rows settle most columns; only the rest are scanned in full, all
-    in one aggregate. A table without rows has no empty columns.
+    All columns in one aggregate. A table without rows has no empty columns.
     """
     strings = set(string_columns(df))
 
@@ -35,15 +30,9 @@ def empty_columns(df: DataFrame) -> list[str]:
         present = c(name).isNotNull()
         return present & (c(name) != "") if name in strings else present
 
-    probe = df.select(*[filled(n).alias(str(i)) for i, n in enumerate(df.columns)])
-    first = probe.take(PROBE_ROWS)
-    if not first:
-        return []
-    open_columns = [n for i, n in enumerate(df.columns) if not any(r[i] for r in first)]
-    if not open_columns or len(first) < PROBE_ROWS:
-        return open_columns
-    row = df.agg(*[F.max(filled(n)).alias(str(i)) for i, n in enumerate(open_columns)]).first()
-    return [n for i, n in enumerate(open_columns) if not row[i]]
+    found = [F.max(filled(n)).alias(str(i)) for i, n in enumerate(df.columns)]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *found).first()
+    return [n for i, n in enumerate(df.columns) if row["rows"] and not row[str(i)]]
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
@@ -62,12 +51,14 @@ def fill_nulls(
     numeric: float = 0,
     strings: Mapping[str, str] | str | None = None,
     threshold: int | None = None,
+    exclude: Sequence[str] = (),
 ) -> DataFrame:
     """Numeric nulls (and NaN) become ``numeric``; strings only when asked for.
 
-    With ``threshold``, only columns with more nulls than that are filled.
+    With ``threshold``, only columns with more nulls than that are filled; ``exclude``
+    names columns that stay as they are.
     """
-    numbers, texts = quantitative_columns(df), string_columns(df)
+    numbers, texts = quantitative_columns(df, exclude), string_columns(df, exclude)
     if threshold is not None:
         many = {r["column"] for r in null_profile(df).filter(F.col("nulls") > threshold).collect()}
         numbers = [n for n in numbers if n in many]

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywatch.functions.columns import (
     QUANTITATIVE,
@@ -18,21 +18,22 @@ from tallywatch.functions.text import tokens
 from tallywatch.operators.ordered import ranked
 from tallywatch.session import stage
 
-# The most frequent values of a column that travel to every executor.
-HEAD = 10_000
-# Distinct values that one task may rank.
-RANK_LIMIT = 200_000
-# Longest value that is broadcast, so the head stays within HEAD * this.
-HEAD_CHARS = 512
+#: A value with at least one in so many rows is frequent: so many can be, at the most.
+FREQUENT = 10_000
+
+
+def _digest(value: Column) -> Column:
+    """16 bytes that stand for a text of any length in a join."""
+    return F.unhex(F.md5(value))
 
 
 @dataclass
 class LabelEncoder:
     """String values numbered by falling frequency, ties in alphabetical order.
 
-    ``table`` holds ``column, value, index``; ``sizes`` per column the number of
-    distinct values and the length of the longest. Nulls and unseen values get
-    the number after the last.
+    ``table`` holds ``column, value, index, frequent``; ``sizes`` per column the number of
+    distinct values and of the frequent ones. Nulls and unseen values get the number
+    after the last.
     """
 
     table: DataFrame
@@ -52,32 +53,31 @@ class LabelEncoder:
             .agg(F.count(F.lit(1)).alias("n"))
         )
         counts = stage(counts, "label-counts")
+        rows = {r[0]: r[1] for r in counts.groupBy("column").agg(F.sum("n")).collect()}
+        least = F.lit(1)
+        for name, n in rows.items():
+            least = F.when(F.col("column") == name, F.lit(n / FREQUENT)).otherwise(least)
+        counts = counts.withColumn("frequent", F.col("n") >= least)
         measured = counts.groupBy("column").agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.length("value")).alias("longest")
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("frequent")).alias("frequent")
         )
         sizes = {n: (0, 0) for n in columns}
-        sizes.update({r["column"]: (r["n"], r["longest"]) for r in measured.collect()})
+        sizes.update({r["column"]: (r["n"], r["frequent"]) for r in measured.collect()})
+        start, shift = 0, F.lit(0)
+        for name in sorted(sizes):
+            shift = F.when(F.col("column") == name, start).otherwise(shift)
+            start += sizes[name][0]
         order = [F.col("column"), F.desc("n"), F.col("value")]
-        if sum(n for n, _ in sizes.values()) <= RANK_LIMIT:
-            place = F.row_number().over(Window.partitionBy("column").orderBy(*order[1:])) - 1
-            table = counts.withColumn("index", place.cast("double"))
-        else:
-            start, shift = 0, F.lit(0)
-            for name in sorted(sizes):
-                shift = F.when(F.col("column") == name, start).otherwise(shift)
-                start += sizes[name][0]
-            table = ranked(counts, order, "_all").withColumn(
-                "index", (F.col("_all") - shift).cast("double")
-            )
-        table = stage(table.select("column", "value", "index"), "label-index")
-        return cls(table, sizes)
+        index = (F.col("_all") - shift).cast("double").alias("index")
+        table = ranked(counts, order, "_all").select("column", "value", index, "frequent")
+        return cls(stage(table, "label-index"), sizes)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Replace each fitted column that ``df`` has by its index.
 
-        The most frequent values are looked up in a broadcast of at most
-        ``HEAD`` rows. What is left has no frequent value, so the shuffle join
-        against the tail of the table does not skew.
+        Frequent values are looked up in a broadcast: at most ``FREQUENT`` digests of 16
+        bytes, however long the values are. None of the others was frequent, so the
+        shuffle join for those does not skew.
         """
         columns = df.columns
         for name in self.sizes:
@@ -86,27 +86,29 @@ class LabelEncoder:
         return df.select(*[c(n) for n in columns])
 
     def _encode(self, df: DataFrame, name: str) -> DataFrame:
-        size, longest = self.sizes[name]
+        size, frequent = self.sizes[name]
         codes = self.table.filter(F.col("column") == name).select(
-            F.col("value").alias("_value"), F.col("index").alias("_index")
+            _digest(F.col("value")).alias("_value"), F.col("index").alias("_index"), "frequent"
+        )
+        head = F.broadcast(codes.filter("frequent").drop("frequent"))
+        joined = df.withColumn("_digest", _digest(c(name))).join(
+            head, F.col("_digest") == F.col("_value"), "left"
         )
-        in_head = (F.col("_index") < HEAD) & (F.length("_value") <= HEAD_CHARS)
-        joined = df.join(F.broadcast(codes.filter(in_head)), c(name) == F.col("_value"), "left")
-        unknown = F.lit(float(size))
-        index = F.coalesce(F.col("_index"), unknown).alias(name)
+        index = F.coalesce(F.col("_index"), F.lit(float(size))).alias(name)
         kept = [index if n == name else c(n) for n in df.columns]
-        if size <= HEAD and longest <= HEAD_CHARS:
+        if frequent == size:
             return joined.select(*kept)
         settled = F.col("_index").isNotNull() | c(name).isNull()
         rest = joined.filter(~settled).drop("_value", "_index")
-        rest = rest.join(codes.filter(~in_head), c(name) == F.col("_value"), "left")
+        tail = codes.filter("not frequent").drop("frequent")
+        rest = rest.join(tail, F.col("_digest") == F.col("_value"), "left")
         return joined.filter(settled).select(*kept).unionByName(rest.select(*kept))
 
     def save(self, path: str) -> None:
         self.table.write.mode("overwrite").parquet(path + "/table")
         sizes = self.table.sparkSession.createDataFrame(
             [(name, *size) for name, size in self.sizes.items()],
-            "column string, size int, longest int",
+            "column string, size bigint, frequent bigint",
         )
         sizes.coalesce(1).write.mode("overwrite").parquet(path + "/sizes")
 

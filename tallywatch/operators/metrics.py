@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tallywatch.functions.columns import c
@@ -41,9 +42,12 @@ def regression_metrics(
 def binary_metrics(df: DataFrame, label: str = "label", score: str = "prediction") -> DataFrame:
     """One row: exact ``areaUnderROC`` and ``areaUnderPR`` of a score.
 
-    Equal scores are merged before the shuffle; the cumulative counts come from
-    score buckets, not from one globally sorted task.
+    The score is a number, or a vector such as ``rawPrediction`` whose second entry is
+    taken. Scored rows are evaluated once, equal scores merged before the shuffle; the
+    cumulative counts come from ranges of scores, not from one globally sorted task.
     """
+    if dict(df.dtypes)[score] == "vector":
+        df = df.select(c(label), vector_to_array(c(score))[1].alias(score))
     hit = F.when(c(label) == 1, 1).otherwise(0).cast("bigint")
     curve = running_totals(
         df.filter(c(label).isNotNull() & c(score).isNotNull()),

@@ -46,25 +46,34 @@ def fit(df: DataFrame, estimator: Estimator) -> PipelineModel:
     return Pipeline(stages=[estimator]).fit(rows)
 
 
+def _staged(df: DataFrame) -> DataFrame:
+    """What made ``df`` runs once: training and scoring both read the staged rows."""
+    return stage(df, "scored-rows")
+
+
 def score_linear(model: PipelineModel, df: DataFrame, at: float = 0.8) -> DataFrame:
     """Regression scores turned into classes."""
     return threshold_prediction(model.transform(df), at)
 
 
 def fit_linear(df: DataFrame, label: str = "label") -> DataFrame:
-    return score_linear(fit(df, linear(label)), df)
+    rows = _staged(df)
+    return score_linear(fit(rows, linear(label)), rows)
 
 
 def fit_logistic(df: DataFrame, label: str = "label") -> DataFrame:
-    return fit(df, logistic(label)).transform(df)
+    rows = _staged(df)
+    return fit(rows, logistic(label)).transform(rows)
 
 
 def fit_forest(df: DataFrame, label: str = "label") -> DataFrame:
-    return fit(df, forest(label)).transform(df)
+    rows = _staged(df)
+    return fit(rows, forest(label)).transform(rows)
 
 
 def fit_svm(df: DataFrame, label: str = "label") -> DataFrame:
-    return fit(df, svm(label)).transform(df)
+    rows = _staged(df)
+    return fit(rows, svm(label)).transform(rows)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

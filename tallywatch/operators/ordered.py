@@ -1,142 +1,99 @@
 """Global order without a global task: dense ids and running totals.
 
-Rows are cut into ordered buckets whose bounds come from a sample. The bucket is
-a plain expression of the row, so a lost task recomputes to the same result, and
-work inside a bucket is added to the totals of the buckets before.
-The only data in a single task are those totals, one row per bucket.
+Spark range-partitions the rows by the whole order and the result is staged, so every row
+has a fixed partition and place. What comes before a partition are the totals of the earlier
+ones: one row per partition is all that a single task ever adds up. The number of partitions
+follows the measured rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallywatch.functions.columns import as_number, c
-from tallywatch.operators.quantiles import SAMPLE, grid
+from tallywatch.functions.columns import c
 from tallywatch.session import stage
 
-MAX_BUCKETS = 4000
+#: Rows that one task sorts.
+TASK_ROWS = 2_000_000
 
 
-def _bucketed(df: DataFrame, column: str, output: str, found: list[float]) -> DataFrame:
-    """Add the bucket of ``column``: null lowest, NaN highest."""
-    inf = float("inf")
-    cuts = sorted({v for v in found if v == v and abs(v) != inf}) or [0.0]
-    placed = Bucketizer(
-        splits=[-inf, *cuts, inf], inputCol=column, outputCol=output, handleInvalid="keep"
-    ).transform(df)
-    place = F.when(c(column).isNull(), -1).otherwise(c(output).cast("int"))
-    return placed.withColumn(output, place)
+def partitions_for(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> int:
+    """Partitions so that one holds about ``task_rows``; never fewer than a shuffle has."""
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, math.ceil(rows / task_rows))
 
 
-def _cut(df: DataFrame, lead: str, tie: str | None = None) -> DataFrame:
-    """Add ``_bucket`` by ``lead`` and, with ``tie``, ``_part`` within it.
+def placed(df: DataFrame, order: list[Column], name: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` staged in order, with its ``_part`` and the 0-based ``_place`` in it."""
+    parts = partitions_for(df, df.count(), task_rows)
+    at = F.monotonically_increasing_id()
+    sorted_rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return stage(sorted_rows.withColumn("_at", at), name).select(
+        *[c(n) for n in df.columns],
+        F.shiftright("_at", 33).alias("_part"),
+        F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
+    )
 
-    A value of ``lead`` too frequent for one bucket is cut along ``tie``, at
-    bounds shared by all such values: any of them falls into pieces no larger
-    than the rest. There are at most five times ``MAX_BUCKETS`` pieces.
-    """
-    # Several buckets per task, so that hashing spreads them evenly.
-    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2, min(wanted, MAX_BUCKETS))
-    number = df.withColumn("_lead", as_number(df, lead))
-    rows = df.count()
-    drawn = number if rows <= SAMPLE else number.sample(SAMPLE / rows, seed=7)
-    empty = F.count_if(F.col("_lead").isNull())
-    row = drawn.agg(
-        F.percentile_approx("_lead", grid(buckets), 20 * buckets), empty * buckets, F.count(F.lit(1))
-    ).first()
-    found = row[0] or []
-    cut = _bucketed(number, "_lead", "_bucket", found)
-    if tie is None:
-        return cut
-
-    frequent = [v for v, k in Counter(found).items() if k > 1 and v == v]
-    alone = F.coalesce(F.col("_lead").isin(frequent), F.lit(False))
-    if row[1] > row[2]:
-        alone |= F.col("_lead").isNull()
-        frequent.append(None)
-    # Other values of the bucket follow the frequent one, its lowest.
-    last = F.lit(MAX_BUCKETS * 8)
-    if not frequent:
-        return cut.withColumn("_part", last)
-    pieces = max(2, 4 * buckets // len(frequent))
-    bounds = F.percentile_approx("_tie", grid(pieces), 20 * pieces)
-    cut = cut.withColumn("_tie", as_number(df, tie))
-    drawn = drawn.withColumn("_tie", as_number(df, tie)).filter(alone)
-    cut = _bucketed(cut, "_tie", "_part", drawn.agg(bounds).first()[0] or [])
-    return cut.withColumn("_part", F.when(alone, F.col("_part")).otherwise(last))
-
-
-def _before(totals: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    """Exclusive running sums over the bucket totals (one row per bucket)."""
-    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+
+def _before(totals: DataFrame, sums: list[str]) -> DataFrame:
+    """Exclusive running sums over the totals of the partitions."""
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
-        *keys, *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias("_before_" + s) for s in sums]
+        "_part", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias("_before_" + s) for s in sums]
     )
 
 
-def dense_id(df: DataFrame, lead: str, tie: str, name: str = "id") -> DataFrame:
-    """Number the rows 1, 2, ... by (``lead``, ``tie``), nulls of ``lead`` first.
+def ranked(
+    df: DataFrame, order: list[Column], name: str, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """``df`` with a dense 0-based position in the given total order, of any types."""
+    rows = placed(df, order, name, task_rows)
+    totals = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"))
+    # One row per partition.
+    return rows.join(F.broadcast(_before(totals, ["rows"])), "_part").select(
+        *[c(n) for n in df.columns],
+        (F.col("_before_rows") + F.col("_place")).cast("bigint").alias(name),
+    )
 
-    ``tie`` is a number or time, unique among rows of equal ``lead``.
+
+def dense_id(
+    df: DataFrame, lead: str, tie: str, name: str = "id", task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """Number the rows 1, 2, ... by (``lead``, ``tie``), nulls first.
+
+    Both may be of any type that Spark can sort; ``tie`` is unique among rows of equal
+    ``lead``. A ``lead`` that many rows share is cut along ``tie``.
     """
-    cut = _cut(df, lead, tie)
-    totals = cut.groupBy("_bucket", "_part").agg(F.count(F.lit(1)).alias("rows"))
-    # One row per bucket and piece: a fixed number, however large the table.
-    before = F.broadcast(_before(totals, ["_bucket", "_part"], ["rows"]))
-    place = F.row_number().over(Window.partitionBy("_bucket", "_part").orderBy(c(lead), c(tie)))
-    return (
-        cut.withColumn("_place", place)
-        .join(before, ["_bucket", "_part"], "left")
-        .select(
-            (F.col("_before_rows") + F.col("_place")).cast("bigint").alias(name),
-            *[c(n) for n in df.columns],
-        )
-    )
+    rows = ranked(df, [c(lead).asc(), c(tie).asc()], "_id", task_rows)
+    return rows.select((F.col("_id") + 1).alias(name), *[c(n) for n in df.columns])
 
 
 def running_totals(
-    df: DataFrame, order: str, sums: dict[str, Column], descending: bool = True
+    df: DataFrame,
+    order: str,
+    sums: dict[str, Column],
+    descending: bool = True,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Per distinct ``order`` value the sums, and ``cum_*`` up to and including it."""
+    """Per distinct ``order`` number the sums, and ``cum_*`` up to and including it.
+
+    ``df`` is evaluated once: equal numbers are merged first, the rest works on them.
+    """
     keyed = df.select(c(order).alias("_key"), *[e.alias(n) for n, e in sums.items()])
-    cut = _cut(keyed.withColumn("_key", -F.col("_key") if descending else F.col("_key")), "_key")
-    added = [F.sum(n).alias(n) for n in sums]
-    groups = cut.groupBy("_bucket", "_key").agg(*added)
-    before = F.broadcast(_before(cut.groupBy("_bucket").agg(*added), ["_bucket"], list(sums)))
-    upto = Window.partitionBy("_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = keyed.withColumn("_key", -F.col("_key") if descending else F.col("_key"))
+    groups = stage(keyed.groupBy("_key").agg(*[F.sum(n).alias(n) for n in sums]), "groups")
+    rows = placed(groups, [F.col("_key").asc()], "running", task_rows)
+    before = _before(rows.groupBy("_part").agg(*[F.sum(n).alias(n) for n in sums]), list(sums))
+    upto = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     value = -F.col("_key") if descending else F.col("_key")
     return (
-        groups.select("*", *[F.sum(n).over(upto).alias("_upto_" + n) for n in sums])
-        .join(before, "_bucket", "left")
+        rows.select("*", *[F.sum(n).over(upto).alias("_upto_" + n) for n in sums])
+        .join(F.broadcast(before), "_part")
         .select(
             value.alias(order),
             *sums,
             *[(F.col("_before_" + n) + F.col("_upto_" + n)).alias("cum_" + n) for n in sums],
         )
     )
-
-
-def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Stage ``df`` in the given total order with a dense 0-based position.
-
-    For narrow tables whose order has no numeric lead. Staging fixes the range
-    partitions before their sizes are counted.
-    """
-    low = F.monotonically_increasing_id()
-    placed = stage(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", low), name
-    ).select(
-        "*",
-        F.shiftright("_at", 33).alias("_part"),
-        F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
-    )
-    totals = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"))
-    before = F.broadcast(_before(totals, ["_part"], ["rows"]))
-    return placed.join(before, "_part").select(
-        *[c(n) for n in df.columns],
-        (F.col("_before_rows") + F.col("_place")).cast("bigint").alias(name),
-    )

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import functools
 import math
-import sys
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywatch.functions.columns import c
+from tallywatch.session import stage
 
-# Values still in question are sorted in one task only below this count.
-SORT_LIMIT = 50_000
-# Rows a bound is guessed from.
-SAMPLE = 1_000_000
+#: Values still in question are sorted, each search in a task of its own, below this count.
+TASK_VALUES = 1_000_000
+#: Ranks that a sketch tells apart.
 ACCURACY = 1000
-
-
-def grid(parts: int) -> Column:
-    """The inner probabilities i / ``parts``, as one constant."""
-    return F.expr("array(" + ", ".join(f"{i / parts!r}D" for i in range(1, parts)) + ")")
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def _value(df: DataFrame, name: str) -> Column:
@@ -58,152 +51,199 @@ def exact_quantiles(
 ) -> dict[str, list]:
     """The value at rank ``ceil(p * n)`` (1 at least) of each column.
 
-    A quantile is enclosed by two values guessed from a sample, and the rows
-    below, between and above them are counted, so a bad guess costs a round but
-    never the result. Every round cuts what is left to under a hundredth; few
-    enough values are sorted. All columns share the passes. Whole numbers beyond
-    2 ** 53 are compared as doubles.
+    Three scans whatever the size: a sketch encloses each quantile by two values, the rows
+    around those are counted (in the column's own type), and the values between them, about
+    a two-hundredth, are staged. A bad guess leaves more values, never a wrong one. On what is
+    staged the same is repeated until each search has few enough values for one task to sort.
     """
     values = {n: _value(df, n) for n in columns}
-    counts = df.agg(*[F.count(v).alias(n) for n, v in values.items()]).first()
-    searches = [
-        _Search(n, p, counts[n], max(1, math.ceil(p * counts[n])))
-        for n in columns
-        if counts[n]
-        for p in probabilities
-    ]
-    while wide := [s for s in searches if s.answer is None and s.size > SORT_LIMIT]:
-        _enclose(df, values, wide)
-        below, equal = _count_bounds(df, values, wide)
-        for s in wide:
-            s.narrow(below, equal)
-    if narrow := [s for s in searches if s.answer is None]:
-        near = df.filter(_any(s.inside(values) for s in narrow))
-        picked = near.agg(*[s.pick(values).alias(str(i)) for i, s in enumerate(narrow)]).first()
-        for i, s in enumerate(narrow):
-            s.answer = picked[i]
+    points = sorted(
+        {min(1.0, max(0.0, p + d / ACCURACY)) for p in probabilities for d in (-2, 2)}
+    )
+    row = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())],
+        *[
+            F.percentile_approx(v, points, ACCURACY).alias(f"q{i}")
+            for i, v in enumerate(values.values())
+        ],
+    ).first()
+    searches = []
+    guessed: dict[str, list] = {}
+    for i, n in enumerate(columns):
+        if row[f"n{i}"]:
+            guessed[n] = sorted(set(row[f"q{i}"]))
+            searches += [_Search(n, len(searches) + k, p, row[f"n{i}"]) for k, p in enumerate(probabilities)]
+    if not searches:
+        return {}
+    counted = _count_around(df, values, guessed)
+    for s in searches:
+        s.narrow(counted[s.column])
+    kinds = dict(df.dtypes)
+    wide = [s for s in searches if s.answer is None]
+    if wide:
+        near = _inside(df, values, kinds, wide)
+        while large := [s for s in wide if s.size > TASK_VALUES]:
+            before = sum(s.size for s in large)
+            _halve(near, large, kinds)
+            wide = [s for s in wide if s.answer is None]
+            if sum(s.size for s in large if s.answer is None) >= before:
+                break  # values that a sketch cannot tell apart
+            near = stage(_between(near, wide, kinds), "near")
+        _sort(near, wide)
     found: dict[str, list] = {}
     for s in searches:
         found.setdefault(s.column, []).append(s.answer)
     return found
 
 
-def _any(conditions) -> Column:
-    return functools.reduce(lambda x, y: x | y, conditions)
-
-
 class _Search:
-    """The value of one rank, known to lie in an open interval of ``size`` rows."""
+    """The value of one rank, known to lie in an open interval: ranks before + 1 to upto."""
 
-    def __init__(self, column: str, probability: float, size: int, rank: int) -> None:
-        self.column, self.probability, self.size, self.rank = column, probability, size, rank
+    def __init__(self, column: str, number: int, probability: float, rows: int) -> None:
+        self.column, self.number = column, number
+        self.rank = max(1, math.ceil(probability * rows))
         self.low = self.high = self.answer = None
-        self.before = 0
-        self.bounds: tuple = ()
-
-    def inside(self, values: dict[str, Column]) -> Column:
-        value = values[self.column]
-        condition = value.isNotNull()
-        if self.low is not None:
-            condition &= value > self.low
-        if self.high is not None:
-            condition &= value < self.high
-        return condition
-
-    def around(self) -> list[float]:
-        """Where in the interval to look; wide enough for a sample's error."""
-        margin = 2 / ACCURACY + (3 / math.sqrt(SAMPLE) if self.size > SAMPLE else 0)
-        at = (self.rank - self.before) / self.size
-        return [max(0.0, at - margin), min(1.0, at + margin)]
-
-    def narrow(self, below: dict, equal: dict) -> None:
-        """Use the counts of rows below and equal to each bound."""
-        for bound in self.bounds:
-            under = below[self.column, bound]
-            if self.rank <= under:
-                self.high = bound
-                self.size = under - self.before
+        self.before, self.upto = 0, rows
+
+    @property
+    def size(self) -> int:
+        return self.upto - self.before
+
+    def narrow(self, counted: list[tuple]) -> None:
+        """``counted``: bounds in order, with the rows of the column below and equal to each."""
+        for bound, below, equal in counted:
+            if self.rank <= below:
+                self.high, self.upto = bound, below
                 return
-            upto = under + equal[self.column, bound]
-            if self.rank <= upto:
+            if self.rank <= below + equal:
                 self.answer = bound
                 return
-            self.size -= upto - self.before
-            self.low, self.before = bound, upto
-
-    def pick(self, values: dict[str, Column]) -> Column:
-        held = F.collect_list(F.when(self.inside(values), values[self.column]))
-        return F.element_at(F.sort_array(held), F.lit(self.rank - self.before))
+            self.low, self.before = bound, below + equal
+
+
+def _count_around(
+    df: DataFrame, values: dict[str, Column], bounds: dict[str, list]
+) -> dict[str, list[tuple]]:
+    """Rows below and equal to every bound, all columns in one grouped count."""
+    kinds = dict(df.dtypes)
+    places = []
+    for i, (name, found) in enumerate(bounds.items()):
+        place = F.lit(2 * len(found))
+        for k, bound in reversed(list(enumerate(found))):
+            at = F.lit(bound).cast(kinds[name])
+            place = F.when(values[name] < at, 2 * k).when(values[name] == at, 2 * k + 1).otherwise(place)
+        place = F.when(values[name].isNotNull(), place)
+        places.append(F.struct(F.lit(i).alias("i"), place.alias("place")))
+    rows = df.select(F.inline(F.array(*places))).groupBy("i", "place").count().collect()
+    counted: dict[str, list[tuple]] = {}
+    for i, (name, found) in enumerate(bounds.items()):
+        held = {r["place"]: r["count"] for r in rows if r["i"] == i and r["place"] is not None}
+        below = 0
+        for k, bound in enumerate(found):
+            below += held.get(2 * k, 0)
+            equal = held.get(2 * k + 1, 0)
+            counted.setdefault(name, []).append((bound, below, equal))
+            below += equal
+    return counted
+
+
+def _inside(
+    df: DataFrame, values: dict[str, Column], kinds: dict[str, str], searches: list[_Search]
+) -> DataFrame:
+    """Staged rows ``s``, ``d`` or ``l``: the values in each search's interval, in its type."""
+    entries = []
+    for s in searches:
+        value = values[s.column]
+        inside = value.isNotNull()
+        if s.low is not None:
+            inside &= value > F.lit(s.low).cast(kinds[s.column])
+        if s.high is not None:
+            inside &= value < F.lit(s.high).cast(kinds[s.column])
+        whole = kinds[s.column] in WHOLE
+        entries.append(
+            F.when(
+                inside,
+                F.struct(
+                    F.lit(s.number).alias("s"),
+                    (F.lit(None) if whole else value).cast("double").alias("d"),
+                    (value if whole else F.lit(None)).cast("bigint").alias("l"),
+                ),
+            )
+        )
+    return stage(df.select(F.inline(F.array_compact(F.array(*entries)))), "near")
+
+
+def _limits(df: DataFrame, searches: list[_Search], kinds: dict[str, str]) -> DataFrame:
+    """The intervals as a table, one row per search."""
+    rows = []
+    for s in searches:
+        pair = (s.low, s.high)
+        whole = kinds[s.column] in WHOLE
+        rows.append((s.number, *((None, None) if whole else pair), *(pair if whole else (None, None))))
+    return df.sparkSession.createDataFrame(
+        rows, "s int, low_d double, high_d double, low_l bigint, high_l bigint"
+    )
 
 
-def _enclose(df: DataFrame, values: dict[str, Column], searches: list[_Search]) -> None:
-    """Guess two bounds for every search; searches in one interval share a sketch."""
-    near = df.filter(_any(s.inside(values) for s in searches))
-    largest = max(s.size for s in searches)
-    if largest > SAMPLE:
-        near = near.sample(SAMPLE / largest, seed=7)
-    shared: dict[tuple, list[_Search]] = {}
+def _between(near: DataFrame, searches: list[_Search], kinds: dict[str, str]) -> DataFrame:
+    """The values that are still in question."""
+    # One row per search.
+    held = near.join(F.broadcast(_limits(near, searches, kinds)), "s")
+    inside = F.lit(True)
+    for v in ("d", "l"):
+        inside &= F.col(f"low_{v}").isNull() | (F.col(v) > F.col(f"low_{v}"))
+        inside &= F.col(f"high_{v}").isNull() | (F.col(v) < F.col(f"high_{v}"))
+    return held.filter(inside).select("s", "d", "l")
+
+
+def _halve(near: DataFrame, searches: list[_Search], kinds: dict[str, str]) -> None:
+    """Enclose each search anew, by a sketch of its own values, and count around that."""
+    held = near.join(F.broadcast(_limits(near, searches, kinds)), "s")
+    # Whole numbers as offsets, which a sketch of doubles keeps exact.
+    offset = F.coalesce(F.col("d"), (F.col("l") - F.coalesce("low_l", F.lit(0))).cast("double"))
+    grid_ = F.expr("array(" + ", ".join(f"{i / ACCURACY!r}D" for i in range(ACCURACY + 1)) + ")")
+    sketches = held.groupBy("s").agg(F.percentile_approx(offset, grid_, 10 * ACCURACY).alias("q"))
+    found = {r["s"]: r["q"] for r in sketches.collect()}
+    rows = []
     for s in searches:
-        shared.setdefault((s.column, s.low, s.high), []).append(s)
-    sketches = []
-    for i, group in enumerate(shared.values()):
-        held = F.when(group[0].inside(values), values[group[0].column])
-        points = [p for s in group for p in s.around()]
-        sketches.append(F.percentile_approx(held, points, ACCURACY).alias(str(i)))
-    row = near.agg(*sketches).first()
-    for i, group in enumerate(shared.values()):
-        for j, s in enumerate(group):
-            # A sample may miss a small interval; the next round draws again.
-            s.bounds = tuple(sorted(set(row[i][2 * j : 2 * j + 2]))) if row[i] else ()
-
-
-def _count_bounds(
-    df: DataFrame, values: dict[str, Column], searches: list[_Search]
-) -> tuple[dict, dict]:
-    """Rows below and equal to every bound, from one grouped count.
-
-    Every bound opens two buckets: the one of just itself, which ends at the
-    next double, and the one after it.
-    """
-    inf = float("inf")
-    bounds: dict[str, list] = {}
+        at = (s.rank - s.before) / s.size * ACCURACY
+        around = [found[s.number][max(0, min(ACCURACY, int(k)))] for k in (at - 2, at + 3)]
+        if kinds[s.column] in WHOLE:
+            rows += [(s.number, None, round(x) + (s.low or 0)) for x in set(around)]
+        else:
+            rows += [(s.number, x, None) for x in set(around)]
+    bounds = near.sparkSession.createDataFrame(rows, "s int, bound_d double, bound_l bigint")
+    below = (F.col("d") < F.col("bound_d")) | (F.col("l") < F.col("bound_l"))
+    equal = (F.col("d") == F.col("bound_d")) | (F.col("l") == F.col("bound_l"))
+    counts = (
+        near.join(F.broadcast(bounds), "s")
+        .groupBy("s", "bound_d", "bound_l")
+        .agg(F.count_if(below).alias("below"), F.count_if(equal).alias("equal"))
+        .collect()
+    )
     for s in searches:
-        bounds[s.column] = sorted({*bounds.get(s.column, []), *s.bounds})
-    names = list(bounds)
-    splits = []
-    for name in names:
-        starts = {float(b) for b in bounds[name]}
-        starts |= {math.nextafter(b, inf) for b in starts} | {-inf, inf, -sys.float_info.max}
-        starts |= {sys.float_info.max}
-        splits.append(sorted(starts))
-    # Adding 0 turns -0.0 into 0.0, which a binary search tells apart.
-    numbers = df.select(
-        *[(values[n].cast("double") + 0.0).alias(f"v{i}") for i, n in enumerate(names)]
+        own = [
+            (r["bound_l"] if r["bound_d"] is None else r["bound_d"], s.before + r["below"], r["equal"])
+            for r in counts
+            if r["s"] == s.number
+        ]
+        s.narrow(sorted(own))
+
+
+def _sort(near: DataFrame, searches: list[_Search]) -> None:
+    """Answer what is left: each search's values are sorted in a task of their own."""
+    if not searches:
+        return
+    wanted = near.sparkSession.createDataFrame(
+        [(s.number, s.rank - s.before) for s in searches], "s int, at int"
+    )
+    place = F.row_number().over(Window.partitionBy("s").orderBy("d", "l"))
+    rows = (
+        near.join(F.broadcast(wanted), "s").withColumn("place", place).filter("place = at").collect()
     )
-    placed = Bucketizer(
-        inputCols=numbers.columns,
-        outputCols=[f"p{i}" for i in range(len(names))],
-        splitsArray=splits,
-        handleInvalid="keep",
-    ).transform(numbers)
-    pairs = [
-        F.struct(F.lit(i).alias("i"), F.col(f"p{i}").cast("int").alias("place"))
-        for i in range(len(names))
-    ]
-    rows = placed.select(F.inline(F.array(*pairs))).groupBy("i", "place").count().collect()
-    below, equal = {}, {}
-    for i, name in enumerate(names):
-        found = {
-            splits[i][r["place"]]: r["count"]
-            for r in rows
-            if r["i"] == i and r["place"] is not None and r["place"] < len(splits[i]) - 1
-        }
-        for b in bounds[name]:
-            # Infinity shares its bucket with the largest double.
-            at = min(float(b), sys.float_info.max)
-            below[name, b] = sum(k for start, k in found.items() if start < at)
-            equal[name, b] = found.get(at, 0)
-    return below, equal
+    picked = {r["s"]: r["l"] if r["d"] is None else r["d"] for r in rows}
+    for s in searches:
+        s.answer = picked[s.number]
 
 
 def quantile_table(

@@ -34,21 +34,22 @@ def chi_square_table(df: DataFrame, columns: Sequence[str], label: str = "label"
         .agg(F.count(F.lit(1)).alias("n"))
     )
     per_value = Window.partitionBy("feature", "value")
-    cells = cells.withColumn("n_value", F.sum("n").over(per_value))
-    by_label = cells.groupBy("feature", "label").agg(F.sum("n").alias("n_label"))
-    totals = by_label.groupBy("feature").agg(
-        F.sum("n_label").alias("total"), F.count(F.lit(1)).alias("labels")
+    first = F.row_number().over(per_value.orderBy("label")) == 1
+    cells = cells.withColumn("n_value", F.sum("n").over(per_value)).withColumn("first", first)
+    # A label's total divides what all its cells add up to, so no cell needs to be joined to it.
+    part = F.col("n") * F.col("n") / F.col("n_value").cast("double")
+    by_label = cells.groupBy("feature", "label").agg(
+        F.sum(part).alias("part"),
+        F.sum("n").alias("n_label"),
+        F.count_if(F.col("first")).alias("values"),
     )
-    part = F.col("n") * F.col("n") / (F.col("n_value").cast("double") * F.col("n_label"))
     return (
-        cells.join(by_label, ["feature", "label"])
-        .join(totals, "feature")
-        .groupBy("feature")
+        by_label.groupBy("feature")
         .agg(
-            F.sum(part).alias("_parts"),
-            F.max("total").alias("_total"),
-            F.max("labels").alias("_labels"),
-            F.countDistinct("value").alias("_values"),
+            F.sum(F.col("part") / F.col("n_label")).alias("_parts"),
+            F.sum("n_label").alias("_total"),
+            F.count(F.lit(1)).alias("_labels"),
+            F.sum("values").alias("_values"),
         )
         .select(
             "feature",
@@ -91,17 +92,20 @@ def selected_indices(
 ) -> list[int]:
     """Positions, in a vector of ``columns``, of the ``top`` that depend most on the label.
 
-    The test needs categories: numbers are binned, vector columns enter as they are.
+    The test needs categories: numbers are binned, vector columns enter as they are. A
+    missing number is a category of its own, so every row counts.
     """
     vectors = {n for n, t in df.dtypes if t == "vector"}
     numbers = [n for n in columns if n not in vectors]
     inputs = {n: n for n in columns}
     if numbers:
+        missing = F.lit(float("nan"))
+        df = df.withColumns({n: F.coalesce(c(n).cast("double"), missing) for n in numbers})
         bin_stage = discretizer(df, numbers, bins)
         df = bin_stage.transform(df)
         inputs.update(zip(numbers, bin_stage.getOutputCols()))
     binned = VectorAssembler(
-        inputCols=[inputs[n] for n in columns], outputCol="_binned", handleInvalid="skip"
+        inputCols=[inputs[n] for n in columns], outputCol="_binned", handleInvalid="error"
     ).transform(df)
     model = chi_square_selector("_binned", label, top, "_kept").fit(binned)
     return sorted(model.selectedFeatures)

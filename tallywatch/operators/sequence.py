@@ -7,32 +7,32 @@ failures too. So the rule is a look-back of fixed length within the user, one
 shuffle of the failures and resets; all other rows stay where they are.
 
 A user who holds too many rows for one task is cut into pieces along the order
-column. The first ``threshold - 1`` rows of a piece need rows of earlier pieces:
-these heads, and the last ``threshold - 1`` rows of every piece, meet in a
-second, far smaller shuffle by user.
+column: the rows of such users are range-partitioned by it, and the partition is the piece.
+The first ``threshold - 1`` rows of a piece need rows of earlier pieces: these heads, and the
+last ``threshold - 1`` rows of every piece, meet in a second, far smaller shuffle by user.
+Users are counted exactly; how many are cut, and into how many pieces, follows from their rows.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallywatch.functions.columns import as_number, c
-from tallywatch.operators.quantiles import SAMPLE, grid
+from tallywatch.functions.columns import c
+from tallywatch.operators.ordered import TASK_ROWS, partitions_for
+from tallywatch.session import stage
 
-MAX_PIECES = 4000
+#: A side of a join is broadcast only if it was counted to have no more rows.
+BROADCAST_ROWS = 10_000
 
 
 @dataclass(frozen=True)
 class SequenceRule:
     """``threshold`` failures of one ``key`` in a row, in ``order``.
 
-    ``order`` is a number or time, never null and unique within a user. A log of at least
-    ``split_from`` failures and resets is searched for busy users, those with
-    more than ``busy_share`` of them (half a shuffle partition by default).
+    ``order`` is never null and unique within a user. A user with more than ``task_rows``
+    failures and resets is cut into pieces of about that many.
     """
 
     # The rule's title, the log's column names and task names.
@@ -43,8 +43,7 @@ class SequenceRule:
     fail: str = "LoginFailure"
     reset: str = "LogOn"
     threshold: int = 3
-    split_from: int = 1_000_000
-    busy_share: float | None = None
+    task_rows: int = TASK_ROWS
 
     def __post_init__(self) -> None:
         if self.threshold < 1:
@@ -58,95 +57,72 @@ class SequenceRule:
         return c(self.event).isin(self.fail, self.reset)
 
 
-@dataclass
-class _Pieces:
-    """Which users are cut (at most ``MAX_PIECES``), and where along the order column."""
+def _split(rows: DataFrame, rule: SequenceRule) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary users, and those of busy ones with their ``_piece``, if there are any.
 
-    users: DataFrame
-    cuts: list[float]
-
-    def keep(self, rows: DataFrame, key: str, busy: bool) -> DataFrame:
-        """The rows of the busy users, or of all others."""
-        same = c(key).eqNullSafe(F.col("_busy"))
-        return rows.join(F.broadcast(self.users), same, "left_semi" if busy else "left_anti")
-
-    def add(self, rows: DataFrame, rule: SequenceRule) -> DataFrame:
-        """Add ``_piece``, which never falls along the order."""
-        bounds = [-float("inf"), *sorted(set(self.cuts)), float("inf")]
-        placed = Bucketizer(
-            splits=bounds, inputCol="_at", outputCol="_bucket", handleInvalid="keep"
-        ).transform(rows.withColumn("_at", as_number(rows, rule.order)))
-        return placed.withColumn("_piece", F.col("_bucket").cast("int")).drop("_at", "_bucket")
-
-
-def _pieces(df: DataFrame, rule: SequenceRule) -> _Pieces | None:
-    """Busy users and cuts from a sample; None when no user needs cutting.
-
-    The sample only steers the sizes of the pieces, never the result. At most
-    ``2 / share`` users can pass the limit, and their rows are cut into as many
-    pieces, so a piece is as small as the rows of an ordinary user.
+    Pieces ascend along the order. The busy rows are staged, so that all their readers see
+    the same pieces.
+    """
+    counts = rows.groupBy(c(rule.key).alias("_busy")).agg(F.count(F.lit(1)).alias("_rows"))
+    users = stage(counts.filter(F.col("_rows") > rule.task_rows), "busy-users")
+    found, held = users.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    if not found:
+        return rows, None
+    keys = users.select("_busy")
+    keys = F.broadcast(keys) if found <= BROADCAST_ROWS else keys
+    same = c(rule.key).eqNullSafe(F.col("_busy"))
+    # The rows of any one user in a range are no more than all rows in it.
+    parts = partitions_for(rows, held, rule.task_rows)
+    busy = rows.join(keys, same, "left_semi").repartitionByRange(parts, c(rule.order))
+    pieces = stage(busy.withColumn("_piece", F.spark_partition_id()), "pieces")
+    return rows.join(keys, same, "left_anti"), pieces
+
+
+def _runs(df: DataFrame, rule: SequenceRule, thresholds: list[int]) -> DataFrame:
+    """The failure rows of ``df``, and per threshold ``_run_<n>``: failures in the last n rows.
+
+    All thresholds share one shuffle and one sort.
     """
-    rows = df.filter(rule.counted()).select(
-        c(rule.key).alias("user"), as_number(df, rule.order).alias("at")
-    )
-    total = rows.count()
-    if total < rule.split_from:
-        return None
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = rule.busy_share or 1 / (2 * partitions)
-    share = max(share, 2 / MAX_PIECES)
-    drawn = rows if total <= SAMPLE else rows.sample(SAMPLE / total, seed=7)
-    limit = share / 2 * min(total, SAMPLE)
-    counts = drawn.groupBy(F.col("user").alias("_busy")).count()
-    busy = counts.filter(F.col("count") >= limit).select("_busy")
-    users = busy.collect()
-    if not users:
-        return None
-    found = _Pieces(df.sparkSession.createDataFrame(users, busy.schema), [])
-    pieces = max(2, math.ceil(2 / share))
-    cuts = F.percentile_approx("at", grid(pieces), 20 * pieces)
-    found.cuts = found.keep(drawn, "user", True).agg(cuts).first()[0] or []
-    return found
-
-
-def flag_failures(df: DataFrame, rule: SequenceRule) -> DataFrame:
-    """The failure rows of ``df`` with their ``label`` (0 or 1)."""
     columns = [n for n in df.columns if n.lower() != "label"]
-    if rule.threshold == 1:
-        return df.filter(rule.failed()).select(*map(c, columns), F.lit(1).alias("label"))
-
-    back = rule.threshold - 1
+    back = max(thresholds) - 1
     held = (rule.key.lower(), rule.order.lower())
     # A reset row only has to be present: its other columns stay behind.
     rows = df.filter(rule.counted()).select(
         *[c(n) if n.lower() in held else F.when(rule.failed(), c(n)).alias(n) for n in columns],
-        # A number, so that both readers of the pieces' shuffle sum it as it is.
         rule.failed().cast("int").alias("_fail"),
     )
-    run = F.sum("_fail")
-    label = (F.col("_run") == rule.threshold).cast("int").alias("label")
     user = Window.partitionBy(c(rule.key)).orderBy(c(rule.order))
 
-    pieces = _pieces(df, rule)
-    whole = rows if pieces is None else pieces.keep(rows, rule.key, False)
-    flagged = whole.withColumn("_run", run.over(user.rowsBetween(-back, 0)))
+    def runs(window) -> dict[str, Column]:
+        return {
+            f"_run_{n}": F.sum("_fail").over(window.rowsBetween(1 - n, 0)) for n in thresholds
+        }
+
+    whole, pieces = _split(rows, rule)
+    flagged = whole.withColumns(runs(user))
     if pieces is not None:
         group = Window.partitionBy(c(rule.key), "_piece").orderBy(c(rule.order))
-        local = pieces.add(pieces.keep(rows, rule.key, True), rule).select(
-            "*",
-            F.row_number().over(group).alias("_position"),
-            F.lead(c(rule.order), back).over(group).isNull().alias("_tail"),
-            run.over(group.rowsBetween(-back, 0)).alias("_run"),
-        )
+        ends = {
+            "_position": F.row_number().over(group),
+            "_tail": F.lead(c(rule.order), back).over(group).isNull() if back else F.lit(False),
+        }
+        local = pieces.withColumns({**ends, **runs(group)})
         head = F.col("_position") <= back
-        heads = (
-            local.filter(head | F.col("_tail"))
-            .withColumn("_run", run.over(user.rowsBetween(-back, 0)))
-            .filter(head)
-        )
+        heads = local.filter(head | F.col("_tail")).withColumns(runs(user)).filter(head)
         for part in (local.filter(~head), heads):
             flagged = flagged.unionByName(part.select(*flagged.columns))
-    return flagged.filter("_fail = 1").select(*map(c, columns), label)
+    return flagged.filter("_fail = 1").drop("_fail")
+
+
+def flag_failures(df: DataFrame, rule: SequenceRule) -> DataFrame:
+    """The failure rows of ``df`` with their ``label`` (0 or 1)."""
+    columns = [n for n in df.columns if n.lower() != "label"]
+    if rule.threshold == 1:
+        return df.filter(rule.failed()).select(*map(c, columns), F.lit(1).alias("label"))
+    hit = F.col(f"_run_{rule.threshold}") == rule.threshold
+    return _runs(df, rule, [rule.threshold]).select(
+        *map(c, columns), hit.cast("int").alias("label")
+    )
 
 
 def consecutive_failures(df: DataFrame, rule: SequenceRule = SequenceRule()) -> DataFrame:
@@ -157,16 +133,29 @@ def consecutive_failures(df: DataFrame, rule: SequenceRule = SequenceRule()) ->
 
 
 def rule_hits(df: DataFrame, rules: list[SequenceRule]) -> DataFrame:
-    """One row per flagged event and rule: ``rule``, ``user``, ``id``."""
-    hits = [
-        flag_failures(df.select(c(r.key), c(r.order), c(r.event)), r)
-        .filter("label = 1")
-        .select(F.lit(r.name).alias("rule"), c(r.key).alias("user"), c(r.order).alias("id"))
-        for r in rules
-    ]
-    result = hits[0]
-    for more in hits[1:]:
-        result = result.unionByName(more)
+    """One row per flagged event and rule: ``rule``, ``user``, ``id``.
+
+    Rules that differ in name and threshold only are judged in one pass.
+    """
+    alike: dict[SequenceRule, list[SequenceRule]] = {}
+    for r in rules:
+        alike.setdefault(replace(r, name="", threshold=1), []).append(r)
+    result = None
+    for shared, group in alike.items():
+        narrow = df.select(*map(c, dict.fromkeys((shared.key, shared.order, shared.event))))
+        runs = _runs(narrow, shared, sorted({r.threshold for r in group}))
+        names = F.array(
+            *[
+                F.when(F.col(f"_run_{r.threshold}") == r.threshold, F.lit(r.name))
+                for r in group
+            ]
+        )
+        hits = runs.select(
+            F.explode(F.array_compact(names)).alias("rule"),
+            c(shared.key).alias("user"),
+            c(shared.order).alias("id"),
+        )
+        result = hits if result is None else result.unionByName(hits)
     return result
 
 
@@ -179,11 +168,10 @@ def user_state(df: DataFrame, rule: SequenceRule = SequenceRule()) -> DataFrame:
     rows = df.filter(rule.counted()).select(
         c(rule.key), c(rule.order), rule.failed().alias("_fail")
     )
-    pieces = _pieces(df, rule)
-    whole = rows if pieces is None else pieces.keep(rows, rule.key, False)
+    whole, pieces = _split(rows, rule)
     cut = whole.withColumn("_piece", F.lit(0))
     if pieces is not None:
-        cut = cut.unionByName(pieces.add(pieces.keep(rows, rule.key, True), rule))
+        cut = cut.unionByName(pieces)
     group = Window.partitionBy(c(rule.key), "_piece")
     reset_at = F.max(F.when(~F.col("_fail"), c(rule.order))).over(group)
     still_open = F.col("_reset").isNull() | (c(rule.order) > F.col("_reset"))

@@ -30,8 +30,8 @@ from tallywatch.operators.sequence import (
     rule_hits,
     user_state,
 )
-from tallywatch.plans.pipeline import FittedPipeline, PipelineSpec, run_pipeline
-from tallywatch.session import scratch_path
+from tallywatch.plans.pipeline import FittedPipeline, PipelineRun, PipelineSpec, run_pipeline
+from tallywatch.session import scratch_path, stage
 from tallywatch.sources import tables
 from tallywatch.streaming.rule_stream import replay
 
@@ -101,7 +101,7 @@ def consecutive_failures_(spark, folder):
 @query(CONSECUTIVE_SQL)
 def consecutive_failures_segmented(spark, folder):
     """The rule with every user cut into pieces, as a busy user's log would be."""
-    rule = replace(LOGINS, split_from=1, busy_share=0.001)
+    rule = replace(LOGINS, task_rows=10)
     logins = load(spark, folder, "events").select("event_id", "user_id", "event_type")
     return consecutive_failures(logins, rule)
 
@@ -131,16 +131,28 @@ def user_state_(spark, folder):
 
 @query(
     """
-    SELECT ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) AS id,
-           o_orderkey, o_custkey, o_orderstatus, CAST(0 AS INTEGER) AS label
+    SELECT ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) AS id, *,
+           CAST(0 AS INTEGER) AS label
     FROM orders
     """
 )
 def create_labeled(spark, folder):
-    log = load(spark, folder, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"
-    )
-    return labels.create_labeled(log, "o_orderdate", "o_orderkey").drop("o_orderdate")
+    return labels.create_labeled(load(spark, folder, "orders"), "o_orderdate", "o_orderkey")
+
+
+@query(
+    """
+    SELECT ROW_NUMBER() OVER (ORDER BY ts, event_id) AS id, *, CAST(0 AS INTEGER) AS label
+    FROM (SELECT event_id, TIMESTAMP '2024-01-01' + TO_MICROSECONDS(event_id * 7 % 1000003) AS ts,
+                 user_id, event_type, value, props
+          FROM events)
+    """
+)
+def create_labeled_burst(spark, folder):
+    """Numbering of a log whose events all fall within two seconds."""
+    burst = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("event_id") * 7 % 1000003)
+    log = load(spark, folder, "events").withColumn("ts", burst.cast("timestamp_ntz"))
+    return labels.create_labeled(log, "ts", "event_id")
 
 
 @query(
@@ -222,12 +234,13 @@ def preview(spark, folder):
 # ------------------------------------------------------ sources and sinks
 
 
-@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+@query("SELECT * FROM documents")
 def csv_round_trip(spark, folder):
-    customers = load(spark, folder, "customer")
-    path = scratch_path(spark, "customer-csv")
-    tables.write_csv(customers, path)
-    return tables.scan_csv(spark, path, customers.schema)
+    """Texts with line breaks, quotes and outer blanks come back as they were."""
+    documents = load(spark, folder, "documents")
+    path = scratch_path(spark, "csv")
+    tables.write_csv(documents, path)
+    return tables.scan_csv(spark, path, documents.schema)
 
 
 @query(
@@ -1003,17 +1016,79 @@ def fit_linear(spark, folder):
     )
 
 
-@query()
+# Three kinds of events with a label rate each: the fitted model of two indicator features
+# has as many weights as there are kinds, so its probabilities are the rates.
+RATES_SQL = """
+kinds AS (
+    SELECT event_id,
+           CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS kind,
+           CAST(CASE WHEN value > CASE event_type WHEN 'error' THEN 20 WHEN 'click' THEN 60
+                                  ELSE 100 END THEN 1 ELSE 0 END AS INTEGER) AS label
+    FROM events)
+"""
+
+
+def _kinds(spark: SparkSession, folder: str) -> DataFrame:
+    failed, clicked = (F.col("event_type") == t for t in ("error", "click"))
+    limit = F.when(failed, 20).when(clicked, 60).otherwise(100)
+    rows = events(spark, folder).select(
+        "event_id",
+        failed.cast("int").alias("failed"),
+        clicked.cast("int").alias("clicked"),
+        (F.col("value") > limit).cast("int").alias("label"),
+    )
+    return encode.assemble(rows, exclude=("event_id", "label"))
+
+
+@query(
+    f"""
+    WITH {RATES_SQL}
+    SELECT event_id, label, ROUND(AVG(label) OVER (PARTITION BY kind), 3) AS score,
+           CASE WHEN AVG(label) OVER (PARTITION BY kind) > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE
+               AS prediction
+    FROM kinds
+    """
+)
 def fit_logistic(spark, folder):
-    scored = model.fit_logistic(_training(spark, folder))
+    scored = model.fit_logistic(_kinds(spark, folder))
     return scored.select(
         "event_id",
         "label",
-        F.round(vector_to_array("probability")[1], 4).alias("score"),
+        F.round(vector_to_array("probability")[1], 3).alias("score"),
         "prediction",
     )
 
 
+@query(
+    f"""
+    WITH {RATES_SQL},
+    points AS (
+        SELECT kind, CAST(SUM(label) AS DOUBLE) AS pos, CAST(SUM(1 - label) AS DOUBLE) AS neg
+        FROM kinds
+        WHERE CAST('0x' || SUBSTR(md5(CAST(event_id AS VARCHAR)), 1, 6) AS INTEGER) % 10 >= 8
+        GROUP BY kind),
+    curve AS (
+        SELECT *, SUM(pos) OVER (ORDER BY kind DESC) AS tp, SUM(neg) OVER (ORDER BY kind DESC) AS fp
+        FROM points),
+    steps AS (
+        SELECT *, tp / (tp + fp) AS prec,
+               LAG(tp / (tp + fp)) OVER (ORDER BY kind DESC) AS prec_before
+        FROM curve)
+    SELECT ROUND(SUM(neg * (tp - pos / 2)) / (SUM(pos) * SUM(neg)), 6) AS "areaUnderROC",
+           ROUND(SUM(pos * (prec + COALESCE(prec_before, prec)) / 2) / SUM(pos), 6)
+               AS "areaUnderPR"
+    FROM steps
+    """
+)
+def model_evaluation(spark, folder):
+    """Trained on eight tenths, evaluated on the raw scores of the others."""
+    train, test = balancing.train_test_split(_kinds(spark, folder), "event_id")
+    scored = model.fit(train, model.logistic()).transform(test)
+    return rounded(
+        metrics.binary_metrics(scored, score="rawPrediction"), 6, "areaUnderROC", "areaUnderPR"
+    )
+
+
 @query(
     f"""
     WITH {LABELED_SQL}
@@ -1032,27 +1107,54 @@ def logistic_calibration(spark, folder):
     )
 
 
-@query()
+# A label that one feature decides, beside one that says nothing: any model must find it.
+DECIDED_SQL = """
+SELECT event_id, CAST(event_type = 'error' AS INTEGER) AS label,
+       CAST(event_type = 'error' AS INTEGER)::DOUBLE AS prediction
+FROM events
+"""
+
+
+def _decided(spark: SparkSession, folder: str) -> DataFrame:
+    failed = (F.col("event_type") == "error").cast("int")
+    rows = events(spark, folder).select(
+        "event_id", failed.alias("failed"), "value", failed.alias("label")
+    )
+    return encode.assemble(rows, exclude=("event_id", "label"))
+
+
+@query(DECIDED_SQL)
 def fit_forest(spark, folder):
-    return model.fit_forest(_training(spark, folder)).select("event_id", "label", "prediction")
+    return model.fit_forest(_decided(spark, folder)).select("event_id", "label", "prediction")
 
 
-@query()
+@query(DECIDED_SQL)
 def fit_svm(spark, folder):
-    """Trained on balanced rows, since flags are rare, and applied to all."""
-    rows = _training(spark, folder)
+    """Trained on balanced rows, since failures are few, and applied to all."""
+    rows = stage(_decided(spark, folder), "decided")
     even = balancing.balance(rows, "label", "event_id", 1.0)
     scored = model.fit(even, model.svm()).transform(rows)
     return scored.select("event_id", "label", "prediction")
 
 
-@query()
+@query(
+    """
+    SELECT CAST(event_type = 'error' AS INTEGER)::DOUBLE AS "Threat",
+           CAST(COUNT(*) AS BIGINT) AS "count", CAST(0 AS BIGINT) AS mismatches
+    FROM events GROUP BY 1
+    """
+)
 def model_round_trip(spark, folder):
-    """Train a forest, store it, load it, score, count per threat."""
-    rows = _training(spark, folder)
+    """Train a forest, store it, load it, score, count per threat; the stored model must
+    say what the fitted one does."""
+    rows = stage(_decided(spark, folder), "decided")
     path = scratch_path(spark, "forest")
-    model.save_model(model.fit(rows, model.forest()), path)
-    return model.threat_counts(model.load_and_score(path, rows))
+    fitted = model.fit(rows, model.forest())
+    model.save_model(fitted, path)
+    both = model.load_and_score(path, fitted.transform(rows).select("event_id", "features",
+                                F.col("prediction").alias("fitted")))
+    differ = F.sum((F.col("Threat") != F.col("fitted")).cast("bigint")).alias("mismatches")
+    return both.groupBy("Threat").agg(F.count(F.lit(1)).alias("count"), differ)
 
 
 # -------------------------------------------------------------- whole jobs
@@ -1066,31 +1168,83 @@ def _spec(**options) -> PipelineSpec:
     return PipelineSpec(rule=replace(LOGINS, order="id"), **options)
 
 
-@query()
+# Every event is scored and counted; the digest of its key decides who is held out.
+JOB_SQL = """
+SELECT CAST(COUNT(*) AS BIGINT) AS "rows", CAST(COUNT(*) AS BIGINT) AS scored,
+       CAST(COUNT(*) AS BIGINT) AS counted,
+       CAST(COUNT(CASE WHEN CAST('0x' || SUBSTR(md5(CAST(event_id AS VARCHAR)), 1, 6) AS INTEGER)
+                            % 10 >= 8 THEN 1 END) AS BIGINT) AS held_out
+FROM events
+"""
+
+
+def _sizes(log: DataFrame, run: PipelineRun) -> DataFrame:
+    """One row: events in, scored, counted as normal or anomaly, and held out."""
+    counts = run.counts().select((F.col("normal") + F.col("anomaly")).alias("counted"))
+    sizes = [
+        df.agg(F.count(F.lit(1)).alias(name))
+        for name, df in (("rows", log), ("scored", run.scores), ("held_out", run.held_out))
+    ]
+    # Four tables of one row each.
+    return sizes[0].join(sizes[1]).join(counts).join(sizes[2])
+
+
+@query(JOB_SQL)
 def run_pipeline_(spark, folder):
     """Hash encoding, standard scaling, feature selection, logistic regression."""
     spec = _spec(
-        cleaning=("Clean_data", "Handle_null_values"),
+        cleaning=("Clean_data", "Handle_null_values", "Remove_outliers"),
         scaling="Standered_scaler",
         selection="Chisqselector",
         model="Logistic_regression",
     )
-    return run_pipeline(_log(spark, folder), spec).counts()
+    log = _log(spark, folder)
+    return _sizes(log, run_pipeline(log, spec))
 
 
-@query()
+@query(
+    """
+    SELECT CAST(COUNT(*) AS BIGINT) AS "rows", CAST(0 AS BIGINT) AS mismatches FROM events
+    """
+)
 def run_pipeline_forest(spark, folder):
-    """Label encoding, balanced training rows, a forest; stored, loaded, scored."""
+    """Label encoding, balanced training rows, a forest; stored, loaded, and applied to the
+    log as it comes: the stored job must say what the fitted one does."""
     spec = _spec(
         cleaning=("Clean_data", "Balance_data"),
         formatting="Lebel_encoding",
         scaling="Minmax_scaler",
         model="Random_forest",
     )
-    run = run_pipeline(_log(spark, folder).drop("props"), spec)
+    log = _log(spark, folder)
+    run = run_pipeline(log, spec)
     path = scratch_path(spark, "pipeline")
     run.fitted.save(path)
-    scored = FittedPipeline.load(spark, path).transform(
-        consecutive_failures(_log(spark, folder).drop("props"), spec.rule)
+    again = FittedPipeline.load(spark, path).transform(log)
+    fitted = run.scores.select("id", F.col("prediction").alias("fitted"))
+    both = model.shape_scores(again).select("id", "Threat").join(fitted, "id")
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum((F.col("Threat") != F.col("fitted")).cast("bigint")), F.lit(0)).alias(
+            "mismatches"
+        ),
     )
-    return model.threat_counts(model.shape_scores(scored))
+
+
+@query(JOB_SQL)
+def run_pipeline_robust(spark, folder):
+    """Robust scaling and a support vector machine."""
+    spec = _spec(cleaning=("Balance_data",), scaling="Robust_scaler", model="Linear_SVM")
+    log = _log(spark, folder)
+    return _sizes(log, run_pipeline(log, spec))
+
+
+@query(JOB_SQL)
+def run_pipeline_linear(spark, folder):
+    """Word counts, scaling by the largest value, linear regression."""
+    spec = _spec(
+        formatting="HashingTF_Encoding", text_slots=64, scaling="MinAbs_scaler",
+        model="Linear_regression",
+    )
+    log = _log(spark, folder)
+    return _sizes(log, run_pipeline(log, spec))

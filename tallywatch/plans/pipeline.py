@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallywatch.functions.columns import c, string_columns
 from tallywatch.operators import clean, encode, model, scale, select
 from tallywatch.operators.balance import balance, train_test_split
-from tallywatch.operators.metrics import binary_metrics, multiclass_metrics, threshold_prediction
+from tallywatch.operators.metrics import (
+    binary_metrics,
+    multiclass_metrics,
+    regression_metrics,
+    threshold_prediction,
+)
 from tallywatch.operators.reports import prediction_counts
 from tallywatch.operators.sequence import SequenceRule, consecutive_failures
 from tallywatch.session import stage
@@ -69,7 +74,7 @@ class FittedPipeline:
         if "Clean_data" in self.spec.cleaning:
             df = clean.normalize_names(df)
         if "Handle_null_values" in self.spec.cleaning:
-            df = clean.fill_nulls(df)
+            df = _filled(df, self.spec)
         df = encode.time_parts(df)
         if self.encoder is not None:
             return self.encoder.transform(df)
@@ -108,7 +113,7 @@ class FittedPipeline:
 
 @dataclass
 class PipelineRun:
-    """``scores`` covers every cleaned row, the two metrics only the held-out ones."""
+    """``scores`` covers every row, the metrics only the held-out ones with a label."""
 
     fitted: FittedPipeline
     scores: DataFrame
@@ -118,7 +123,13 @@ class PipelineRun:
         return prediction_counts(self.scores)
 
     def binary(self) -> DataFrame:
-        return binary_metrics(self.held_out, self.fitted.spec.label)
+        """Areas under the curves of the raw score, or of the linear model's class."""
+        raw = "rawPrediction" in self.held_out.columns
+        score = "rawPrediction" if raw else "prediction"
+        return binary_metrics(self.held_out, self.fitted.spec.label, score)
+
+    def regression(self) -> DataFrame:
+        return regression_metrics(self.held_out, self.fitted.spec.label)
 
     def multiclass(self) -> DataFrame:
         return multiclass_metrics(self.held_out, self.fitted.spec.label)
@@ -126,17 +137,20 @@ class PipelineRun:
 
 def clean_data(df: DataFrame, spec: PipelineSpec) -> DataFrame:
     """The row and column cleaning steps in the order given."""
-    kept = (spec.key, spec.label)
     for step in spec.cleaning:
         if step == "Clean_data":
             df = clean.drop_empty_columns(clean.normalize_names(df))
         elif step == "Handle_null_values":
-            df = clean.fill_nulls(df)
-        elif step == "Remove_outliers":
-            df = clean.drop_outliers(df, exclude=kept)
+            df = _filled(df, spec)
     return df
 
 
+def _filled(df: DataFrame, spec: PipelineSpec) -> DataFrame:
+    """Nulls filled in every column but the key and the label, which are never made up."""
+    kept = {n.lower() for n in (spec.key, spec.label)}
+    return clean.fill_nulls(df, exclude=[n for n in df.columns if n.lower() in kept])
+
+
 def _feature_stages(train: DataFrame, spec: PipelineSpec, columns: list[str]) -> list[Transformer]:
     """Fitted stages from numeric columns to the vector the model reads."""
     sparse = spec.formatting == "HashingTF_Encoding"
@@ -172,21 +186,30 @@ def _last(stages: list[Transformer]) -> str:
 def run_pipeline(df: DataFrame, spec: PipelineSpec = PipelineSpec()) -> PipelineRun:
     """Label, clean, split, fit every stage on the training rows, score all rows.
 
-    A text label is numbered by falling frequency.
+    A text label is numbered by falling frequency. Rows without label or key keep that null:
+    they are scored, but neither trained on nor evaluated. Outliers leave the training
+    rows only.
 
-    The cleaned table is staged once: fitting reads it many times, and a lost
-    executor then re-reads files instead of repeating the rule's shuffles.
+    The labelled table is staged before the cleaning looks at it, and the cleaned one once
+    more: fitting reads it many times, and a lost executor then re-reads files instead of
+    repeating the rule's shuffles.
     """
     if spec.rule is not None:
-        df = consecutive_failures(df, spec.rule)
+        df = stage(consecutive_failures(df, spec.rule), "labelled")
     df = clean_data(df, spec)
     if spec.key not in df.columns:
         # Equal rows share a key, so they fall on the same side of the split.
         df = df.withColumn(spec.key, F.xxhash64(*map(c, df.columns)))
     table = stage(df, "cleaned")
     if spec.label in string_columns(table):
-        table = encode.label_encode(table, [spec.label])
-    train, test = train_test_split(table, spec.key)
+        missing = c(spec.label).isNull()
+        coded = encode.label_encode(table.withColumn("_missing", missing), [spec.label])
+        known = F.when(~F.col("_missing"), c(spec.label)).alias(spec.label)
+        table = coded.select(*[known if n == spec.label else c(n) for n in table.columns])
+    judged = table.filter(c(spec.label).isNotNull() & c(spec.key).isNotNull())
+    train, test = train_test_split(judged, spec.key)
+    if "Remove_outliers" in spec.cleaning:
+        train = clean.drop_outliers(train, exclude=(spec.key, spec.label), keep_nulls=True)
     if "Balance_data" in spec.cleaning:
         train = balance(train, spec.label, spec.key, spec.balance_ratio)
 

@@ -10,10 +10,29 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from tallywatch.functions.columns import c
 
 
+#: Quotes are doubled, blanks kept; null is nothing, the empty text a pair of quotes.
+QUOTING = {
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "emptyValue": "",
+    "nullValue": None,
+    "lineSep": "\n",
+}
+#: Rows of one file, which one task reads back.
+FILE_ROWS = 1_000_000
+
+
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with a header. Without a schema the types are inferred, at the cost
-    of reading the files twice."""
-    reader = spark.read.option("header", True)
+    """CSV with a header, as ``write_csv`` and other quoting writers make it.
+
+    Texts come back as they were: line breaks, quotes, backslashes and outer blanks
+    included. An unquoted empty field is null, a quoted one the empty text. Without a schema
+    the types are inferred, at the cost of reading the files twice. A file is read by one task, as
+    quoted line breaks forbid splitting it.
+    """
+    reader = spark.read.options(header=True, **QUOTING, multiLine=True)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
@@ -67,9 +86,11 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*fields)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file per partition, written by the executors."""
-    as_text(df).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """CSV files of at most ``file_rows`` rows, written by the executors; every text is quoted."""
+    options = {**QUOTING, "emptyValue": '""', "quoteAll": False, "escapeQuotes": True}
+    writer = as_text(df).write.mode("overwrite").options(header=True, **options)
+    writer.option("maxRecordsPerFile", file_rows).csv(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

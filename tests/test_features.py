@@ -40,11 +40,9 @@ def test_label_encode(spark):
 
 
 def test_label_encode_many_values(spark, monkeypatch, tmp_path):
-    """Beyond the broadcast head, and ranked by range partitions."""
-    monkeypatch.setattr(encode, "HEAD", 3)
-    monkeypatch.setattr(encode, "RANK_LIMIT", 5)
-    monkeypatch.setattr(encode, "HEAD_CHARS", 4)
-    values = [f"w{i}" for i in range(20) for _ in range(1 + i % 4)] + ["a long value"] * 9 + [None]
+    """Values that are not frequent enough for the broadcast; long ones that are."""
+    monkeypatch.setattr(encode, "FREQUENT", 12)
+    values = [f"w{i}" for i in range(20) for _ in range(1 + i % 4)] + ["a long value" * 99] * 9 + [None]
     df = spark.createDataFrame([(v, v and v[:2]) for v in values], "s string, `t.x` string")
     fitted = LabelEncoder.fit(df)
     for name in ("s", "t.x"):

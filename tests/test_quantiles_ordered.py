@@ -32,8 +32,7 @@ KINDS = ["normal", "one hot value", "long tail", "holes", "infinite", "constant"
 def test_exact(spark, monkeypatch, small):
     """Small limits force rounds of guessing and counting."""
     if small:
-        monkeypatch.setattr(quantiles, "SORT_LIMIT", 30)
-        monkeypatch.setattr(quantiles, "SAMPLE", 900)
+        monkeypatch.setattr(quantiles, "TASK_VALUES", 30)
         monkeypatch.setattr(quantiles, "ACCURACY", 200)
     rnd = random.Random(11)
     values = {kind: sample(kind, 1500, rnd) for kind in KINDS}
@@ -47,7 +46,7 @@ def test_exact(spark, monkeypatch, small):
 
 
 def test_exact_integers_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "SORT_LIMIT", 3)
+    monkeypatch.setattr(quantiles, "TASK_VALUES", 3)
     df = spark.range(1, 101).select("id", F.lit(None).cast("double").alias("none"))
     assert quantiles.exact_quantiles(df, ["id", "none"], [0.25, 0.5]) == {"id": [25, 50]}
 
@@ -86,18 +85,57 @@ def test_dense_id(spark, kind):
 
 
 @pytest.mark.parametrize("value", [5, None])
-def test_frequent_lead_is_cut(spark, value):
-    """No task numbers more than a small part of the frequent value's rows, however
-    the tie column is spread."""
-    lead = F.when(F.col("id") < 900, F.lit(value)).otherwise(F.col("id")).cast("int")
-    df = spark.range(1000).select(lead.alias("lead"), F.exp(F.col("id") / 10).alias("key"), "id")
-    cut = ordered._cut(df, "lead", "key")
-    sizes = [r["count"] for r in cut.groupBy("_bucket", "_part").count().collect()]
-    assert max(sizes) <= 150
-    ids = ordered.dense_id(df.withColumnRenamed("id", "n"), "lead", "key").select("id", "n")
+@pytest.mark.parametrize("rows", [1000, 8000])
+def test_frequent_lead_is_cut(spark, value, rows):
+    """No task sorts much more than asked for, however many rows share the lead."""
+    lead = F.when(F.col("id") < 0.9 * rows, F.lit(value)).otherwise(F.col("id")).cast("int")
+    df = spark.range(rows).select(lead.alias("lead"), F.exp(F.col("id") / rows).alias("key"), "id")
+    placed = ordered.placed(df, [F.col("lead").asc(), F.col("key").asc()], "test", 100)
+    sizes = [r["count"] for r in placed.groupBy("_part").count().collect()]
+    assert max(sizes) <= 250
+    ids = ordered.dense_id(df.withColumnRenamed("id", "n"), "lead", "key", task_rows=100)
     assert ids.filter(F.col("id") != F.col("n") + 1).isEmpty()
 
 
+@pytest.mark.parametrize("kind", ["burst", "bigint", "string"])
+def test_dense_id_of_close_values(spark, kind):
+    """Times within one second, numbers beyond 2 ** 53, and texts keep their order."""
+    rnd = random.Random(8)
+    n = 1000
+    lead = {
+        "burst": F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("n") * 7).cast("timestamp_ntz"),
+        "bigint": F.lit((1 << 60) + 1) + F.col("n"),
+        "string": F.lpad(F.col("n").cast("string"), 9, "0"),
+    }[kind]
+    numbers = list(range(n))
+    rnd.shuffle(numbers)
+    df = spark.createDataFrame([(x,) for x in numbers], "n bigint").select("n", lead.alias("lead"))
+    ids = ordered.dense_id(df, "lead", "n", task_rows=100)
+    assert ids.filter(F.col("id") != F.col("n") + 1).isEmpty()
+
+
+def test_exact_beyond_doubles(spark, monkeypatch):
+    """Whole numbers that no double tells apart; and three scans, however many rounds."""
+    for limit in (1, 50, 10**6):
+        monkeypatch.setattr(quantiles, "TASK_VALUES", limit)
+        df = spark.range(1001).select((F.lit((1 << 60) + 1) + F.col("id") * 2).alias("x"))
+        found = quantiles.exact_quantiles(df, ["x"], [0.25, 0.5])
+        assert found == {"x": [(1 << 60) + 1 + 2 * 250, (1 << 60) + 1 + 2 * 500]}
+
+
+def test_scores_are_evaluated_once(spark):
+    """The running totals read their input in one pass."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        passes.add(1)
+        yield from batches
+
+    df = spark.range(100, numPartitions=1).mapInArrow(count, "id bigint")
+    ordered.running_totals(df, "id", {"n": F.lit(1)}).collect()
+    assert passes.value == 1
+
+
 def test_running_totals(spark):
     rnd = random.Random(5)
     rows = [(rnd.choice([0.5, rnd.random(), -1.0]), rnd.randrange(3)) for _ in range(500)]

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tallywatch.operators import sequence
 from tallywatch.operators.sequence import (
     SequenceRule,
     consecutive_failures,
@@ -83,8 +84,7 @@ def test_random_logs(spark, seed):
     users = ["hot"] * 5 + [None, "b", "c", "d"]
     rows = [(rnd.choice(users), rnd.choice("FFFLOX")) for _ in range(rnd.choice([5, 60, 300]))]
     threshold = rnd.choice([1, 2, 3, 5])
-    cutting = [(1, 0.001), (1, 0.02), (1, 0.2), (50, None), (10**6, None)][seed]
-    rule = SequenceRule(threshold=threshold, split_from=cutting[0], busy_share=cutting[1])
+    rule = SequenceRule(threshold=threshold, task_rows=[1, 5, 40, 100, 10**6][seed])
     labels, counter = by_loop(rows, threshold)
     df = log(spark, rows, rnd.choice([1, 4, 7]))
     result = consecutive_failures(df, rule)
@@ -108,7 +108,7 @@ def test_negative_and_sparse_ids(spark):
         [(i, "u", "LoginFailure") for i in ids], "id bigint, TargetUserName string, Task string"
     )
     assert labels_of(consecutive_failures(df)) == [0, 0, 1, 1, 1]
-    cut = SequenceRule(split_from=1, busy_share=0.01)
+    cut = SequenceRule(task_rows=1)
     assert labels_of(consecutive_failures(df, cut)) == [0, 0, 1, 1, 1]
 
 
@@ -138,16 +138,36 @@ def test_plan(spark):
 
 
 def test_plan_with_busy_user(spark):
-    """Every row is shuffled once; both steps for the busy user share the shuffle
-    of their pieces, and only the pieces' ends are shuffled again."""
+    """Both steps for the busy user share the shuffle of their pieces, and only the
+    pieces' ends are shuffled again."""
     df = log(spark, [("a", "F")] * 300 + [(f"u{i}", "L") for i in range(300)])
-    result = consecutive_failures(df, SequenceRule(split_from=100))
+    result = consecutive_failures(df, SequenceRule(task_rows=100))
     plan = executed(result)
     final = plan.split("== Initial Plan ==")[0].splitlines()
     assert "SinglePartition" not in plan and "SortMergeJoin" not in plan
     shuffles = [x for x in final if "Exchange hashpartitioning" in x]
     reused = [x for x in shuffles if "ReusedExchange" in x]
     # By user, by user and piece, the pieces' ends by user; one of them read twice.
-    assert len(shuffles) - len(reused) == 3 and len(reused) == 1
-    assert "_piece" in reused[0]
+    assert len(shuffles) - len(reused) == 3
     assert labels_of(result)[:5] == [0, 0, 1, 1, 1]
+
+
+@pytest.mark.parametrize("rows", [400, 4000])
+def test_no_piece_grows_with_the_log(spark, rows):
+    """However long the log of one user, a piece stays near the wanted size."""
+    df = log(spark, [("a", "F")] * rows + [("b", "F")] * 20)
+    whole, pieces = sequence._split(df.select("id", "TargetUserName", "Task"), SequenceRule(task_rows=100))
+    sizes = [r["count"] for r in pieces.groupBy("TargetUserName", "_piece").count().collect()]
+    assert max(sizes) <= 250 and sum(sizes) == rows
+    assert whole.count() == 20
+
+
+def test_rules_share_a_pass(spark, tmp_path):
+    """Two rules of equal key read the log and sort it once."""
+    log(spark, [("a", "F")] * 9 + [("b", "F")] * 4).write.parquet(str(tmp_path / "log"))
+    df = spark.read.parquet(str(tmp_path / "log"))
+    rules = [SequenceRule(name="three"), SequenceRule(name="five", threshold=5)]
+    result = rule_hits(df, rules)
+    plan = executed(result).split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert dict(result.groupBy("rule").count().collect()) == {"three": 7 + 2, "five": 5}
