@@ -392,9 +392,11 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     # A doc_id may stand for several texts: the digest of the text decides, in the group.
     texts = docs.join(member, F.col("doc_id").eqNullSafe(F.col("copy_id")))
     pairs = _paired_blocks(texts, "component", "count", join)
+    # Little to read and much to compute: as many tasks as a shuffle has, none merged.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     checked = (
         pairs.select("component", "i", "j", "side", "digest", "copies", "signature", "text")
-        .repartition("component", "i", "j")
+        .repartition(tasks, "component", "i", "j")
         .sortWithinPartitions("component", "i", "j")
         .mapInArrow(_verified(join), "digest binary, to binary, sets bigint, docs bigint")
     )
