@@ -138,3 +138,18 @@ def test_late_rows_are_set_aside(spark):
     query.awaitTermination()
     assert [r["id"] for r in rule_stream.late(spark, folder).collect()] == [3]
     assert [r["id"] for r in rule_stream.flags(spark, folder).collect()] == [9]
+
+
+TEXTS = [
+    "plain", "a\nb", "a\r\nb", "\r", " lead", "trail \t", " ", "", "null", None, 'q"x', '"', '""',
+    "\\", "a\\", '\\"', '"\n', "x,y", ",", "#c", "\t", "\\N", "'",
+]
+
+
+def test_csv_keeps_texts(spark, tmp_path):
+    """Line breaks, outer blanks, quotes, backslashes; the empty text is not null."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string").repartition(3)
+    tables.write_csv(df, str(tmp_path / "t"), file_rows=4)
+    found = {r.id: r.t for r in tables.scan_csv(spark, str(tmp_path / "t"), "id int, t string").collect()}
+    assert found == dict(enumerate(TEXTS))
+    assert len(list((tmp_path / "t").glob("part-*"))) >= 6
