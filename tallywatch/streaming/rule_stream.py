@@ -72,8 +72,11 @@ def _advance(
             clock = max(clock, before)
             late = rows.filter(F.col("_time") < before)
             memory = spark.read.schema(rows.schema).parquet(_path(folder, number - 1, "memory"))
-            pool = rows.filter(F.col("_time") >= before).unionByName(memory)
-        ready = pool.filter(~F.col("_new") | (F.col("_time") < clock))
+            pool = rows.filter(F.col("_time").isNull() | (F.col("_time") >= before))
+            pool = pool.unionByName(memory.filter(c(rule.order).isNotNull()))
+        # A row without time waits for no watermark and is never late.
+        passed = F.col("_time").isNull() | (F.col("_time") < clock)
+        ready = pool.filter(~F.col("_new") | passed)
         waiting = pool.filter(F.col("_new") & (F.col("_time") >= clock))
         latest = Window.partitionBy(c(rule.key)).orderBy(c(rule.order).desc())
         carry = (
@@ -137,12 +140,14 @@ def replay(
     numbered = df.withColumn("_clock", clock)
     cuts = approx_quantiles(numbered, ["_clock"], probabilities, 0.001).get("_clock", [])
     inf = float("inf")
+    # A slice is as many files as a shuffle has tasks, and a micro-batch takes so many.
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for low, high in zip([-inf, *cuts], [*cuts, inf]):
         part = numbered.filter((F.col("_clock") >= low) & (F.col("_clock") < high))
-        part.drop("_clock").coalesce(1).write.mode("append").parquet(folder + "/input")
-    source = (
-        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/input")
-    )
+        part.drop("_clock").repartition(files).write.mode("append").parquet(folder + "/input")
+    numbered.filter("_clock is null").drop("_clock").write.mode("append").parquet(folder + "/input")
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files)
+    source = reader.parquet(folder + "/input")
     query = start(source, rule, time, folder, delay_seconds, {"availableNow": True})
     query.awaitTermination()
     drain(spark, rule, folder, query.lastProgress["batchId"])

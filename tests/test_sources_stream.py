@@ -140,6 +140,15 @@ def test_late_rows_are_set_aside(spark):
     assert [r["id"] for r in rule_stream.flags(spark, folder).collect()] == [9]
 
 
+def test_rows_without_time_are_judged(spark):
+    rows = [(i, i * 1000 if i % 3 else None, "a", "LoginFailure") for i in range(30)]
+    df = spark.createDataFrame(rows, "id bigint, s bigint, TargetUserName string, Task string").select(
+        "id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "TargetUserName", "Task"
+    )
+    found = rule_stream.replay(df, SequenceRule(threshold=1), "ts").filter("label = 1").count()
+    assert found == 30
+
+
 TEXTS = [
     "plain", "a\nb", "a\r\nb", "\r", " lead", "trail \t", " ", "", "null", None, 'q"x', '"', '""',
     "\\", "a\\", '\\"', '"\n', "x,y", ",", "#c", "\t", "\\N", "'",
