@@ -8,7 +8,8 @@ probability under equal priors.
 
 The model is fitted on a bounded sample of labelled rows (``sample_rows``, drawn by a hash of
 the text, so it does not depend on ids, labels or partitions) and keeps ``vocabulary`` words
-and ``ngrams`` n-grams per language and length, so its size does not grow with the corpus.
+and ``ngrams`` n-grams at most per language and length, the most frequent ones (those of equal
+count stay or go together), so its size does not grow with the corpus.
 
 Defined results: ``und`` with score 0 if the text is null, has no letter, or nothing was
 learned; a text none of whose words and letters were learned gets the first language by name
@@ -26,7 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallywatch.llm.common import pick, place, positional, ship_code
+from tallywatch.llm.common import bounded, pick, place, positional, ship_code
+from tallywatch.session import stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -91,13 +93,14 @@ def _counted(longest: int):
 def fit(documents: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn from ``text`` and ``lang``; only the kept counts come to the driver.
 
-    At most ``vocabulary + longest * ngrams`` rows per language do.
+    At most ``vocabulary + longest * ngrams`` rows per language do. No task sees all grams of
+    a language: the cut is found from how many there are of each count.
     """
     ship_code(documents.sparkSession)
     known = pick(documents, "lang", "text").filter("lang is not null and text is not null")
     total = known.count()
     if total > settings.sample_rows:
-        # Half of the 60-bit draw decides; a rate, so the bound holds but for chance.
+        # A rate, so the bound holds but for chance.
         share = F.lit(settings.sample_rows / total)
         known = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share * float(1 << 40))
     counts = (
@@ -106,13 +109,20 @@ def fit(documents: DataFrame, settings: Settings = Settings()) -> Model:
         .groupBy("lang", "size", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    sums = Window.partitionBy("lang", "size")
-    most = sums.orderBy(F.col("n").desc(), "gram")
+    counts = stage(counts, "grams")
+    # The lowest count to keep, from how many grams there are of each count.
+    same = counts.groupBy("lang", "size", "n").agg(F.count(F.lit(1)).alias("grams"))
+    down = Window.partitionBy("lang", "size").orderBy(F.col("n").desc())
     limit = F.when(F.col("size") == 0, settings.vocabulary).otherwise(settings.ngrams)
+    fits = F.when((F.sum("grams").over(down) <= limit) & (F.col("n") >= settings.least), F.col("n"))
+    limits = (
+        same.withColumn("fits", fits)
+        .groupBy("lang", "size")
+        .agg(F.min("fits").alias("lowest"), F.sum(F.col("n") * F.col("grams")).alias("total"))
+    )
     kept = (
-        counts.withColumn("total", F.sum("n").over(sums))
-        .withColumn("rank", F.row_number().over(most))
-        .filter((F.col("rank") <= limit) & (F.col("n") >= settings.least))
+        counts.join(bounded(limits), ["lang", "size"])
+        .filter("n >= lowest")
         .select("lang", "size", "gram", "n", "total")
         .collect()
     )
