@@ -42,12 +42,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(
+    df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None
+) -> DataFrame:
     """``df`` marked for a broadcast if it was counted to have at most ``rows`` rows.
 
-    A larger one stays as it is: the join then shuffles, and AQE splits its skewed partitions.
+    ``weight`` is the length of a row's array; all together may be ``100 * rows``. A larger
+    table stays as it is: the join then shuffles, and AQE splits its skewed partitions.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    heavy = F.sum(F.lit(0) if weight is None else weight)
+    found, held = df.limit(rows + 1).agg(F.count(F.lit(1)), heavy).first()
+    return F.broadcast(df) if found <= rows and (held or 0) <= 100 * rows else df
 
 
 def unit_draw(*parts: Column) -> Column:

@@ -157,7 +157,7 @@ def _of_size(docs: DataFrame, items: DataFrame, size: int, leak: Leak) -> DataFr
     )
     # Repeated rows give the same windows twice; the last step takes the best of them.
     of_doc = docs.withColumn("mark", F.xxhash64("text")).join(
-        bounded(named), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
+        bounded(named, weight=F.size("starts")), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
     )
     windows = (
         of_doc.select("doc_id", "mark", "n", "starts", words(F.col("text")).alias("ws"))
@@ -194,7 +194,10 @@ def _of_size(docs: DataFrame, items: DataFrame, size: int, leak: Leak) -> DataFr
             & (F.col("n") == F.col("_n")) & (F.col("first") == F.col("_first")),
         )
         .join(
-            bounded(item.select(F.col("item_id").alias("_item"), F.col("bag").alias("_bag"), F.col("n").alias("_size"))),
+            bounded(
+                item.select(F.col("item_id").alias("_item"), F.col("bag").alias("_bag"), F.col("n").alias("_size")),
+                weight=F.size("_bag"),
+            ),
             F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("n") == F.col("_size")),
         )
         .withColumn("similarity", similarity(F.col("bag"), F.col("_bag")))
@@ -225,7 +228,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, leak: Leak = Leak(
     doc, text = F.col(f"_{place(columns, 'doc_id')}"), F.col(f"_{place(columns, 'text')}")
     return (
         rows.join(
-            bounded(leaks),
+            bounded(leaks, weight=F.size("leaks")),
             doc.eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_mark")),
             "left",
         )

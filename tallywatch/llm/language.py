@@ -175,9 +175,10 @@ class Scorer:
         return np.zeros(len(self.model.languages))
 
     def text(self, text: str | None) -> tuple[str, float]:
-        tokens = _tokens(text or "")
-        if not tokens or not self.model.languages:
+        # Digits of other scripts and superscripts are word characters, but no letters.
+        if not self.model.languages or not any(c.isalpha() for c in text or ""):
             return UNDETERMINED, 0.0
+        tokens = _tokens(text)
         if len(self.rows) > self.most + len(self.model.rows):
             self._start()
         get = self.rows.get

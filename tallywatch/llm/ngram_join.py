@@ -61,6 +61,8 @@ class Join:
     margin: float = 6.0
     #: Classes of one block; two blocks meet in a group.
     block: int = 256
+    #: A text of more n-grams counts as several when blocks are dealt.
+    text_grams: int = 1000
 
     def shape(self) -> tuple[int, int]:
         return bands_for(self.threshold, self.recall)
@@ -379,14 +381,22 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     parts = connected_components(stage(forest, "alike"), "u", "v")
 
     # Texts of each component, one per class, blocks against blocks.
-    sizes = parts.groupBy(F.col("component").alias("_c")).count()
-    member = stage(
-        parts.join(sizes, F.col("component") == F.col("_c"))
-        .join(
-            classes.select(F.col("digest").alias("_d"), "copies", "signature", "copy_id"),
+    named = stage(
+        parts.join(
+            classes.select(F.col("digest").alias("_d"), "copies", "signature", "copy_id", "n"),
             F.col("node") == F.col("_d"),
-        )
-        .select("component", "count", F.col("node").alias("digest"), "copies", "signature", "copy_id"),
+        ).drop("_d"),
+        "named",
+    )
+    # A block holds so many texts, or fewer if they are long.
+    long = F.ceil(F.sum("n") / join.text_grams)
+    sizes = named.groupBy(F.col("component").alias("_c")).agg(
+        F.greatest(F.count(F.lit(1)), long).alias("count")
+    )
+    member = stage(
+        named.join(sizes, F.col("component") == F.col("_c")).select(
+            "component", "count", F.col("node").alias("digest"), "copies", "signature", "copy_id"
+        ),
         "members",
     )
     # A doc_id may stand for several texts: the digest of the text decides, in the group.
