@@ -414,6 +414,35 @@ def quantiles_(spark, folder):
     return quantiles.quantile_table(lines, LINE_NUMBERS, PROBABILITIES, error=0)
 
 
+@query(
+    " UNION ALL ".join(
+        f"""
+        SELECT '{n}' AS "column", CAST({p} AS DOUBLE) AS probability, TRUE AS near
+        """
+        for n in LINE_NUMBERS
+        for p in PROBABILITIES
+    )
+)
+def quantiles_default_error(spark, folder):
+    """The default sketch: the rows up to each value are within 0.05 of all rows."""
+    lines = load(spark, folder, "lineitem").select(*LINE_NUMBERS)
+    found = quantiles.approx_quantiles(lines, LINE_NUMBERS, PROBABILITIES, 0.05)
+    checks = [
+        F.struct(
+            F.lit(n).alias("column"),
+            F.lit(p).alias("probability"),
+            # A value's rows end at or after the place sought, and start at or before it.
+            (
+                (F.count_if(F.col(n) <= v) >= (p - 0.05) * F.count(n))
+                & (F.count_if(F.col(n) < v) <= (p + 0.05) * F.count(n))
+            ).alias("near"),
+        )
+        for n in LINE_NUMBERS
+        for p, v in zip(PROBABILITIES, found[n])
+    ]
+    return lines.agg(F.array(*checks).alias("checks")).select(F.inline("checks"))
+
+
 @query(
     """
     SELECT o_orderkey, o_totalprice FROM orders
