@@ -32,7 +32,8 @@ class SequenceRule:
     """``threshold`` failures of one ``key`` in a row, in ``order``.
 
     ``order`` is never null and unique within a user. A user with more than ``task_rows``
-    failures and resets is cut into pieces of about that many.
+    failures and resets is cut, along ranges that hold about ``piece_rows`` of such users'
+    rows (``task_rows`` if not given).
     """
 
     # The rule's title, the log's column names and task names.
@@ -44,6 +45,7 @@ class SequenceRule:
     reset: str = "LogOn"
     threshold: int = 3
     task_rows: int = TASK_ROWS
+    piece_rows: int | None = None
 
     def __post_init__(self) -> None:
         if self.threshold < 1:
@@ -72,7 +74,7 @@ def _split(rows: DataFrame, rule: SequenceRule) -> tuple[DataFrame, DataFrame |
     keys = F.broadcast(keys) if found <= BROADCAST_ROWS else keys
     same = c(rule.key).eqNullSafe(F.col("_busy"))
     # The rows of any one user in a range are no more than all rows in it.
-    parts = partitions_for(rows, held, rule.task_rows)
+    parts = partitions_for(rows, held, rule.piece_rows or rule.task_rows)
     busy = rows.join(keys, same, "left_semi").repartitionByRange(parts, c(rule.order))
     pieces = stage(busy.withColumn("_piece", F.spark_partition_id()), "pieces")
     return rows.join(keys, same, "left_anti"), pieces

@@ -101,7 +101,7 @@ def consecutive_failures_(spark, folder):
 @query(CONSECUTIVE_SQL)
 def consecutive_failures_segmented(spark, folder):
     """The rule with every user cut into pieces, as a busy user's log would be."""
-    rule = replace(LOGINS, task_rows=10)
+    rule = replace(LOGINS, task_rows=10, piece_rows=5000)
     logins = load(spark, folder, "events").select("event_id", "user_id", "event_type")
     return consecutive_failures(logins, rule)
 
