@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallywatch.llm.common import pick, place, positional, ship_code
+from tallywatch.session import stage
 
 TOKEN = re.compile(r"\w+")
 
@@ -254,7 +255,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     total = known.count()
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     known = known.filter(draw < F.lit(settings.sample_rows / max(total, settings.sample_rows)))
-    known = known.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = stage(known.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
     n = known.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n or not n[0]:
         return Model(prefixes=settings.prefixes)
