@@ -117,8 +117,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, leak: Leak = Leak())
         empty = docs.select("doc_id", F.xxhash64("text").alias("mark")).limit(0)
         item = items.select("item_id").limit(0)
         return empty.join(item, F.lit(False)).select(
-            "doc_id", "mark", "item_id", F.lit(0).alias("first"), F.lit(0).alias("words"), F.lit(0.0).alias("similarity")
-        )
+            "doc_id", "mark", "item_id",
+            F.lit(0).alias("first"), F.lit(0).alias("words"), F.lit(0.0).alias("similarity"),
+        )
     return found
 
 

@@ -96,8 +96,9 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(
         "doc_id",
         (F.size("leaks") > 0).alias("leaked"),
-        F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
-        F.transform("leaks", lambda x: x["first"].cast("bigint")).alias("first_words"),
+        # As text, which all engines write alike.
+        F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"),
+        F.array_join(F.transform("leaks", lambda x: x["first"].cast("string")), ",").alias("first_words"),
     )
 
 
@@ -365,6 +366,7 @@ starts AS (
   SELECT r, item_id, arg_max(s, (common / (own + other - common), -s)) AS s
   FROM compared WHERE common / (own + other - common) >= 0.8 GROUP BY r, item_id
 ), leaks AS (SELECT r, list(item_id ORDER BY item_id) AS item_ids, list(s - 1 ORDER BY item_id) AS first_words FROM best GROUP BY r)
-SELECT doc_id, item_ids IS NOT NULL AS leaked, coalesce(item_ids, []) AS item_ids, coalesce(first_words, []) AS first_words
+SELECT doc_id, item_ids IS NOT NULL AS leaked, coalesce(array_to_string(item_ids, ','), '') AS item_ids,
+  coalesce(array_to_string(first_words, ','), '') AS first_words
 FROM docs LEFT JOIN leaks USING (r)
 """
