@@ -9,9 +9,10 @@ and pairs of blocks are separate groups. A group compares its signatures and pas
 a spanning forest of the pairs whose signatures agree in enough places (``margin`` standard
 deviations below the threshold; this costs one true pair in a billion). Components of that
 forest then hold every candidate pair, and hold few others. Within a component blocks of
-texts meet, the full n-gram sets of the candidate pairs (those that share a band) are
-intersected as a matrix product over the n-grams that occur twice, and each text gets the
-number of its links plus a spanning forest of them, from which the classes follow.
+texts meet, the full n-gram sets of all pairs are intersected as a matrix product over the
+n-grams that occur twice, and each text gets the number of its links plus a spanning forest
+of them, from which the classes follow. There the exact similarity alone decides; only a pair
+that no path of candidate pairs ties together can be lost.
 
 Work on a group of n different texts that all resemble each other grows with n squared,
 as the number of its links does, spread over (n / block)^2 tasks; rows grow with n.
@@ -247,7 +248,6 @@ def _alike(join: Join):
 
 def _verified(join: Join):
     """Per two blocks of a component: links of each text, and a spanning forest of them."""
-    bands, rows = join.shape()
     schema = pa.schema(
         [("digest", pa.binary()), ("to", pa.binary()), ("sets", pa.int64()), ("docs", pa.int64())]
     )
@@ -276,8 +276,6 @@ def _verified(join: Join):
             within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
             side = group.column("side").to_numpy()
             copies = group.column("copies").to_numpy()
-            signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32)
-            hashes = _band_hashes(signatures.reshape(n, bands, rows))
             size = np.array([len(s) for s in sets], float)
             owner = np.repeat(np.arange(n), size.astype(int))
             # Only n-grams that occur twice can be shared.
@@ -295,10 +293,7 @@ def _verified(join: Join):
                     member = np.zeros((n, width), np.float32)
                     member[owner[a:b], which[a:b] - part * width] = 1
                     common += member @ member.T
-            linked = np.zeros((n, n), bool)
-            for band in hashes.T:
-                linked |= band[:, None] == band[None, :]
-            linked &= common >= join.threshold * (size[:, None] + size[None, :] - common) - 1e-6
+            linked = common >= join.threshold * (size[:, None] + size[None, :] - common) - 1e-6
             np.fill_diagonal(linked, False)
             if not within:
                 linked &= side[:, None] != side[None, :]
@@ -383,7 +378,7 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     # Texts of each component, one per class, blocks against blocks.
     named = stage(
         parts.join(
-            classes.select(F.col("digest").alias("_d"), "copies", "signature", "copy_id", "n"),
+            classes.select(F.col("digest").alias("_d"), "copies", "copy_id", "n"),
             F.col("node") == F.col("_d"),
         ).drop("_d"),
         "named",
@@ -395,7 +390,7 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     )
     member = stage(
         named.join(sizes, F.col("component") == F.col("_c")).select(
-            "component", "count", F.col("node").alias("digest"), "copies", "signature", "copy_id"
+            "component", "count", F.col("node").alias("digest"), "copies", "copy_id"
         ),
         "members",
     )
@@ -405,7 +400,7 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     # Little to read and much to compute: as many tasks as a shuffle has, none merged.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     checked = (
-        pairs.select("component", "i", "j", "side", "digest", "copies", "signature", "text")
+        pairs.select("component", "i", "j", "side", "digest", "copies", "text")
         .repartition(tasks, "component", "i", "j")
         .sortWithinPartitions("component", "i", "j")
         .mapInArrow(_verified(join), "digest binary, to binary, sets bigint, docs bigint")

@@ -439,6 +439,22 @@ def test_ngram_join(docs, rows, block):
     assert by_id[9].n_copies >= 2 and by_id[None].class_id is None
 
 
+def test_links_without_a_shared_band(spark):
+    """In a group of near copies also the pairs that share no band are links."""
+    rng = random.Random(7)
+    base = sentence(rng, 480, 10**9).split()
+    group = []
+    for i in range(140):
+        ws = list(base)
+        for k in range(5):
+            ws[96 * k + rng.randrange(10, 86)] = f"new{i}x{k}"
+        group.append((i, " ".join(ws)))
+    _, links = plain.near_classes(group)
+    found = ngram_join.ngram_join(spark.createDataFrame(group, "doc_id int, text string")).collect()
+    assert {r.doc_id: r.n_links for r in found} == {i: links[i] for i, _ in group}
+    assert {r.doc_id: r.n_set_links for r in found} == {i: links[i] for i, _ in group}
+
+
 def test_one_per_class(docs, empty, rows):
     kept = ngram_join.one_per_class(docs)
     assert kept.columns == docs.columns
