@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.llm import textarrays as ta
 from tallywatch.llm.common import pick, place, positional, ship_code
@@ -262,7 +262,7 @@ def _verified(join: Join):
                     _, _, hashes, first = ta.words(data[at[i] : at[j]], at[i : j + 1] - at[i])
                     grams, bounds = ta.shingles(hashes, first, join.size)
                     sets += [np.unique(grams[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-            # Rows that share their doc_id with another text, or repeat a row, are left out.
+            # Rows that repeat a row, or share its mark but not its text, are left out.
             for k, own in enumerate(sets):
                 if names[k] not in seen and _digest(own) == names[k]:
                     seen.add(names[k])
@@ -327,13 +327,20 @@ def _paired_blocks(df: DataFrame, group: str, count: str, join: Join) -> DataFra
     )
 
 
+def _lowest_row() -> Column:
+    """Of a group the row of the lowest ``doc_id``, null before all others, and ``mark``."""
+    return F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "mark"))
+
+
 def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     """One row per row of ``documents``: its classes and its number of links.
 
     ``doc_id``; ``class_id``, the lowest ``doc_id`` that it is tied to by links, directly or
     over others; ``copy_id``, the lowest of its copy class; ``n_copies`` of that class;
     ``n_grams`` of its set; ``n_links``, the documents of other sets that are similar enough;
-    ``n_set_links``, the number of their sets; ``mark``, a hash of its text.
+    ``n_set_links``, the number of their sets; ``mark``, a hash of its text; ``class_key``,
+    the digest that stands for its class, null without words. Ids may be null or stand for
+    several texts, so classes may share a ``class_id``, but none a ``class_key``.
     """
     spark = documents.sparkSession
     ship_code(spark)
@@ -345,17 +352,20 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
         ),
         "prints",
     )
+    lowest = _lowest_row()
     classes = stage(
         prints.filter("digest is not null")
         .groupBy("digest")
         .agg(
-            F.min("doc_id").alias("copy_id"),
-            F.count_if(F.col("doc_id").isNull()).alias("unnamed"),
+            lowest.alias("lowest"),
             F.count(F.lit(1)).alias("copies"),
             F.first("n").alias("n"),
             F.first("signature").alias("signature"),
         )
-        .withColumn("copy_id", F.when(F.col("unnamed") == 0, F.col("copy_id"))),
+        .select(
+            "digest", F.col("lowest.doc_id").alias("copy_id"), F.col("lowest.mark").alias("copy_mark"),
+            "copies", "n", "signature",
+        ),
         "classes",
     )
 
@@ -378,7 +388,7 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     # Texts of each component, one per class, blocks against blocks.
     named = stage(
         parts.join(
-            classes.select(F.col("digest").alias("_d"), "copies", "copy_id", "n"),
+            classes.select(F.col("digest").alias("_d"), "copies", "copy_id", "copy_mark", "n"),
             F.col("node") == F.col("_d"),
         ).drop("_d"),
         "named",
@@ -390,12 +400,13 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     )
     member = stage(
         named.join(sizes, F.col("component") == F.col("_c")).select(
-            "component", "count", F.col("node").alias("digest"), "copies", "copy_id"
+            "component", "count", F.col("node").alias("digest"), "copies", "copy_id", "copy_mark"
         ),
         "members",
     )
-    # A doc_id may stand for several texts: the digest of the text decides, in the group.
-    texts = docs.join(member, F.col("doc_id").eqNullSafe(F.col("copy_id")))
+    # A doc_id may be null or stand for several texts: the mark of the text goes with it.
+    same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("mark") == F.col("copy_mark"))
+    texts = docs.withColumn("mark", F.xxhash64("text")).join(member, same)
     pairs = _paired_blocks(texts, "component", "count", join)
     # Little to read and much to compute: as many tasks as a shuffle has, none merged.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -407,20 +418,21 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     )
     links = stage(checked, "links")
     tied = connected_components(links.filter("to is not null"), "digest", "to")
-    lowest = F.min(F.struct(F.col("copy_id").isNotNull(), "copy_id"))["copy_id"]
+    lowest_id = F.min(F.struct(F.col("copy_id").isNotNull(), "copy_id"))["copy_id"]
     named = tied.join(classes.select("digest", "copy_id"), F.col("node") == F.col("digest"))
-    of_class = named.groupBy(F.col("component").alias("_c")).agg(lowest.alias("class_id"))
+    of_class = named.groupBy(F.col("component").alias("_c")).agg(lowest_id.alias("class_id"))
     linked = (
         links.groupBy("digest")
         .agg(F.sum("sets").alias("n_set_links"), F.sum("docs").alias("n_links"))
         .join(tied, F.col("digest") == F.col("node"))
         .join(of_class, F.col("component") == F.col("_c"))
-        .select(F.col("digest").alias("_linked"), "n_set_links", "n_links", "class_id")
+        .select(F.col("digest").alias("_linked"), "n_set_links", "n_links", "class_id", "component")
     )
     full = stage(
         classes.join(linked, F.col("digest") == F.col("_linked"), "left").select(
             F.col("digest").alias("_digest"), "copy_id", "copies", "n_set_links", "n_links", "class_id",
             F.col("_linked").isNotNull().alias("tied"),
+            F.coalesce("component", "digest").alias("class_key"),
         ),
         "class-links",
     )
@@ -440,6 +452,7 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
             F.coalesce("n_links", none).alias("n_links"),
             F.coalesce("n_set_links", none).alias("n_set_links"),
             "mark",
+            "class_key",
         )
     )
 
@@ -450,11 +463,10 @@ def one_per_class(documents: DataFrame, join: Join = Join()) -> DataFrame:
     Rows without n-grams all stay.
     """
     found = ngram_join(documents, join)
-    lowest = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "mark"))
     kept = (
         found.filter("n_grams > 0")
-        .groupBy("class_id")
-        .agg(lowest.alias("kept"))
+        .groupBy("class_key")
+        .agg(_lowest_row().alias("kept"))
         .select(F.col("kept.doc_id").alias("_doc"), F.col("kept.mark").alias("_mark"))
     )
     wordless = found.filter("n_grams = 0").select(

@@ -104,7 +104,7 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, folder, "documents")).drop("mark")
+    return ngram_join.ngram_join(table(spark, folder, "documents")).drop("mark", "class_key")
 
 
 @query("op8_substring_dedup")
