@@ -11,12 +11,13 @@ line of the whole text) give the toxic spans, runs of tokens of at least one hal
 document's score: one minus the product over spans of one minus their highest marginal, or
 without a span the highest marginal.
 
-Fitting uses a bounded sample of labelled rows (``sample_rows``, drawn by a hash of the
-text) and ``windows`` of it; scoring covers whole texts. A line is scored as one chain, and the
+Fitting uses a bounded sample of the distinct labelled texts (about ``sample_rows``, drawn by
+a hash of the text) and ``windows`` of it; scoring covers whole texts. A line is scored as one chain, and the
 lines of an Arrow batch advance together, step by step.
 
 Defined results: a null or wordless text has score 0 and no span; rows without label teach
-nothing, and a document labelled twice is toxic if any label says so; without toxic labels
+nothing, and a text labelled twice, as one document or as copies, counts once and is toxic if
+any label says so; without toxic labels
 every score is the floor of an untrained field, 0; repeated rows are scored alike; an empty
 table gives an empty result.
 """
@@ -248,14 +249,22 @@ def train(samples: list[tuple[list[str], list[int]]], settings: Settings) -> Mod
     return Model(weights, float(theta[k]), theta[k + 1 :].reshape(2, 2).copy(), settings.prefixes, True)
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learn from ``text`` and ``toxic``; the bounded lexicon and windows come to the driver."""
+def fit(labelled: DataFrame, settings: Settings = Settings(), mark: str | None = None) -> Model:
+    """Learn from ``text`` and ``toxic``; the bounded lexicon and windows come to the driver.
+
+    ``mark`` names a column of ``xxhash64(text)``, if there is one: made before a join, it spares
+    that join the texts while they are counted.
+    """
     ship_code(labelled.sparkSession)
-    known = pick(labelled, "text", "toxic").filter("toxic is not null and text is not null")
-    total = known.count()
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    known = pick(labelled, "text", "toxic", *[mark] * bool(mark)).filter("toxic is not null and text is not null")
+    hashed = F.col(mark) if mark else F.xxhash64("text")
+    total = known.select(F.count_distinct(hashed)).first()[0]
+    draw = F.pmod(hashed, F.lit(1 << 40)) / F.lit(float(1 << 40))
     known = known.filter(draw < F.lit(settings.sample_rows / max(total, settings.sample_rows)))
-    known = stage(known.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
+    # One row per text: copies neither raise nor lower the evidence of their words.
+    known = stage(
+        known.groupBy("text").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")), "labelled"
+    )
     n = known.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n or not n[0]:
         return Model(prefixes=settings.prefixes)
