@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywatch.llm import (
+    alignment,
     chat,
     decontaminate,
     language,
@@ -14,10 +15,13 @@ from tallywatch.llm import (
     mixing,
     ngram_join,
     quality,
+    spelling,
     substrings,
+    token_files,
     toxicity,
     urls,
 )
+from tallywatch.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,6 +137,30 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.unionByName(extra)))
 
 
+@query("op11_align_tokenizers")
+def op11_align_tokenizers(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = alignment.align_tokenizers(
+        table(spark, folder, "documents"),
+        token_files.default_tokenizer("byte_bpe_50k.json"),
+        token_files.default_tokenizer("piece_bpe_32k.model"),
+    )
+    return aligned.select(F.col("doc_id").cast("bigint").alias("doc_id"), *aligned.columns[1:])
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op13_token_files")
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as the files have them; id 2 ends each."""
+    path = scratch_path(spark, "token-files")
+    tokenizer = token_files.default_tokenizer("word_bpe_49k.json")
+    token_files.write_token_files(table(spark, folder, "documents"), tokenizer, path, end_id=2)
+    return token_files.read_documents(spark, path)
+
+
 # The words of a text, as DuckDB says it.
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
@@ -260,6 +288,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 _MIX = mixing.Mix()
+_VARIANTS = spelling.Variants()
 
 
 def _draw(*parts: str) -> str:
@@ -371,3 +400,45 @@ SELECT doc_id, item_ids IS NOT NULL AS leaked, coalesce(array_to_string(item_ids
   coalesce(array_to_string(first_words, ','), '') AS first_words
 FROM docs LEFT JOIN leaks USING (r)
 """
+
+
+# CRC-32 by its table, then near words by plainly leaving out each letter.
+ORACLE["op12_spelling_variants"] = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(0, 256) r(i))
+), runs AS (
+  SELECT doc_id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{spelling.RUN}')) AS run FROM documents)
+), grouped AS (
+  SELECT run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x
+  FROM runs WHERE length(run) >= {_VARIANTS.length} GROUP BY doc_id, run
+), drawn AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM grouped, crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % {_VARIANTS.thinned} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM drawn)
+  WHERE length(word) >= {_VARIANTS.length} GROUP BY word HAVING sum(n) >= {_VARIANTS.times}
+), cuts AS (
+  SELECT word, left(word, i) || '*' || substr(word, i + 2) AS pattern, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.pattern = b.pattern AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.rest = w.word
+), counted AS (
+  SELECT a, count(*) AS n_near, arg_min(struct_pack(b := b, n := n), struct_pack(m := -n, b := b)) AS best
+  FROM near JOIN words ON b = word GROUP BY a
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= {_VARIANTS.ratio} * n THEN best.b END AS form,
+    CASE WHEN best.n >= {_VARIANTS.ratio} * n THEN best.n END AS form_n
+  FROM words LEFT JOIN counted ON word = a
+), followed AS (
+  SELECT word AS start, form AS here FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT start, form FROM followed JOIN formed ON here = word WHERE form IS NOT NULL
+), ends AS (SELECT start, here FROM followed JOIN formed ON here = word WHERE form IS NULL)
+SELECT word, form, coalesce(here, word) AS root, n, n_near, form_n FROM formed LEFT JOIN ends ON word = start
+"""

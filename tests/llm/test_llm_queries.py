@@ -37,7 +37,7 @@ def test_equals_sql(spark, duck, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
     assert set(ORACLE) <= set(entry.oracle_sql())
 
