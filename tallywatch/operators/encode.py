@@ -76,33 +76,59 @@ class LabelEncoder:
         """Replace each fitted column that ``df`` has by its index.
 
         Frequent values are looked up in a broadcast: at most ``FREQUENT`` digests of 16
-        bytes, however long the values are. None of the others was frequent, so the
-        shuffle join for those does not skew.
+        bytes, however long the values are. If there are others, the rows are staged once; the
+        cells left open, of all columns together, meet the rest of the table in one shuffle
+        join and go back to their rows. None of those values was frequent, so that join does
+        not skew, and ``df`` is read once, however many columns there are.
         """
-        columns = df.columns
-        for name in self.sizes:
-            if name in columns:
-                df = self._encode(df, name)
-        return df.select(*[c(n) for n in columns])
-
-    def _encode(self, df: DataFrame, name: str) -> DataFrame:
-        size, frequent = self.sizes[name]
-        codes = self.table.filter(F.col("column") == name).select(
-            _digest(F.col("value")).alias("_value"), F.col("index").alias("_index"), "frequent"
+        names = [n for n in self.sizes if n in df.columns]
+        found = {n: f"_index_{i}" for i, n in enumerate(names)}
+        coded = df
+        for name in names:
+            head = self._head(name).withColumnRenamed("_index", found[name])
+            same = _digest(c(name)) == F.col("_value")
+            coded = coded.join(F.broadcast(head), same, "left").drop("_value")
+
+        def result(rows: DataFrame) -> DataFrame:
+            """Nulls and values without an index come after the last one."""
+            last = {n: F.coalesce(c(i), F.lit(float(self.sizes[n][0]))) for n, i in found.items()}
+            return rows.select(*[last[n].alias(n) if n in last else c(n) for n in df.columns])
+
+        tails = [n for n in names if self.sizes[n][0] > self.sizes[n][1]]
+        if not tails:
+            return result(coded)
+        rows = stage(coded.withColumn("_row", F.monotonically_increasing_id()), "label-rows")
+        still = {n: c(found[n]).isNull() & c(n).isNotNull() for n in tails}
+        cells = F.array_compact(
+            F.array(
+                *[
+                    F.when(still[n], F.struct(F.lit(n).alias("_column"), _digest(c(n)).alias("_digest")))
+                    for n in tails
+                ]
+            )
         )
-        head = F.broadcast(codes.filter("frequent").drop("frequent"))
-        joined = df.withColumn("_digest", _digest(c(name))).join(
-            head, F.col("_digest") == F.col("_value"), "left"
+        rest = self.table.filter("not frequent").select(
+            F.col("column").alias("_of"), _digest(F.col("value")).alias("_value"), F.col("index").alias("_tail")
+        )
+        same = (F.col("_column") == F.col("_of")) & (F.col("_digest") == F.col("_value"))
+        met = rows.select(F.col("_row").alias("_cell"), F.inline(cells)).join(rest, same)
+        # A row has one cell per column at most.
+        settled = met.groupBy("_cell").agg(
+            *[F.max(F.when(F.col("_column") == n, F.col("_tail"))).alias("_tail" + found[n]) for n in tails]
+        )
+        is_open = F.size(cells) > 0
+        filled = (
+            rows.filter(is_open)
+            .join(settled, F.col("_row") == F.col("_cell"), "left")
+            .withColumns({found[n]: F.coalesce(c(found[n]), c("_tail" + found[n])) for n in tails})
+        )
+        return result(rows.filter(~is_open)).unionByName(result(filled))
+
+    def _head(self, name: str) -> DataFrame:
+        """``_value``, a digest, and ``_index`` of the column's frequent values."""
+        return self.table.filter((F.col("column") == name) & F.col("frequent")).select(
+            _digest(F.col("value")).alias("_value"), F.col("index").alias("_index")
         )
-        index = F.coalesce(F.col("_index"), F.lit(float(size))).alias(name)
-        kept = [index if n == name else c(n) for n in df.columns]
-        if frequent == size:
-            return joined.select(*kept)
-        settled = F.col("_index").isNotNull() | c(name).isNull()
-        rest = joined.filter(~settled).drop("_value", "_index")
-        tail = codes.filter("not frequent").drop("frequent")
-        rest = rest.join(tail, F.col("_digest") == F.col("_value"), "left")
-        return joined.filter(settled).select(*kept).unionByName(rest.select(*kept))
 
     def save(self, path: str) -> None:
         self.table.write.mode("overwrite").parquet(path + "/table")

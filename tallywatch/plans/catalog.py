@@ -8,14 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywatch.operators import (
     balance as balancing,
     clean,
+    difference,
+    documents as json_texts,
     encode,
+    grouping,
     labels,
     metrics,
     model,
@@ -23,7 +27,11 @@ from tallywatch.operators import (
     reports,
     scale,
     select,
+    series,
+    sketches,
+    temporal,
 )
+from tallywatch.operators.pieces import Cut, ticks
 from tallywatch.operators.sequence import (
     SequenceRule,
     consecutive_failures,
@@ -33,7 +41,7 @@ from tallywatch.operators.sequence import (
 from tallywatch.plans.pipeline import FittedPipeline, PipelineRun, PipelineSpec, run_pipeline
 from tallywatch.session import scratch_path, stage
 from tallywatch.sources import tables
-from tallywatch.streaming.rule_stream import replay
+from tallywatch.streaming import login_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,10 +114,56 @@ def consecutive_failures_segmented(spark, folder):
     return consecutive_failures(logins, rule)
 
 
-@query(CONSECUTIVE_SQL)
+# The stream's watermark after all rows, in whole milliseconds.
+WATERMARK_SQL = "(SELECT epoch_us(MAX(ts)) // 1000 * 1000 - 3600000000 FROM events WHERE event_type IN ({}))"
+
+
+def streamed(spark: SparkSession, folder: str, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The whole table read as a stream, until nothing is left, and what was appended."""
+    schema = load(spark, folder, "events").schema
+    # A pattern, since a stream's path must be a folder otherwise.
+    source = spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*")
+    target = scratch_path(spark, name)
+    result = make(source)
+    login_stream.write_stream(result, target, {"availableNow": True}).awaitTermination()
+    return spark.read.schema(result.schema).parquet(target + "/output")
+
+
+@query(
+    f"""
+    WITH {LABELED_SQL}, flagged AS (SELECT event_id FROM labeled WHERE label = 1)
+    SELECT event_id, user_id, epoch_us(ts) AS micros FROM events
+    WHERE event_id IN (SELECT event_id FROM flagged)
+      AND epoch_us(ts) <= {WATERMARK_SQL.format("'error', 'purchase'")}
+    """
+)
 def consecutive_failures_stream(spark, folder):
-    logins = load(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")
-    return replay(logins, LOGINS, "ts").select("event_id", "user_id", "event_type", "label")
+    """The rule on a stream: flagged failures up to the watermark, an hour before the last row."""
+
+    def flagged(source):
+        return login_stream.flagged_failures(source, LOGINS, "ts", timedelta(hours=1))
+
+    found = streamed(spark, folder, flagged, "rule-stream")
+    return found.select(F.col("id").alias("event_id"), F.col("user").alias("user_id"), "micros")
+
+
+@query(
+    f"""
+    WITH failed AS (
+        SELECT user_id, epoch_us(ts) // 21600000000 * 21600000000 AS started FROM events
+        WHERE event_type = 'error')
+    SELECT user_id, started, COUNT(*) AS failures FROM failed
+    WHERE started + 21600000000 <= {WATERMARK_SQL.format("'error'")} GROUP BY user_id, started
+    """
+)
+def failure_windows_stream(spark, folder):
+    """Failures per user and quarter of a day, as far as the watermark closes them."""
+
+    def windows(source):
+        return login_stream.failure_windows(source, LOGINS, "ts", timedelta(hours=6), timedelta(hours=1))
+
+    found = in_micros(streamed(spark, folder, windows, "window-stream"), "started")
+    return found.select(F.col("user").alias("user_id"), "started", "failures")
 
 
 USER_STATE_SQL = """
@@ -725,6 +779,43 @@ def label_encode(spark, folder):
     return encode.label_encode(orders)
 
 
+WIDE = ("o_orderstatus", "o_orderpriority", "bill", "due", "buyer", "c_name", "c_mktsegment")
+WIDE_SQL = """
+wide AS (
+    SELECT o_orderkey, o_orderstatus, o_orderpriority, 'bill ' || o_orderkey AS bill,
+           CASE WHEN o_orderkey % 7 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS due,
+           'buyer ' || o_custkey AS buyer, c_name, c_mktsegment
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+"""
+
+
+@query(
+    f"WITH {WIDE_SQL}, "
+    + ", ".join(f"index_{n} AS ({_index_sql('wide', n)} HAVING {n} IS NOT NULL)" for n in WIDE)
+    + " SELECT o_orderkey, "
+    + ", ".join(
+        f"COALESCE(index_{n}.idx, (SELECT CAST(COUNT(*) AS DOUBLE) FROM index_{n})) AS {n}" for n in WIDE
+    )
+    + " FROM wide "
+    + " ".join(f"LEFT JOIN index_{n} ON wide.{n} = index_{n}.value" for n in WIDE)
+)
+def label_encode_wide(spark, folder):
+    """Seven text columns, four of them with more values than a broadcast takes at any size."""
+    customers = load(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    orders = load(spark, folder, "orders")
+    wide = orders.join(customers, orders.o_custkey == customers.c_custkey, "left").select(
+        "o_orderkey",
+        "o_orderstatus",
+        "o_orderpriority",
+        F.concat(F.lit("bill "), F.col("o_orderkey").cast("string")).alias("bill"),
+        F.when(F.col("o_orderkey") % 7 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("due"),
+        F.concat(F.lit("buyer "), F.col("o_custkey").cast("string")).alias("buyer"),
+        "c_name",
+        "c_mktsegment",
+    )
+    return encode.label_encode(wide)
+
+
 # Words of a text: no trailing empty words, and none at all in a blank text.
 WORDS_OF_SQL = r"""
     SELECT doc_id, CASE WHEN text <> '' AND regexp_replace(text, '\s+$', '') = '' THEN []
@@ -1277,3 +1368,404 @@ def run_pipeline_linear(spark, folder):
     )
     log = _log(spark, folder)
     return _sizes(log, run_pipeline(log, spec))
+
+
+# ---------------------------------------------------------------- along time
+
+#: Cuts every user into pieces, as a busy user's log would be.
+SMALL_CUT = Cut(task_rows=10, piece_rows=5000)
+
+
+def failures(spark: SparkSession, folder: str) -> DataFrame:
+    return load(spark, folder, "events").filter("event_type = 'error'")
+
+
+def in_micros(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: ticks(df, n) for n in names})
+
+
+ASOF_SQL = """
+SELECT f.event_id, f.user_id, l.event_id AS logon_id, l.value AS logon_value,
+       epoch_us(f.ts) - epoch_us(l.ts) AS micros_since
+FROM (SELECT * FROM events WHERE event_type = 'error') f
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') l
+    ON f.user_id = l.user_id AND f.ts >= l.ts
+"""
+
+
+def last_logon(spark: SparkSession, folder: str, cut: Cut) -> DataFrame:
+    logons = load(spark, folder, "events").filter("event_type = 'purchase'")
+    take = {"event_id": "logon_id", "value": "logon_value", "ts": "logon_ts"}
+    found = temporal.asof_join(
+        failures(spark, folder), logons, ["user_id"], "ts", take, tie="event_id", cut=cut
+    )
+    return in_micros(found, "ts", "logon_ts").select(
+        "event_id", "user_id", "logon_id", "logon_value", (F.col("ts") - F.col("logon_ts")).alias("micros_since")
+    )
+
+
+@query(ASOF_SQL)
+def asof_join(spark, folder):
+    """Per failure the last logon before it."""
+    return last_logon(spark, folder, Cut())
+
+
+@query(ASOF_SQL)
+def asof_join_segmented(spark, folder):
+    return last_logon(spark, folder, SMALL_CUT)
+
+
+def sessions_sql(where: str, hours: int) -> str:
+    """Sessions as they are stated: a row after a long pause begins one."""
+    return f"""
+    (SELECT user_id, MIN(ts) AS started, MAX(ts) AS ended, COUNT(*) AS events,
+            CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failures
+     FROM (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS number
+           FROM (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts)
+                                     <= INTERVAL {hours} HOUR THEN 0 ELSE 1 END AS fresh
+                 FROM events WHERE {where}))
+     GROUP BY user_id, number)
+    """
+
+
+SESSIONS_SQL = f"""
+SELECT user_id, epoch_us(started) AS started, epoch_us(ended) AS ended, events, failures,
+       epoch_us(ended) - epoch_us(started) AS micros
+FROM {sessions_sql("TRUE", 6)}
+"""
+
+
+def user_sessions(spark: SparkSession, folder: str, cut: Cut) -> DataFrame:
+    failed = F.when(F.col("event_type") == "error", 1).otherwise(0)
+    found = temporal.sessions(
+        load(spark, folder, "events"), ["user_id"], "ts", timedelta(hours=6), {"failures": failed}, cut
+    )
+    return in_micros(found, "started", "ended").withColumn("micros", F.col("ended") - F.col("started"))
+
+
+@query(SESSIONS_SQL)
+def sessions_by_gap(spark, folder):
+    """Bursts of a user's events, with their failures and duration."""
+    return user_sessions(spark, folder, Cut())
+
+
+@query(SESSIONS_SQL)
+def sessions_by_gap_segmented(spark, folder):
+    return user_sessions(spark, folder, SMALL_CUT)
+
+
+def bursts(spark: SparkSession, folder: str, hours: int) -> DataFrame:
+    found = temporal.sessions(failures(spark, folder), ["user_id"], "ts", timedelta(hours=hours))
+    return found.filter("events > 1")
+
+
+@query(
+    f"""
+    WITH bursts AS (SELECT * FROM {sessions_sql("event_type = 'error'", 2)} WHERE events > 1)
+    SELECT e.event_id, e.user_id, b.user_id AS burst_user, epoch_us(b.started) AS burst_started,
+           b.events AS burst_events
+    FROM events e JOIN bursts b
+        ON e.ts BETWEEN b.started AND b.ended AND e.user_id <> b.user_id
+    """
+)
+def interval_join(spark, folder):
+    """Events that fall into other users' bursts of failures."""
+    take = {"user_id": "burst_user", "started": "burst_started", "events": "burst_events"}
+    met = temporal.interval_join(
+        load(spark, folder, "events"), bursts(spark, folder, 2), ("ts", "ts"), ("started", "ended"), take
+    ).filter("user_id <> burst_user")
+    return in_micros(met, "burst_started").select("event_id", "user_id", *take.values())
+
+
+@query(
+    f"""
+    WITH bursts AS (SELECT * FROM {sessions_sql("event_type = 'error'", 6)} WHERE events > 1)
+    SELECT a.user_id, epoch_us(a.started) AS started, b.user_id AS other_user,
+           epoch_us(b.started) AS other_started,
+           LEAST(epoch_us(a.ended), epoch_us(b.ended)) - GREATEST(epoch_us(a.started), epoch_us(b.started))
+               AS micros
+    FROM bursts a JOIN bursts b ON a.started <= b.ended AND b.started <= a.ended AND a.user_id < b.user_id
+    """
+)
+def interval_join_segmented(spark, folder):
+    """Bursts of two users at one time, with full buckets dealt to several tasks."""
+    own = bursts(spark, folder, 6)
+    take = {"user_id": "other_user", "started": "other_started", "ended": "other_ended"}
+    ends = ("started", "ended")
+    met = temporal.interval_join(own, own, ends, ends, take, task_rows=3).filter("user_id < other_user")
+    shared = F.least("ended", "other_ended") - F.greatest("started", "other_started")
+    return in_micros(met, "started", "ended", "other_started", "other_ended").select(
+        "user_id", "started", "other_user", "other_started", shared.alias("micros")
+    )
+
+
+RANGE_FRAME_SQL = """
+SELECT event_id, user_id, event_type,
+       CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER day AS BIGINT) AS failures,
+       CAST(SUM(CAST(round(value * 100) AS BIGINT)) OVER day AS BIGINT) AS cents,
+       MIN(value) OVER day AS lowest, MAX(value) OVER day AS highest
+FROM events
+WINDOW day AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)
+"""
+
+
+def last_day(spark: SparkSession, folder: str, cut: Cut) -> DataFrame:
+    values = {
+        "failures": ("count", F.when(F.col("event_type") == "error", 1)),
+        "cents": ("sum", F.round(F.col("value") * 100).cast("bigint")),
+        "lowest": ("min", F.col("value")),
+        "highest": ("max", F.col("value")),
+    }
+    found = temporal.range_frame(
+        load(spark, folder, "events"), ["user_id"], "ts", timedelta(days=1), values, cut=cut
+    )
+    return found.select("event_id", "user_id", "event_type", *values)
+
+
+@query(RANGE_FRAME_SQL)
+def range_frame(spark, folder):
+    """Failures and amounts of the user's last day, at each event."""
+    return last_day(spark, folder, Cut())
+
+
+@query(RANGE_FRAME_SQL)
+def range_frame_segmented(spark, folder):
+    return last_day(spark, folder, SMALL_CUT)
+
+
+# ---------------------------------------------------------------- subtotals
+
+DIMENSIONS = ["event_type", "user_class", "day"]
+#: One user in ten has no class, which is a group and no subtotal.
+CLASSED_SQL = """
+(SELECT *, CASE WHEN user_id % 10 > 0 THEN 'class ' || (user_id % 3) END AS user_class,
+        strftime(ts, '%Y-%m-%d') AS day FROM events)
+"""
+
+
+def subtotal_sql(sets: str) -> str:
+    return f"""
+    SELECT event_type, user_class, day, GROUPING(event_type, user_class, day) AS level, COUNT(*) AS events,
+           CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, MAX(value) AS highest
+    FROM {CLASSED_SQL} GROUP BY {sets}
+    """
+
+
+def subtotals() -> dict[str, tuple[str, Column]]:
+    return {
+        "events": ("count", F.lit(1)),
+        "cents": ("sum", F.round(F.col("value") * 100).cast("bigint")),
+        "highest": ("max", F.col("value")),
+    }
+
+
+def classed(spark: SparkSession, folder: str) -> DataFrame:
+    user = F.col("user_id")
+    return load(spark, folder, "events").withColumns(
+        {
+            "user_class": F.when(user % 10 > 0, F.concat(F.lit("class "), (user % 3).cast("string"))),
+            "day": F.date_format("ts", "yyyy-MM-dd"),
+        }
+    )
+
+
+@query(subtotal_sql("GROUPING SETS ((event_type, user_class), (event_type, day), (day), ())"))
+def grouping_sets(spark, folder):
+    sets = [["event_type", "user_class"], ["event_type", "day"], ["day"], []]
+    return grouping.grouping_sets(classed(spark, folder), sets, subtotals())
+
+
+@query(subtotal_sql("ROLLUP (event_type, user_class, day)"))
+def rollup(spark, folder):
+    return grouping.rollup(classed(spark, folder), DIMENSIONS, subtotals())
+
+
+@query(subtotal_sql("CUBE (event_type, user_class, day)"))
+def cube(spark, folder):
+    return grouping.cube(classed(spark, folder), DIMENSIONS, subtotals())
+
+
+# ---------------------------------------------------------------- summaries that merge
+
+
+@query(
+    """
+    SELECT CAST(d.day AS VARCHAR) AS day, TRUE AS near, COUNT(*) AS events
+    FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d
+    JOIN events e ON CAST(e.ts AS DATE) BETWEEN d.day - 6 AND d.day
+    GROUP BY d.day
+    """
+)
+def distinct_sketches(spark, folder):
+    """Users of each day's last seven days, from stored daily sketches, within their error."""
+    daily = load(spark, folder, "events").withColumn("day", F.to_date("ts"))
+    stored = stage(sketches.distinct_sketches(daily, ["day"], "user_id"), "daily-sketches")
+    week = sketches.with_distinct(sketches.trailing_sketches(stored, "day", 7))
+    # The exact number, from the distinct users of each day.
+    users = daily.select("day", "user_id").distinct()
+    later = F.explode(F.sequence(F.lit(0), F.lit(6)))
+    reached = users.withColumn("later", later).select(F.date_add("day", F.col("later")).alias("on"), "user_id")
+    exact = reached.groupBy("on").agg(F.count_distinct("user_id").alias("users"))
+    off = F.abs(F.col("distinct") - F.col("users"))
+    near = off <= F.col("users") * sketches.distinct_error()
+    return week.join(exact.hint("merge"), F.col("day") == F.col("on")).select(
+        F.col("day").cast("string").alias("day"), near.alias("near"), F.col("rows").alias("events")
+    )
+
+
+HITTERS = {"user_id": 0.007, "props": 0.0105}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""
+        SELECT '{n}' AS "column", CAST({n} AS VARCHAR) AS value, COUNT(*) AS "rows" FROM events
+        GROUP BY {n} HAVING COUNT(*) >= {share} * (SELECT COUNT(*) FROM events)
+        """
+        for n, share in HITTERS.items()
+    )
+)
+def heavy_hitters(spark, folder):
+    """Users and properties above a share of all rows, without a shuffle of either."""
+    events = load(spark, folder, "events")
+    found = [
+        sketches.heavy_hitters(events, n, share).select(
+            F.lit(n).alias("column"), F.col("value").cast("string").alias("value"), "rows"
+        )
+        for n, share in HITTERS.items()
+    ]
+    return found[0].unionByName(found[1])
+
+
+# ---------------------------------------------------------------- multisets
+
+# Labels under two rules, without what tells rows of a user apart; some users are not known.
+VERSIONS_SQL = f"""
+WITH {LABELED_SQL},
+old AS (SELECT CASE WHEN user_id % 10 > 0 THEN user_id END AS user_id, event_type, label FROM labeled),
+new AS (
+    SELECT CASE WHEN user_id % 10 > 0 THEN user_id END AS user_id, event_type,
+           CAST(CASE WHEN event_type = 'error' AND counter >= 5 THEN 1 ELSE 0 END AS INTEGER) AS label
+    FROM labeled WHERE event_type <> 'click' OR event_id % 3 > 0)
+"""
+
+
+def versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    def version(rule: SequenceRule, keep: str) -> DataFrame:
+        known = F.when(F.col("user_id") % 10 > 0, F.col("user_id")).alias("user_id")
+        labeled = consecutive_failures(events(spark, folder), rule).filter(keep)
+        return labeled.select(known, "event_type", "label")
+
+    return version(LOGINS, "true"), version(LONG_RUN, "event_type <> 'click' or event_id % 3 > 0")
+
+
+@query(
+    f"""
+    {VERSIONS_SQL},
+    net AS (
+        SELECT user_id, event_type, label, CAST(SUM(n) AS BIGINT) AS times
+        FROM (SELECT *, -1 AS n FROM old UNION ALL SELECT *, 1 FROM new)
+        GROUP BY user_id, event_type, label HAVING SUM(n) <> 0)
+    SELECT *, CASE WHEN MAX(times) OVER key > 0 AND MIN(times) OVER key < 0 THEN 'changed'
+                   WHEN times > 0 THEN 'added' ELSE 'removed' END AS change
+    FROM net WINDOW key AS (PARTITION BY user_id, event_type)
+    """
+)
+def multiset_changes(spark, folder):
+    """What a stricter rule and fewer clicks did to the labeled table."""
+    old, new = versions(spark, folder)
+    return difference.changes(old, new, ["user_id", "event_type"])
+
+
+@query(f"{VERSIONS_SQL} SELECT * FROM old EXCEPT ALL SELECT * FROM new")
+def except_all(spark, folder):
+    return difference.except_all(*versions(spark, folder))
+
+
+@query(f"{VERSIONS_SQL} SELECT * FROM old INTERSECT ALL SELECT * FROM new")
+def intersect_all(spark, folder):
+    return difference.intersect_all(*versions(spark, folder))
+
+
+# ---------------------------------------------------------------- JSON texts
+
+# Each event as a document around its properties; one in eleven is cut, one in seven missing.
+JSON_SQL = """
+(SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN left(j, 20) ELSE j END AS j
+ FROM (SELECT event_id, '{"props": ' || props || ', "tags": ["' || event_type || '", null, {"user": ' || user_id
+           || '}], "ok": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '"maybe"' END || '}' AS j FROM events))
+"""
+
+
+def json_events(spark: SparkSession, folder: str) -> DataFrame:
+    return load(spark, folder, "events").selectExpr(
+        "event_id",
+        """concat('{"props": ', props, ', "tags": ["', event_type, '", null, {"user": ', user_id,
+           '}], "ok": ', if(event_id % 2 = 0, 'true', '"maybe"'), '}') AS j""",
+    ).selectExpr("event_id", "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN left(j, 20) ELSE j END AS j")
+
+
+@query(
+    f"""
+    WITH texts AS (SELECT j, json_valid(j) AS good FROM {JSON_SQL}),
+    leaves AS (
+        SELECT regexp_replace(t.fullkey, '[[][0-9]+[]]', '[]', 'g') AS path, t.type
+        FROM (SELECT j FROM texts WHERE good), json_tree(j) t
+        UNION ALL SELECT '$', CASE WHEN j IS NULL THEN 'MISSING' ELSE 'MALFORMED' END FROM texts
+        WHERE j IS NULL OR NOT good)
+    SELECT path, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'NUMBER' WHEN type = 'VARCHAR' THEN 'STRING'
+                      ELSE type END AS type, COUNT(*) AS "values"
+    FROM leaves GROUP BY ALL
+    """
+)
+def json_profile(spark, folder):
+    """Paths, types and counts in a column of JSON texts."""
+    return json_texts.json_profile(json_events(spark, folder), "j")
+
+
+@query(
+    f"""
+    WITH texts AS (SELECT event_id, CASE WHEN json_valid(j) THEN j END AS j FROM {JSON_SQL})
+    SELECT event_id, CAST(j ->> '$.props.k' AS BIGINT) AS k, j ->> '$.tags[0]' AS tag,
+           CAST(j ->> '$.tags[2].user' AS BIGINT) AS "user",
+           TRY_CAST(j ->> '$.ok' AS BOOLEAN) AS ok,
+           j ->> '$.nothing' AS nothing
+    FROM texts
+    """
+)
+def json_values(spark, folder):
+    """Chosen paths as typed columns; malformed texts have none."""
+    paths = {
+        "k": ("$.props.k", "bigint"), "tag": ("$.tags[0]", "string"), "user": ("$.tags[2].user", "bigint"),
+        "ok": ("$.ok", "boolean"), "nothing": ("$.nothing", "string"),
+    }
+    return json_texts.json_values(json_events(spark, folder), "j", paths).drop("j")
+
+
+# ---------------------------------------------------------------- regular series
+
+HOUR = 3_600_000_000
+
+
+@query(
+    f"""
+    WITH steps AS (
+        SELECT event_type, epoch_us(ts) // {HOUR} * {HOUR} AS step, COUNT(*) AS events,
+               MAX(value) AS highest FROM events GROUP BY ALL),
+    calendar AS (
+        SELECT event_type, unnest(generate_series(MIN(step), MAX(step), {HOUR})) AS step
+        FROM steps GROUP BY event_type),
+    filled AS (
+        SELECT event_type, step, COALESCE(events, 0) AS events, highest
+        FROM calendar LEFT JOIN steps USING (event_type, step))
+    SELECT f.*, b.events AS events_before, f.events - b.events AS events_change
+    FROM filled f LEFT JOIN filled b ON f.event_type = b.event_type AND b.step = f.step - 168 * {HOUR}
+    """
+)
+def hourly_series(spark, folder):
+    """Events per type and hour, empty hours filled, and the change against the week before."""
+    values = {"events": ("count", F.lit(1)), "highest": ("max", F.col("value"))}
+    hourly = series.regular_series(
+        load(spark, folder, "events"), ["event_type"], "ts", timedelta(hours=1), values
+    )
+    return series.with_change(stage(hourly, "hourly"), ["event_type"], "events", timedelta(weeks=1))

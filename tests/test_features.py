@@ -1,6 +1,7 @@
 """Encoders, scalers, selection, balancing: fixed examples and MLlib as the yardstick."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql.utils import IllegalArgumentException
 
 from tallywatch.operators import balance, encode, scale, select
 from tallywatch.operators.encode import LabelEncoder
+from tallywatch.session import stage
 
 
 def column(df, name):
@@ -55,6 +57,34 @@ def test_label_encode_many_values(spark, monkeypatch, tmp_path):
     assert Counter(again.transform(df).collect()) == Counter(fitted.transform(df).collect())
 
 
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_label_encode_reads_its_input_once(spark, monkeypatch, k):
+    """Columns of many values: one scan of the input, and a plan that does not grow with them."""
+    monkeypatch.setattr(encode, "FREQUENT", 10)
+    rng = random.Random(4)
+    rows = [tuple(rng.choice([None, "often", "often", f"v{rng.randrange(60)}"]) for _ in range(k)) for _ in range(300)]
+    names = [f"s{i}" for i in range(k)]
+    source = stage(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), "source")
+    fitted = LabelEncoder.fit(source)
+    staged = []
+    monkeypatch.setattr(encode, "stage", lambda df, name: staged.append(df) or stage(df, name))
+    found = fitted.transform(source)
+
+    def leaves(df):
+        return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+    assert len(staged) == 1 and leaves(staged[0]) == 1 + k  # the input, and a broadcast per column
+    assert leaves(found) == 4  # closed rows, open rows, open cells, the table
+    expected = []
+    orders = []
+    for i in range(k):
+        counts = Counter(r[i] for r in rows if r[i] is not None)
+        orders.append(sorted(counts, key=lambda v: (-counts[v], v)))
+    for r in rows:
+        expected.append(tuple(float(o.index(v)) if v is not None else float(len(o)) for o, v in zip(orders, r)))
+    assert Counter(map(tuple, found.collect())) == Counter(expected)
+
+
 TEXTS = ["  Foo  BAR x", "", "   ", "a\tb\n c  ", "one", "É à b", None]
 
 

@@ -1,6 +1,8 @@
 """Reading and writing, staging, and the rule on a stream."""
 
 import random
+from collections import Counter
+from datetime import timedelta
 
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tallywatch import session
 from tallywatch.operators.sequence import SequenceRule, consecutive_failures
 from tallywatch.sources import tables
-from tallywatch.streaming import rule_stream
+from tallywatch.streaming import login_stream
 
 
 def test_csv(spark, tmp_path):
@@ -89,64 +91,90 @@ def test_shared_folder_must_be_named(spark, monkeypatch):
 LOG = "id bigint, ts timestamp_ntz, TargetUserName string, Task string"
 
 
+def stream_rows(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, s bigint, TargetUserName string, Task string").select(
+        "id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "TargetUserName", "Task"
+    )
+
+
+def run_stream(spark, folder, make):
+    """Read the files in ``folder`` one by one, as far as there are any, and append the result."""
+    schema = spark.createDataFrame([], LOG).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/input")
+    result = make(source)
+    query = login_stream.write_stream(result, folder, {"availableNow": True})
+    query.awaitTermination()
+    assert query.exception() is None
+    return spark.read.schema(result.schema).parquet(folder + "/output")
+
+
 def test_stream_equals_batch(spark):
-    """Several micro-batches, rows out of order within the delay."""
+    """Several micro-batches and a restart, rows out of order within the delay."""
     rnd = random.Random(9)
     rows = [
         (i, i * 60, rnd.choice(["a", "a", "b", None]), rnd.choice(["LoginFailure", "LoginFailure", "LogOn", "X"]))
         for i in range(200)
     ]
-    df = spark.createDataFrame(rows, "id bigint, s bigint, TargetUserName string, Task string").select(
-        "id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "TargetUserName", "Task"
-    )
+    # The last row only moves the watermark on.
+    rows.append((999, 10**6, "z", "LoginFailure"))
+    df = stream_rows(spark, rows)
     rule = SequenceRule()
-    expected = dict(consecutive_failures(df, rule).select("id", "label").collect())
-
-    folder = session.scratch_path(spark, "stream")
-    # Files of 50 rows; every file holds the last ten rows of the next one's start.
-    for start in range(0, 200, 50):
-        ids = [i for i in range(start, start + 50)]
+    delay = timedelta(minutes=20)
+    flagged = consecutive_failures(df, rule).filter("label = 1 and id < 999")
+    expected = sorted((r.TargetUserName or "", r.id) for r in flagged.collect())
+    failed = df.filter("Task = 'LoginFailure' and id < 999").select("TargetUserName", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    hours = Counter((r.TargetUserName, r.t // 3_600_000_000) for r in failed.collect())
+    made = {
+        "flags": lambda s: login_stream.flagged_failures(s, rule, "ts", delay),
+        "windows": lambda s: login_stream.failure_windows(s, rule, "ts", timedelta(hours=1), delay),
+    }
+    folders = {n: session.scratch_path(spark, n) for n in made}
+    # Files of 50 rows; every file holds rows of the one before it and the one after it.
+    for start in (0, 50, 100, 150, 200):
+        ids = list(range(start, start + 50)) if start < 200 else [999]
         if start + 50 < 200:
             ids = [i for i in ids if i != start + 45] + [start + 52]
-        if start:
+        if 0 < start < 200:
             ids = [i for i in ids if i != start + 2] + [start - 5]
-        df.filter(F.col("id").isin(ids)).coalesce(1).write.mode("append").parquet(folder + "/input")
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/input")
-    query = rule_stream.start(source, rule, "ts", folder, 1200, {"availableNow": True})
-    query.awaitTermination()
-    rule_stream.drain(spark, rule, folder, query.lastProgress["batchId"])
-    flagged = {r["id"] for r in rule_stream.flags(spark, folder).collect()}
-    assert flagged == {i for i, label in expected.items() if label}
-    assert rule_stream.late(spark, folder).count() == 0
+        for folder in folders.values():
+            df.filter(F.col("id").isin(ids)).coalesce(1).write.mode("append").parquet(folder + "/input")
+        if start in (100, 200):
+            found = {n: run_stream(spark, folders[n], make) for n, make in made.items()}
+    assert sorted((r.user or "", r.id) for r in found["flags"].collect()) == expected and expected
+    windows = found["windows"].select("user", F.unix_micros("started").alias("t"), "failures").collect()
+    assert {(r.user, r.t // 3_600_000_000): r.failures for r in windows} == hours
 
 
-def test_late_rows_are_set_aside(spark):
+def test_late_rows_and_rows_without_time_are_left_out(spark):
     folder = session.scratch_path(spark, "late")
-    schema = spark.createDataFrame([], LOG).schema
 
     def add(*rows):
         data = [(i, s, u, "LoginFailure") for i, s, u in rows]
-        spark.createDataFrame(data, "id bigint, s bigint, TargetUserName string, Task string").select(
-            "id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "TargetUserName", "Task"
-        ).coalesce(1).write.mode("append").parquet(folder + "/input")
+        stream_rows(spark, data).coalesce(1).write.mode("append").parquet(folder + "/input")
 
-    add((1, 10, "a"), (2, 20, "a"), (9, 5000, "a"))
+    rule = SequenceRule(threshold=3)
+
+    def make(source):
+        return login_stream.flagged_failures(source, rule, "ts", timedelta(minutes=1))
+
+    add((1, 10, "a"), (2, 20, "a"), (9, 5000, "a"), (8, None, "a"))
+    run_stream(spark, folder, make)
     add((3, 30, "a"))
+    run_stream(spark, folder, make)
     add((10, 9000, "a"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/input")
-    query = rule_stream.start(source, SequenceRule(), "ts", folder, 60, {"availableNow": True})
-    query.awaitTermination()
-    assert [r["id"] for r in rule_stream.late(spark, folder).collect()] == [3]
-    assert [r["id"] for r in rule_stream.flags(spark, folder).collect()] == [9]
+    found = run_stream(spark, folder, make).collect()
+    # The third failure is row 9: row 3 came too late, row 8 at no time.
+    assert [(r.user, r.id, r.micros) for r in found] == [("a", 9, 5_000_000_000)]
 
 
-def test_rows_without_time_are_judged(spark):
-    rows = [(i, i * 1000 if i % 3 else None, "a", "LoginFailure") for i in range(30)]
-    df = spark.createDataFrame(rows, "id bigint, s bigint, TargetUserName string, Task string").select(
-        "id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "TargetUserName", "Task"
-    )
-    found = rule_stream.replay(df, SequenceRule(threshold=1), "ts").filter("label = 1").count()
-    assert found == 30
+def test_a_window_of_no_rows(spark):
+    folder = session.scratch_path(spark, "none")
+    stream_rows(spark, []).write.parquet(folder + "/input")
+
+    def make(source):
+        return login_stream.failure_windows(source, SequenceRule(), "ts", timedelta(hours=1), timedelta(0))
+
+    assert run_stream(spark, folder, make).count() == 0
 
 
 TEXTS = [
