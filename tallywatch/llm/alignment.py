@@ -30,6 +30,7 @@ import hashlib
 import heapq
 import json
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,15 +69,34 @@ def byte_letters() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ids of a text that is given with its leading space, and bytes of ids."""
+    """One tokenizer: ids of parts that begin with a space, and bytes of ids.
 
-    def __init__(self, encoder: tokens.Encoder, table: list[bytes]) -> None:
-        self.encoder, self.table = encoder, table
-        self.length = np.array([len(b) for b in table], np.int64)
-        self.said = [str(i) for i in range(len(table))]
+    ``cuts`` says that a text may be cut before spaces (see ``tokens``).
+    """
 
-    def spells(self, ids: np.ndarray, data: bytes) -> bool:
-        return b"".join(map(self.table.__getitem__, ids.tolist())) == data
+    def __init__(self, encode, cuts: bool, table: list[bytes], after: tuple[str, str]) -> None:
+        self.encode, self.cuts, self.table = encode, cuts, table
+        self.length = np.array([len(b) for b in table], np.int64)
+        #: What an id is written as, within a group and as the last of its side.
+        self.said = [f"{i}{mark}" for mark in after for i in range(len(table))]
+
+    def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts in a row, and how many each part has."""
+        found = [array("i", ids) for ids in self.encode(parts)]
+        flat = np.frombuffer(b"".join([f.tobytes() for f in found]), np.int32)
+        return flat.astype(np.int64), np.array([len(f) for f in found], np.int64)
+
+    def spelled(self, ids: np.ndarray, counts: np.ndarray, parts: list[bytes]) -> np.ndarray:
+        """Do the ids of each part spell it?"""
+        size = np.array([len(p) for p in parts], np.int64)
+        total = np.concatenate([[0], np.cumsum(self.length[ids])])
+        ends = np.cumsum(counts)
+        held = total[ends] - total[ends - counts] == size
+        pieces = list(map(self.table.__getitem__, ids.tolist()))
+        if held.all() and b"".join(pieces) == b"".join(parts):
+            return held
+        begins = (ends - counts).tolist()
+        return np.array([b"".join(pieces[i:j]) == p for i, j, p in zip(begins, ends.tolist(), parts)], bool)
 
 
 def _byte_level(blob: bytes) -> Side:
@@ -87,7 +107,8 @@ def _byte_level(blob: bytes) -> Side:
         for t in specification.get("added_tokens") or []:
             found[t["id"]] = t["content"].encode()
         table = [found.get(i, b"") for i in range(max(found) + 1)]
-        return Side(tokens.library_encoder(blob, plain_specials=True), table)
+        encoder = tokens.library_encoder(blob, plain_specials=True)
+        return Side(encoder.encode, encoder.cut is tokens.pieces_with_spaces, table, (",", "|"))
 
     return tokens._once("byte level", blob, make)
 
@@ -116,31 +137,54 @@ def _piece_model(blob: bytes) -> Side:
             if any(SPACE_MARK in p.lstrip(SPACE_MARK) or " " in p for p in pieces):
                 return True
             probe = "a  b, c é "
-            parts = tokens.pieces_with_spaces(" " + probe)
+            parts = [" " + p for p in tokens.led_pieces(probe)]
             return [i for ids in encode(parts) for i in ids] != model.encode(probe)
 
-        cut = tokens.whole if joins() else tokens.pieces_with_spaces
-        return Side(tokens.Encoder(encode, cut), [_piece_bytes(p) for p in pieces])
+        return Side(encode, not joins(), [_piece_bytes(p) for p in pieces], (",", ";"))
 
     return tokens._once("pieces", blob, make)
 
 
-def _grouped(left: Side, right: Side, a: np.ndarray, b: np.ndarray):
-    """Positions of the last tokens of each group on both sides, and the groups as text."""
+#: Of a part: its tokens on both sides, its groups, its links, its groups as text.
+Part = tuple[int, int, int, bytes, str]
+
+
+def _aligned(left: Side, right: Side, parts: list[str]) -> list[Part | bool]:
+    """What the tokens of each part make; False if they do not spell it.
+
+    All parts are laid end to end, and both sides' tokens end where a part does. So the
+    common ends are found at once for all of them.
+    """
+    data = [p.encode() for p in parts]
+    (a, a_counts), (b, b_counts) = left.ids(parts), right.ids(parts)
+    good = left.spelled(a, a_counts, data) & right.spelled(b, b_counts, data)
+    if not good.all():
+        a, a_counts = a[np.repeat(good, a_counts)], a_counts[good]
+        b, b_counts = b[np.repeat(good, b_counts)], b_counts[good]
     a_ends, b_ends = np.cumsum(left.length[a]), np.cumsum(right.length[b])
     both = np.intersect1d(a_ends, b_ends, assume_unique=True)
     a_last, b_last = np.searchsorted(a_ends, both), np.searchsorted(b_ends, both)
-    # All tokens in order of group and side, each with what follows it.
-    a_group = np.searchsorted(both, a_ends)
-    b_group = np.searchsorted(both, b_ends)
-    order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
-    a_mark, b_mark = np.full(len(a), ","), np.full(len(b), ",")
-    a_mark[a_last] = "|"
-    b_mark[b_last] = ";"
-    said = [left.said[i] for i in a.tolist()] + [right.said[i] for i in b.tolist()]
-    marks = a_mark.tolist() + b_mark.tolist()
-    text = "".join([said[i] + marks[i] for i in order.tolist()])
-    return a_last, b_last, text[:-1]
+    links = ((b[b_last] << 32) | a[a_last]).tobytes()
+    # All tokens in order of group and side, each written with what follows it.
+    a_at, b_at = a.copy(), b.copy()
+    a_at[a_last] += len(left.table)
+    b_at[b_last] += len(right.table)
+    said = [*map(left.said.__getitem__, a_at.tolist()), *map(right.said.__getitem__, b_at.tolist())]
+    group = np.concatenate([2 * np.searchsorted(both, a_ends), 2 * np.searchsorted(both, b_ends) + 1])
+    said = [said[i] for i in np.argsort(group, kind="stable").tolist()]
+    part_ends = np.cumsum(a_counts) - 1
+    group_ends = np.searchsorted(both, a_ends[part_ends] if len(a) else part_ends, "right")
+    token_ends = np.cumsum(a_counts + b_counts)
+    rows = zip(
+        a_counts.tolist(), b_counts.tolist(),
+        [0, *group_ends.tolist()], group_ends.tolist(),
+        [0, *token_ends.tolist()], token_ends.tolist(),
+    )
+    made = [(m, n, h - g, links[8 * g : 8 * h], "".join(said[i:j])) for m, n, g, h, i, j in rows]
+    if good.all():
+        return made
+    rest = iter(made)
+    return [next(rest) if ok else False for ok in good.tolist()]
 
 
 # ---------------------------------------------------------------- blocks
@@ -205,10 +249,16 @@ def _encoded(a_file, b_file, spill: Spill):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Document rows (kind 0), blocks of records (1) and of totals (2)."""
         left, right = _byte_level(a_file.value), _piece_model(b_file.value)
+        cut = tokens.led_pieces if left.cuts and right.cuts else lambda text: [text]
+        # Kept by the Python worker from task to task.
+        recent = tokens._once("parts", a_file.value + b_file.value, tokens.Recent)
         keys, rows, times = [], [], []
         held = 0
         kind = pa.int64()
 
+        def make(parts: list[str]) -> list[Part | bool]:
+            return _aligned(left, right, [" " + p for p in parts])
+
         def runs() -> pa.RecordBatch:
             found = []
             key, row, n = np.concatenate(keys), np.concatenate(rows), np.concatenate(times)
@@ -232,28 +282,31 @@ def _encoded(a_file, b_file, spill: Spill):
         for batch in batches:
             kind = batch.schema.field(0).type
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            numbers = batch.column(1).to_pylist()
-            led = [" " + t if t else "" for t in texts]
+            rest = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             done = []
-            for doc, row, text, a, b in zip(
-                batch.column(0).to_pylist(), numbers, led, left.encoder.texts(led), right.encoder.texts(led)
-            ):
-                data = text.encode()
-                if not text or not left.spells(a, data) or not right.spells(b, data):
-                    done.append((doc, row, 0, 0, 0, 0, ""))
-                    continue
-                a_last, b_last, said = _grouped(left, right, a, b)
-                digest = hashlib.sha256(said.encode()).hexdigest()
-                done.append((doc, row, len(a), len(b), len(a_last), len(a_last), digest))
-                pair = (b[b_last].astype(np.int64) << 32) | a[a_last].astype(np.int64)
-                pair, n = np.unique(pair, return_counts=True)
-                keys.append(pair)
-                rows.append(np.full(len(pair), row, np.int64))
-                times.append(n.astype(np.int64))
-                held += len(pair)
-                if held >= spill.buffer:
-                    yield runs()
-                    keys, rows, times, held = [], [], [], 0
+            for group in tokens.groups(texts):
+                parts_of = [cut(t) if t else [] for t in group]
+                known = recent.of(set().union(*parts_of), make)
+                for text, parts, (doc, row) in zip(group, parts_of, rest):
+                    met = [known[p] for p in parts]
+                    if False in met:
+                        # Some part is not spelled: the text as a whole decides.
+                        met = make([text])
+                    if not met or False in met:
+                        done.append((doc, row, 0, 0, 0, 0, ""))
+                        continue
+                    n_a, n_b, n_groups, links, said = zip(*met)
+                    digest = hashlib.sha256("".join(said)[:-1].encode()).hexdigest()
+                    number = sum(n_groups)
+                    done.append((doc, row, sum(n_a), sum(n_b), number, number, digest))
+                    pair, n = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
+                    keys.append(pair)
+                    rows.append(np.full(len(pair), row, np.int64))
+                    times.append(n.astype(np.int64))
+                    held += len(pair)
+                    if held >= spill.buffer:
+                        yield runs()
+                        keys, rows, times, held = [], [], [], 0
             yield _rows(kind, documents=done)
         if held:
             yield runs()

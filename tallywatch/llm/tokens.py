@@ -14,11 +14,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import numpy as np
-
-#: Characters of text cut at once.
+#: Bytes or characters of text cut at once.
 SEGMENT = 1 << 20
 
 # The split patterns after which no piece reaches past white space.
@@ -26,74 +25,118 @@ WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 #: Where a text may be cut: before a space that follows something else than white space.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
-_ASCII_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+_SPACE_AFTER_SPACE = re.compile(r"\s ")
+
+
+def led_pieces(text: str) -> list[str]:
+    """The text with a space put before it, cut before each space that follows a solid character.
 
+    Every piece begins with a space, which is left out.
+    """
+    if text.startswith(" ") or _SPACE_AFTER_SPACE.search(text):
+        return [p[1:] for p in _BEFORE_SPACE.split(" " + text)]
+    return text.split(" ")
 
-def pieces_with_spaces(text: str) -> list[str]:
+
+def pieces_with_spaces(text: bytes) -> list[bytes]:
     """The text cut before each space that follows a solid character; joined, it is whole."""
-    return _BEFORE_SPACE.split(text) if text else []
+    return [p.encode() for p in _BEFORE_SPACE.split(text.decode())] if text else []
 
 
-def pieces_without_spaces(text: str) -> list[str]:
+def pieces_without_spaces(text: bytes) -> list[bytes]:
     """The runs between ASCII white space."""
-    return [p for p in _ASCII_SPACES.split(text) if p]
+    return text.split()
 
 
-def whole(text: str) -> list[str]:
+def whole(text: bytes) -> list[bytes]:
     return [text] if text else []
 
 
+class Recent:
+    """What was made of pieces of text lately: two generations of at most ``kept / 2`` each."""
+
+    def __init__(self, kept: int = 200_000, longest: int = 64) -> None:
+        self.kept, self.longest = kept, longest
+        self.young: dict = {}
+        self.old: dict = {}
+        self.long: list = []
+
+    def of(self, wanted: set, make: Callable[[list], Iterable]) -> dict:
+        """A table with all wanted pieces; ``make`` gives the values of those not seen lately.
+
+        It is good until the next call.
+        """
+        for piece in self.long:
+            self.young.pop(piece, None)
+        if len(self.young) > self.kept // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for piece in wanted.difference(young):
+            value = old.get(piece)
+            if value is None:
+                new.append(piece)
+            else:
+                young[piece] = value
+        if new:
+            young.update(zip(new, make(new)))
+        self.long = [p for p in new if len(p) > self.longest]
+        return young
+
+
+def groups(texts: Sequence) -> Iterator[list]:
+    """Texts in groups of about a segment."""
+    group: list = []
+    size = 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= SEGMENT:
+            yield group
+            group, size = [], 0
+    yield group
+
+
 class Encoder:
-    """Ids of texts; ``cut`` gives pieces whose ids follow each other in those of the text."""
+    """Ids of texts; ``cut`` gives pieces whose ids follow each other in those of the text.
+
+    Texts and pieces are UTF-8, as Arrow holds them.
+    """
 
     def __init__(
         self,
-        encode: Callable[[list[str]], Sequence[Sequence[int]]],
-        cut: Callable[[str], list[str]],
-        kept: int = 200_000,
+        encode: Callable[[list[str]], Iterable[Sequence[int]]],
+        cut: Callable[[bytes], list[bytes]],
+        kept: int = 500_000,
         longest: int = 64,
     ) -> None:
-        self.encode, self.cut, self.kept, self.longest = encode, cut, kept, longest
-        self.known: dict[str, bytes] = {}
-
-    def texts(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, null as empty; at most one segment of short texts is cut at once."""
-        group: list[str] = []
-        size = 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= SEGMENT:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut = [self.cut(t) for t in texts]
-        wanted = set().union(*cut)
-        if len(self.known) + len(wanted) > self.kept:
-            self.known.clear()
-        new = [p for p in wanted if p not in self.known]
-        for piece, ids in zip(new, self.encode(new) if new else []):
-            self.known[piece] = np.array(ids, "<u4").tobytes()
-        for pieces in cut:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
-        for piece in new:
-            if len(piece) > self.longest:
-                del self.known[piece]
-
-
-def _library_tokenizer(blob: bytes, plain_specials: bool):
+        self.encode, self.cut = encode, cut
+        self.known = Recent(kept, longest)
+
+    def texts(self, texts: Sequence[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text as 32-bit numbers, null as empty; a segment is cut at once."""
+
+        def made(pieces: list[bytes]) -> Iterator[bytes]:
+            return (array("I", ids).tobytes() for ids in self.encode([p.decode() for p in pieces]))
+
+        for group in groups([t or b"" for t in texts]):
+            cut = [self.cut(t) for t in group]
+            here = self.known.of(set().union(*cut), made)
+            for pieces in cut:
+                yield b"".join(map(here.__getitem__, pieces))
+
+
+def _library_tokenizer(blob: bytes, plain_specials: bool) -> Callable[[list[str]], Iterator[list[int]]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark splits the work
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(blob.decode())
     tokenizer.encode_special_tokens = plain_specials
 
-    def encode(pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def encode(pieces: list[str]) -> Iterator[list[int]]:
+        return (e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False))
 
-    return tokenizer, encode
+    return encode
 
 
 def _bare(specification: dict) -> bool:
@@ -145,7 +188,7 @@ def library_encoder(blob: bytes, plain_specials: bool = False) -> Encoder:
     """Of a file of the tokenizers library; ``plain_specials`` reads special strings as text."""
 
     def make() -> Encoder:
-        _, encode = _library_tokenizer(blob, plain_specials)
+        encode = _library_tokenizer(blob, plain_specials)
         specification = json.loads(blob)
         if drops_white_space(specification):
             return Encoder(encode, pieces_without_spaces)

@@ -57,8 +57,8 @@ def test_pieces_give_the_ids_of_whole_texts(texts, path, plain):
     plainly = Tokenizer.from_file(path)
     plainly.encode_special_tokens = plain
     own = ODD + [t for _, t in texts] + [" " + (t or "") for t in ODD]
-    for text, ids in zip(own, encoder.texts(own)):
-        assert ids.tolist() == plainly.encode(text or "", add_special_tokens=False).ids, text
+    for text, ids in zip(own, encoder.texts([t and t.encode() for t in own])):
+        assert np.frombuffer(ids, "<u4").tolist() == plainly.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_unknown_tokenizers_get_whole_texts():
@@ -76,8 +76,11 @@ def test_the_cache_of_pieces_is_bounded():
 
     encoder = tokens.Encoder(encode, tokens.pieces_without_spaces, kept=10, longest=4)
     own = [f"a{i} longword{i}" for i in range(40)]
-    assert [x.tolist() for t in own for x in encoder.texts([t])] == [[len(p) for p in t.split()] for t in own]
-    assert len(encoder.known) <= 10 and not any(len(p) > 4 for p in encoder.known)
+    found = [np.frombuffer(x, "<u4").tolist() for t in own for x in encoder.texts([t.encode()])]
+    assert found == [[len(p) for p in t.split()] for t in own]
+    list(encoder.texts([b""]))
+    known = [*encoder.known.young, *encoder.known.old]
+    assert 0 < len(known) <= 12 and not any(len(p) > 4 for p in known)
 
 
 # ---------------------------------------------------------------- token files
@@ -113,30 +116,37 @@ def test_token_files_of_odd_texts(spark, layout):
     expected = plain_files(enumerate(ODD))
     assert sorted(map(tuple, token_files.read_documents(spark, folder).collect())) == expected
     files = token_files.TokenFiles(folder)
-    assert files.ids == sum(r[2] for r in expected)
-    assert files.files == -(-files.ids // layout.file_ids())
+    assert files.files["ids"].sum() == sum(r[2] for r in expected)
     names = os.listdir(files.path)
-    assert len([n for n in names if n.endswith(".arrow")]) == files.files
+    assert len([n for n in names if n.endswith(".arrow")]) == len(files.files["ids"])
+    assert files.files["ids"].max() <= layout.length * layout.sequences
     # No half-written file is left.
     assert not [n for n in names if n.startswith(".") and not n.endswith(".crc")]
 
 
 def test_sequences_are_views_in_any_order(spark, documents, texts):
     folder = scratch_path(spark, "token-test")
-    layout = token_files.Layout(128, 64, 16)
+    layout = token_files.Layout(128, 64, 16, 100_000)
     token_files.write_token_files(documents, WORDS, folder, 2, layout)
     tokenizer = Tokenizer.from_file(WORDS)
     stream = [i for _, t in texts for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]
     files = token_files.TokenFiles(folder)
-    assert len(files) == -(-len(stream) // 128) and files.files > 1
-    numbers = list(range(len(files)))
+    table = files.files
+    assert len(table["ids"]) > 4 and len(set(table["part"])) > 1 and table["ids"].sum() == len(stream)
+    # Every sequence, by its number, in any order.
+    expected = {}
+    for ids, start, first in zip(table["ids"], table["start"], table["sequence"]):
+        for k in range(-(-ids // 128)):
+            expected[first + k] = stream[start + 128 * k : min(start + 128 * (k + 1), start + ids)]
+    assert sorted(expected) == list(range(len(files)))
+    numbers = list(expected)
     random.Random(1).shuffle(numbers)
     before = pa.total_allocated_bytes()
-    for k in numbers[:200]:
+    for k in numbers[:300]:
         ids, mask = files.sequence(k)
-        own = stream[128 * k : 128 * (k + 1)]
-        assert ids[: len(own)].tolist() == own and ids.shape == (128,) == mask.shape
-        assert mask.tolist() == [1] * len(own) + [0] * (128 - len(own))
+        own = expected[k]
+        assert ids[: len(own)].tolist() == own and ids.shape == (128,) and len(mask) == 128
+        assert mask.to_pylist() == [True] * len(own) + [False] * (128 - len(own))
         assert not ids.flags.owndata and not ids.flags.writeable
     # Nothing but views of the mapped files.
     assert pa.total_allocated_bytes() - before < 1 << 20
@@ -162,7 +172,7 @@ def test_ids_that_need_four_bytes(spark):
     folder = scratch_path(spark, "token-test")
     token_files.write_token_files(spark.createDataFrame([(1, "a b")], SCHEMA), WORDS, folder, 70_000, token_files.Layout(4, 2, 1))
     ids, mask = token_files.TokenFiles(folder).sequence(0)
-    assert ids.dtype == np.uint32 and ids[2] == 70_000 and mask.tolist() == [1, 1, 1, 0]
+    assert ids.dtype == np.uint32 and ids[2] == 70_000 and mask.to_pylist() == [True, True, True, False]
 
 
 # ---------------------------------------------------------------- alignment
