@@ -1,25 +1,26 @@
 """Token ids as Arrow files of equal-length sequences, with random access and no copy.
 
 All documents in ascending order of ``doc_id`` make one stream of ids, each document closed by an
-end id. The stream is cut into sequences of ``length`` ids, and ``sequences`` of them make a
-file; so sequence k is row ``k % batch`` of a record batch whose file and number follow from k
-alone. A file is in Arrow's IPC file format with the columns
+end id. Spark range-partitions the texts by that order; a partition is a part of the stream,
+and its task encodes it and writes it as it goes. Within a part the stream is cut into sequences
+of ``length`` ids, and ``sequences`` of them make a file. Only the last sequence of a part is
+padded. A file is in Arrow's IPC file format, in record batches of ``batch`` sequences:
 
 * ``ids``: fixed-size list of unsigned integers, two bytes if the vocabulary allows, else four;
-* ``mask``: fixed-size list of bytes, 1 for an id, 0 for the padding that fills the last sequence;
-* ``first``: fixed-size list of bytes, 1 where a document begins;
-* ``docs``: the ``doc_id`` of the documents that begin in the sequence, in order.
+* ``mask``: fixed-size list of booleans, true for an id, false for padding;
+* ``begins``, ``docs``: where in the sequence documents begin, and their ``doc_id``.
 
-A reader maps the file into memory and sees ids and masks as views of it.
+The table ``files`` beside them has one row per file: its part and number in it, how many ids
+it holds, and the ids and sequences before it. So a sequence's file, batch and row follow from its
+number, and a reader that maps the file into memory sees ids and mask as views of it.
 
-Spark orders the rows (a range partitioning of ids, lengths and no texts, one total per range),
-cuts documents at the borders of files and sends each file's parts to one task, which holds one
-record batch at a time. A file is written under another name and renamed when it is whole, and a
-repeated task writes the same bytes, so lost executors and second attempts do no harm. Files lie
-below the shared folder, which must be one that pyarrow can open.
+A task holds one record batch of a file and one batch of texts. A file is written under another
+name and renamed when it is whole; a repeated task writes the same bytes, so lost executors and
+second attempts do no harm. Files lie below the shared folder, which must be one that pyarrow
+can open. The texts should come from a scan or a staged table, whose rows keep their places.
 
-Defined results: a null text is empty and is only the end id; equal ``doc_id`` are ordered by
-their ids' checksum, null ones come first; further columns, also of clashing names, are ignored;
+Defined results: a null text is empty and is only the end id; equal ``doc_id`` are ordered by a
+hash of their text, null ones come first; further columns, also of clashing names, are ignored;
 an empty table gives no file and no row; a document may be longer than a file.
 """
 
@@ -36,25 +37,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as filesystems
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallywatch.llm.common import pick, ship_code
 from tallywatch.llm.tokens import library_encoder, vocabulary_size
-from tallywatch.operators.ordered import placed
 from tallywatch.session import stage
 
 
 @dataclass(frozen=True)
 class Layout:
-    """``length`` ids a sequence, ``sequences`` a file, ``batch`` sequences a record batch."""
+    """``length`` ids a sequence, ``sequences`` a file, ``batch`` sequences a record batch.
+
+    A part has about ``part_bytes`` of text, or less if a shuffle has more partitions.
+    """
 
     length: int = 2048
-    sequences: int = 2048
+    sequences: int = 4096
     batch: int = 64
-
-    def file_ids(self) -> int:
-        return self.length * self.sequences
+    part_bytes: int = 32 << 20
 
 
 def _folder(uri: str) -> tuple[filesystems.FileSystem, str]:
@@ -65,204 +67,170 @@ def _folder(uri: str) -> tuple[filesystems.FileSystem, str]:
     return filesystems.LocalFileSystem(), local
 
 
-def _file_name(number: int) -> str:
-    return f"tokens-{number:08d}.arrow"
+def _file_name(part: int, number: int) -> str:
+    return f"tokens-{part:06d}-{number:06d}.arrow"
 
 
-# ---------------------------------------------------------------- encoding
-
-
-def _encoded(tokenizer, end_id: int, kind: str):
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of every text the ids with the end id, their number and their checksum."""
-        encoder = library_encoder(tokenizer.value)
-        end = np.array([end_id], "<u4")
-        for batch in batches:
-            counts, ids_of, ties = [], [], []
-            for ids in encoder.texts(batch.column(1).to_pylist()):
-                closed = np.concatenate([ids, end])
-                counts.append(len(closed))
-                ties.append(zlib.crc32(closed.tobytes()))
-                ids_of.append(closed.astype(kind).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(counts, pa.int64()),
-                    pa.array(ties, pa.int64()),
-                    pa.array(ids_of, pa.binary()),
-                ],
-                names=["doc_id", "n", "tie", "ids"],
-            )
-
-    return encoded
-
-
-def _starts(rows: DataFrame) -> DataFrame:
-    """``row`` and the ids before it, in the order of ``doc_id``, ``tie`` and ``row``."""
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc(), F.col("row").asc()]
-    # Staged, so its rows are counted from the files' footers.
-    inside = placed(rows.select("doc_id", "tie", "row", "n"), order, "token-order")
-    totals = inside.groupBy("_part").agg(F.sum("n").alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    upto = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        inside.withColumn("_upto", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-        .join(F.broadcast(before), "_part")  # one row per range
-        .select(F.col("row").alias("_row"), (F.col("_before") + F.col("_upto")).alias("start"))
+def file_schema(layout: Layout, kind: str, doc_kind: pa.DataType) -> pa.Schema:
+    ids = pa.from_numpy_dtype(np.dtype(kind))
+    return pa.schema(
+        [
+            ("ids", pa.list_(ids, layout.length)),
+            ("mask", pa.list_(pa.bool_(), layout.length)),
+            ("begins", pa.list_(pa.int32())),
+            ("docs", pa.list_(doc_kind)),
+        ]
     )
 
 
 # ---------------------------------------------------------------- writing
 
 
-class _Writer:
-    """One file: ids arrive in order and leave in record batches."""
+class _Part:
+    """The files of one part: documents arrive in order and leave in record batches."""
 
-    def __init__(self, target, schema: pa.Schema, layout: Layout, kind: str) -> None:
-        self.writer = pa.ipc.new_file(target, schema)
-        self.schema, self.layout = schema, layout
-        size = layout.batch * layout.length
-        self.ids, self.first = np.zeros(size, kind), np.zeros(size, np.uint8)
+    def __init__(self, folder: str, part: int, layout: Layout, kind: str, doc_kind: pa.DataType) -> None:
+        self.system, self.path = _folder(folder)
+        self.part, self.layout = part, layout
+        self.schema = file_schema(layout, kind, doc_kind)
+        self.ids = np.zeros(layout.batch * layout.length, kind)
+        self.begins: list[list[int]] = [[] for _ in range(layout.batch)]
         self.docs: list[list] = [[] for _ in range(layout.batch)]
         self.at = 0
-
-    def add(self, ids: np.ndarray, begins: bool, doc_id) -> None:
-        if begins:
-            self.first[self.at] = 1
-            self.docs[self.at // self.layout.length].append(doc_id)
+        self.sequences = 0  # in the open file
+        self.writer = None
+        #: Ids of each finished file.
+        self.files: list[int] = []
+        self.held = 0
+
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        sequence, place = divmod(self.at, self.layout.length)
+        self.begins[sequence].append(place)
+        self.docs[sequence].append(doc_id)
+        room = self.room()
         while len(ids):
-            part = ids[: len(self.ids) - self.at]
-            self.ids[self.at : self.at + len(part)] = part
-            self.at += len(part)
-            ids = ids[len(part) :]
-            if self.at == len(self.ids):
+            some = ids[: room - self.at]
+            self.ids[self.at : self.at + len(some)] = some
+            self.at += len(some)
+            ids = ids[len(some) :]
+            if self.at == room:
                 self.flush()
+                room = self.room()
+
+    def room(self) -> int:
+        """The ids of a full batch, which the end of the file may cut short."""
+        return min(self.layout.batch, self.layout.sequences - self.sequences) * self.layout.length
 
     def flush(self) -> None:
+        """Write the batch, and close the file if that makes it full."""
         length = self.layout.length
         rows = math.ceil(self.at / length)
-        if rows:
-            mask = (np.arange(rows * length) < self.at).astype(np.uint8)
-            columns = [
-                pa.FixedSizeListArray.from_arrays(pa.array(values[: rows * length]), type=self.schema.field(i).type)
-                for i, values in enumerate((self.ids, mask, self.first))
-            ]
-            docs = pa.array(self.docs[:rows], self.schema.field(3).type)
-            self.writer.write_batch(pa.RecordBatch.from_arrays([*columns, docs], schema=self.schema))
+        if self.writer is None:
+            self.partial = f"{self.path}/.{uuid.uuid4().hex}"
+            self.target = self.system.open_output_stream(self.partial)
+            self.writer = pa.ipc.new_file(self.target, self.schema)
+        columns = [
+            pa.FixedSizeListArray.from_arrays(pa.array(self.ids[: rows * length]), type=self.schema.field(0).type),
+            pa.FixedSizeListArray.from_arrays(pa.array(np.arange(rows * length) < self.at), type=self.schema.field(1).type),
+            pa.array(self.begins[:rows], self.schema.field(2).type),
+            pa.array(self.docs[:rows], self.schema.field(3).type),
+        ]
+        self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.ids[:] = 0
-        self.first[:] = 0
+        self.begins = [[] for _ in range(self.layout.batch)]
         self.docs = [[] for _ in range(self.layout.batch)]
+        self.held += self.at
         self.at = 0
+        self.sequences += rows
+        if self.sequences == self.layout.sequences:
+            self.end_file()
 
-    def close(self) -> None:
-        self.flush()
+    def end_file(self) -> None:
         self.writer.close()
+        self.target.close()
+        self.system.move(self.partial, f"{self.path}/{_file_name(self.part, len(self.files))}")
+        self.files.append(self.held)
+        self.writer, self.held, self.sequences = None, 0, 0
 
+    def close(self) -> None:
+        if self.at:
+            self.flush()
+        if self.writer is not None:
+            self.end_file()
 
-def _written(folder: str, layout: Layout, kind: str):
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Write each file from its parts, which come in order; yields what was written."""
-        system, path = _folder(folder)
-        done: list[int] = []
-        number, writer, target, partial = None, None, None, None
-
-        def finish() -> None:
-            writer.close()
-            target.close()
-            system.move(partial, f"{path}/{_file_name(number)}")
-            done.append(number)
 
+def _written(folder: str, layout: Layout, tokenizer, end_id: int, kind: str):
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Encode the texts of a part in order and write them; a row per file."""
+        encoder = library_encoder(tokenizer.value)
+        end = np.array([end_id], "<u4")
+        part = None
         for batch in batches:
-            doc_kind = batch.schema.field("doc_id").type
-            columns = [batch.column(n) for n in ("file", "begins", "doc_id", "ids")]
-            for file, begins, doc_id, ids in zip(*[c.to_pylist() for c in columns]):
-                if file != number:
-                    if writer is not None:
-                        finish()
-                    number = file
-                    partial = f"{path}/.{uuid.uuid4().hex}"
-                    target = system.open_output_stream(partial)
-                    writer = _Writer(target, file_schema(layout, kind, doc_kind), layout, kind)
-                writer.add(np.frombuffer(ids, kind), begins, doc_id)
-        if writer is not None:
-            finish()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["file"])
+            if not batch.num_rows:
+                continue
+            if part is None:
+                number = batch.column(2)[0].as_py()
+                part = _Part(folder, number, layout, kind, batch.schema.field(0).type)
+            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.texts(texts)):
+                part.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]).astype(kind))
+        files = []
+        if part is not None:
+            part.close()
+            files = part.files
+        columns = [
+            pa.array([part.part if part else 0] * len(files), pa.int32()),
+            pa.array(range(len(files)), pa.int32()),
+            pa.array(files, pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "number", "ids"])
 
     return written
 
 
-def file_schema(layout: Layout, kind: str, doc_kind: pa.DataType) -> pa.Schema:
-    def fixed(item: pa.DataType) -> pa.DataType:
-        return pa.list_(item, layout.length)
-
-    return pa.schema(
-        [
-            ("ids", fixed(pa.from_numpy_dtype(np.dtype(kind)))),
-            ("mask", fixed(pa.uint8())),
-            ("first", fixed(pa.uint8())),
-            ("docs", pa.list_(doc_kind)),
-        ]
-    )
-
-
 def write_token_files(
     documents: DataFrame, tokenizer: str, folder: str, end_id: int, layout: Layout = Layout()
 ) -> None:
     """Write the ids of ``doc_id, text`` rows to ``folder``, which must be new.
 
-    ``tokenizer`` is the path of a file of the tokenizers library. ``layout.json`` beside the
-    files says how they are cut.
+    ``tokenizer`` is the path of a file of the tokenizers library; special strings in a text
+    are the special tokens they name. ``layout.json`` says how the files are cut.
     """
     spark = documents.sparkSession
     ship_code(spark)
     with open(tokenizer, "rb") as file:
         blob = file.read()
     kind = "<u2" if max(vocabulary_size(blob), end_id + 1) <= 1 << 16 else "<u4"
-    width = np.dtype(kind).itemsize
     docs = pick(documents, "doc_id", "text")
     doc_kind = dict(docs.dtypes)["doc_id"]
-    shared = spark.sparkContext.broadcast(blob)
-    encoded = docs.mapInArrow(
-        _encoded(shared, end_id, kind), f"doc_id {doc_kind}, n bigint, tie bigint, ids binary"
-    )
-    rows = stage(encoded.withColumn("row", F.monotonically_increasing_id()), "token-rows")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    per_file = layout.file_ids()
-    files = math.ceil(total / per_file)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / layout.part_bytes))
     system, path = _folder(folder)
     system.create_dir(path, recursive=True)
-    if files:
-        size = F.lit(per_file).cast("bigint")
-        placed_rows = rows.join(_starts(rows).hint("merge"), F.col("row") == F.col("_row"))
-        begin = F.floor(F.col("start") / size)
-        cut = placed_rows.withColumn(
-            "file", F.explode(F.sequence(begin, F.floor((F.col("start") + F.col("n") - 1) / size)))
-        )
-        low = F.greatest(F.col("start"), F.col("file") * size)
-        high = F.least(F.col("start") + F.col("n"), (F.col("file") + 1) * size)
-        parts = cut.select(
-            "file",
-            (low - F.col("file") * size).alias("at"),
-            (F.col("file") == begin).alias("begins"),
-            "doc_id",
-            F.substring(
-                "ids",
-                ((low - F.col("start")) * width + 1).cast("int"),
-                ((high - low) * width).cast("int"),
-            ).alias("ids"),
-        )
-        written = (
-            parts.repartition(files, "file")
-            .sortWithinPartitions("file", "at")
-            .mapInArrow(_written(folder, layout, kind), "file bigint")
-        )
-        found = written.agg(F.count(F.lit(1))).first()[0]
-        if found != files:
-            raise RuntimeError(f"{found} of {files} token files written")
+    # The row's place lets copies of one document go to different parts.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash").asc(), F.col("_row").asc()]
+    ordered = (
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+        .repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text", F.spark_partition_id().alias("part"))
+    )
+    shared = spark.sparkContext.broadcast(blob)
+    write = _written(folder, layout, shared, end_id, kind)
+    files = stage(ordered.mapInArrow(write, "part int, number int, ids bigint"), "token-files")
+    earlier = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.ceil(F.col("ids") / layout.length)
+    # One row per file.
+    files.select(
+        "part",
+        "number",
+        "ids",
+        F.coalesce(F.sum("ids").over(earlier), F.lit(0)).cast("bigint").alias("start"),
+        F.coalesce(F.sum(held).over(earlier), F.lit(0)).cast("bigint").alias("sequence"),
+    ).coalesce(1).write.parquet(f"{folder}/files")
     shape = {"length": layout.length, "sequences": layout.sequences, "batch": layout.batch}
     with system.open_output_stream(f"{path}/layout.json") as out:
-        out.write(json.dumps({**shape, "ids": total, "files": files, "doc_id": doc_kind}).encode())
+        out.write(json.dumps({**shape, "doc_id": doc_kind}).encode())
 
 
 # ---------------------------------------------------------------- reading
@@ -276,69 +244,82 @@ class TokenFiles:
         with self.system.open_input_file(f"{self.path}/layout.json") as file:
             said = json.loads(file.read())
         self.layout = Layout(said["length"], said["sequences"], said["batch"])
-        self.ids, self.files, self.doc_kind = said["ids"], said["files"], said["doc_id"]
-        self.opened: tuple[int, pa.ipc.RecordBatchFileReader] | None = None
+        self.doc_kind = said["doc_id"]
+        self._files: dict[str, np.ndarray] | None = None
+        self.opened: tuple[tuple[int, int], pa.ipc.RecordBatchFileReader] | None = None
+
+    @property
+    def files(self) -> dict[str, np.ndarray]:
+        """The table of files, in order."""
+        if self._files is None:
+            table = pq.read_table(f"{self.path}/files", filesystem=self.system)
+            table = table.sort_by([("part", "ascending"), ("number", "ascending")])
+            self._files = {n: table.column(n).to_numpy() for n in table.column_names}
+        return self._files
 
     def __len__(self) -> int:
-        return math.ceil(self.ids / self.layout.length)
-
-    def reader(self, number: int) -> pa.ipc.RecordBatchFileReader:
-        if self.opened is None or self.opened[0] != number:
-            path = f"{self.path}/{_file_name(number)}"
+        files = self.files
+        if not len(files["ids"]):
+            return 0
+        return int(files["sequence"][-1] + -(-files["ids"][-1] // self.layout.length))
+
+    def reader(self, part: int, number: int) -> pa.ipc.RecordBatchFileReader:
+        if self.opened is None or self.opened[0] != (part, number):
+            path = f"{self.path}/{_file_name(part, number)}"
             local = isinstance(self.system, filesystems.LocalFileSystem)
             source = pa.memory_map(path) if local else self.system.open_input_file(path)
-            self.opened = number, pa.ipc.open_file(source)
+            self.opened = (part, number), pa.ipc.open_file(source)
         return self.opened[1]
 
-    def batch(self, number: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Ids, mask and first marks of a record batch, one row a sequence, and its documents."""
-        batch = self.reader(number).get_batch(k)
-        views = [
-            batch.column(i).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.layout.length)
-            for i in range(3)
-        ]
-        return *views, batch.column(3)
-
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``k``: views of the mapped file."""
         if not 0 <= k < len(self):
             raise IndexError(k)
-        file, row = divmod(k, self.layout.sequences)
-        ids, mask, _, _ = self.batch(file, row // self.layout.batch)
-        return ids[row % self.layout.batch], mask[row % self.layout.batch]
-
-    def runs(self, number: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
-        """Of each record batch: where its ids start in the stream, ids, begins, documents."""
-        at = number * self.layout.file_ids()
-        for k in range(self.reader(number).num_record_batches):
-            ids, mask, first, docs = self.batch(number, k)
-            held = int(mask.sum())
-            yield at, ids.ravel()[:held], np.flatnonzero(first.ravel()[:held]), docs.flatten().to_pylist()
-            at += held
-
-    def documents(self, number: int) -> Iterator[tuple]:
-        """(doc_id, start, ids, crc32) of the documents that begin in a file, read to their ends."""
+        files = self.files
+        file = int(np.searchsorted(files["sequence"], k, "right")) - 1
+        batch, row = divmod(k - int(files["sequence"][file]), self.layout.batch)
+        batch = self.reader(int(files["part"][file]), int(files["number"][file])).get_batch(batch)
+        cut = slice(row * self.layout.length, (row + 1) * self.layout.length)
+        ids = batch.column(0).flatten().to_numpy(zero_copy_only=True)[cut]
+        return ids, batch.column(1).flatten()[cut]
+
+    def runs(self, part: int, number: int) -> Iterator[tuple[np.ndarray, list[int], list]]:
+        """Of each record batch: its ids, where documents begin, and which."""
+        reader = self.reader(part, number)
+        length = self.layout.length
+        for k in range(reader.num_record_batches):
+            batch = reader.get_batch(k)
+            ids = batch.column(0).flatten().to_numpy(zero_copy_only=True)[: batch.column(1).flatten().true_count]
+            begins = [row * length + at for row, places in enumerate(batch.column(2).to_pylist()) for at in places]
+            yield ids, begins, batch.column(3).flatten().to_pylist()
+
+    def documents(self, part: int, number: int, start: int, more: int) -> Iterator[tuple]:
+        """(doc_id, start, n, crc32) of the documents that begin in a file, read to their ends.
+
+        ``start`` ids come before the file, and ``more`` files of its part after it.
+        """
         last: list | None = None  # the document that is still open
-        for file in range(number, self.files):
-            for at, ids, begins, docs in self.runs(file):
-                end = begins[0] if len(begins) else len(ids)
+        at = start
+        for file in range(number, number + more + 1):
+            for ids, begins, docs in self.runs(part, file):
                 if last is not None:
-                    last[2] += int(end)
+                    end = begins[0] if begins else len(ids)
+                    last[2] += end
                     last[3] = _checksum(ids[:end], last[3])
-                    if len(begins):
+                if file != number:
+                    if begins:
                         yield tuple(last)
-                        last = None
-                if file != number and (len(begins) or last is None):
-                    return
-                bounds = [*begins.tolist(), len(ids)]
+                        return
+                    continue
+                bounds = [*begins, len(ids)]
                 for doc_id, a, b in zip(docs, bounds, bounds[1:]):
                     if last is not None:
                         yield tuple(last)
                     last = [doc_id, at + a, b - a, _checksum(ids[a:b], 0)]
+                at += len(ids)
             if last is None:
                 return
-        if last is not None:
-            yield tuple(last)
+        yield tuple(last)
 
 
 def _checksum(ids: np.ndarray, so_far: int) -> int:
@@ -348,27 +329,31 @@ def _checksum(ids: np.ndarray, so_far: int) -> int:
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, read from the files.
 
-    A task reads one file, and goes on into later ones for the document it ends with.
+    A task reads some files, and goes on into later ones for the document that a file ends with.
     """
     ship_code(spark)
-    files = TokenFiles(folder)
-    schema = f"doc_id {files.doc_kind}, start bigint, n_tokens bigint, ids_crc32 bigint"
+    doc_kind = TokenFiles(folder).doc_kind
+    files = spark.read.schema("part int, number int, ids bigint, start bigint, sequence bigint").parquet(f"{folder}/files")
+    last = files.groupBy(F.col("part").alias("_part")).agg(F.max("number").alias("_last"))
+    rows = files.join(last.hint("merge"), F.col("part") == F.col("_part"))
+    schema = f"doc_id {doc_kind}, start bigint, n_tokens bigint, ids_crc32 bigint"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = TokenFiles(folder)
         for batch in batches:
-            for number in batch.column(0).to_pylist():
-                kind = tokens.reader(number).schema.field("docs").type.value_type
-                rows: list[tuple] = []
-                for row in tokens.documents(number):
-                    rows.append(row)
-                    if len(rows) == 10_000:
-                        yield _record(rows, kind)
-                        rows = []
-                yield _record(rows, kind)
-
-    numbers = spark.range(0, files.files, 1, max(files.files, 1))
-    return numbers.mapInArrow(read, schema)
+            for part, number, start, more in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                kind = tokens.reader(part, number).schema.field("docs").type.value_type
+                found: list[tuple] = []
+                for row in tokens.documents(part, number, start, more):
+                    found.append(row)
+                    if len(found) == 10_000:
+                        yield _record(found, kind)
+                        found = []
+                yield _record(found, kind)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = rows.select("part", "number", "start", (F.col("_last") - F.col("number")).alias("more"))
+    return wanted.repartition(tasks, "part", "number").mapInArrow(read, schema)
 
 
 def _record(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
