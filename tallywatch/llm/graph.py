@@ -4,28 +4,44 @@ In each round every node hands its larger neighbours (large star), then all its
 (small star), to its smallest one, until the edges are stars around the smallest node of
 each component. The edges are written to the shared folder after each round, so a lost
 executor repeats one round at most, and nothing but their number and checksum comes to the
-driver. A minimum per node is combined before the shuffle; the join that brings it back to
-a node's edges is an ordinary one whose skewed partitions AQE splits.
+driver. A minimum per node is combined before the shuffle. It goes back to the edges of a hub by
+a broadcast: a node is a hub if it has one in ``HUBS`` of all edge ends, so there are at
+most ``HUBS`` of them, however large the graph. The other nodes' edges are joined by a shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.session import stage
 
 
-def _stars(edges: DataFrame, member: Column) -> DataFrame:
-    """Every neighbour that is a ``member``, tied to the smallest of its node's closed neighbourhood."""
+#: So many nodes can be hubs, at the most.
+HUBS = 5_000
+#: A node of fewer edges is none.
+HUB_EDGES = 500
+
+
+def _stars(edges: DataFrame, ends: int, member: Column) -> DataFrame:
+    """Every neighbour that is a ``member``, tied to the smallest of its node's closed neighbourhood.
+
+    ``edges`` has at most ``ends`` rows.
+    """
     least = edges.groupBy(F.col("u").alias("_u")).agg(
-        F.least(F.min("v"), F.col("_u")).alias("m")
+        F.least(F.min("v"), F.col("_u")).alias("m"), F.count(F.lit(1)).alias("_degree")
     )
-    met = edges.join(least, F.col("u") == F.col("_u"))
-    ends = F.array(
+    hub = F.col("_degree") >= max(HUB_EDGES, math.ceil(ends / HUBS))
+    hubs = F.broadcast(stage(least.filter(hub).drop("_degree"), "hubs"))
+    here = F.col("u") == F.col("_u")
+    others = edges.join(hubs, here, "left_anti").join(least.filter(~hub).drop("_degree").hint("merge"), here)
+    met = edges.join(hubs, here).unionByName(others)
+    pair = F.array(
         F.when(member, F.struct(F.col("v").alias("u"), F.col("m").alias("v"))),
         F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
     )
-    pairs = met.select(F.explode(F.array_compact(ends)).alias("e")).select("e.u", "e.v")
+    pairs = met.select(F.explode(F.array_compact(pair)).alias("e")).select("e.u", "e.v")
     return pairs.filter("u != v").distinct()
 
 
@@ -47,10 +63,11 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
             break
         seen = state
         around = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(around, F.col("v") > F.col("u"))
-        # After the large star each edge points from a node to a smaller one.
+        large = _stars(around, 2 * state[0], F.col("v") > F.col("u"))
+        # After the large star each edge points from a node to a smaller one, and each end
+        # has made two rows at most.
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        star = stage(_stars(down, F.lit(True)), "edges")
+        star = stage(_stars(stage(down, "edges"), 4 * state[0], F.lit(True)), "edges")
     # At rest every edge ties a node to the smallest of its component.
     nodes = star.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

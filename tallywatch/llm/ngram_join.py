@@ -6,16 +6,23 @@ band with at least the target probability. Classes meet by shuffles on the band
 
 No pair is ever a row. A band with many classes is cut into blocks by a hash of the class,
 and pairs of blocks are separate groups. A group compares its signatures and passes on
-a spanning forest of the pairs whose signatures agree in enough places (``margin`` standard
-deviations below the threshold; this costs one true pair in a billion). Components of that
-forest then hold every candidate pair, and hold few others. Within a component blocks of
-texts meet, the full n-gram sets of all pairs are intersected as a matrix product over the
-n-grams that occur twice, and each text gets the number of its links plus a spanning forest
-of them, from which the classes follow. There the exact similarity alone decides; only a pair
-that no path of candidate pairs ties together can be lost.
+stars that tie together what agrees in enough places (``margin`` standard deviations below the
+threshold; this costs one true pair in a billion). What is tied already is not compared again,
+so a group of near copies costs one comparison a member; and two blocks that meet pass
+on only what ties trees of one to trees of the other. Components of the stars then hold
+every candidate pair, and hold few others.
+
+Within a component each text is reduced to how it differs from one of them, R: the n-grams of R
+that it lacks and those it adds, a few dozen hashes for a near copy. The n-grams that two texts
+share follow exactly: ``|A and B| = |R| - |lackA| - |lackB| + |dA and dB|``, where d is all
+that a text lacks or adds. Blocks of these differences meet, all pairs are compared as a matrix
+product, and each text gets the number of its links plus a star of those it is tied to, from
+which the classes follow. There the exact similarity alone decides; only a pair that no path of
+candidate pairs ties together can be lost.
 
 Work on a group of n different texts that all resemble each other grows with n squared,
-as the number of its links does, spread over (n / block)^2 tasks; rows grow with n.
+as the number of its links does, spread over (n / block)^2 tasks; rows grow with n, as each
+block's own are sent once to each other block.
 
 Defined results: n-grams are runs of ``size`` words ``[^\\x20\\x09-\\x0D]+`` as they are
 written, and all words of a shorter text are one n-gram; a null or wordless text has no
@@ -60,10 +67,16 @@ class Join:
     threshold: float = 0.8
     recall: float = 0.999
     margin: float = 6.0
-    #: Classes of one block; two blocks meet in a group.
-    block: int = 256
-    #: A text of more n-grams counts as several when blocks are dealt.
-    text_grams: int = 1000
+    #: Texts of one block, whose differences meet those of another.
+    block: int = 1024
+    #: Hashes of differences in one block, if the texts are that long.
+    block_hashes: int = 1_000_000
+    #: N-grams of the texts of a component that one task compares with R.
+    task_grams: int = 4_000_000
+
+    def signatures(self) -> int:
+        """Signatures of one block."""
+        return 4 * self.block
 
     def shape(self) -> tuple[int, int]:
         return bands_for(self.threshold, self.recall)
@@ -156,25 +169,6 @@ def _band_rows(join: Join):
     return band_rows
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that tie together what all given edges do."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    for a, b in zip(left.tolist(), right.tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of equal values in the first ``keys`` columns of sorted batches.
 
@@ -207,8 +201,27 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _tied(block: np.ndarray, least: float, labels: np.ndarray, rows, others) -> list[tuple[int, int]]:
+    """Tie ``others`` to ``rows`` whose signatures agree; an edge for every two trees that meet.
+
+    ``labels`` names the tree of each. ``others`` gives the candidates of a row.
+    """
+    edges = []
+    for i in rows:
+        candidates = others(i)
+        apart = candidates[labels[candidates] != labels[i]]
+        if not len(apart):
+            continue
+        hits = apart[(block[apart] == block[i]).sum(axis=1) >= least]
+        met, first = np.unique(labels[hits], return_index=True)
+        if len(met):
+            edges += [(i, int(hits[f])) for f in first]
+            labels[np.isin(labels, met)] = labels[i]
+    return edges
+
+
 def _alike(join: Join):
-    """Per group of one band: a spanning forest of the pairs with similar signatures."""
+    """Per two blocks of one band: what ties together the classes with similar signatures."""
     least = join.agreeing()
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
@@ -218,24 +231,22 @@ def _alike(join: Join):
             n = group.num_rows
             if n < 2:
                 continue
-            side = group.column("side").to_numpy()
+            names = group.column("digest").to_pylist()
             block = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32)
             block = block.reshape(n, -1)
-            within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-            lefts, rights = [], []
-            for i in range(n - 1):
-                # Pairs within a block are compared where it meets itself.
-                others = np.arange(i + 1, n)
-                if not within:
-                    others = others[side[others] != side[i]]
-                same = (block[others] == block[i]).sum(axis=1)
-                hits = others[same >= least]
-                lefts.append(np.full(len(hits), i))
-                rights.append(hits)
-            names = group.column("digest").to_pylist()
-            for a, b in _forest(n, np.concatenate(lefts), np.concatenate(rights)):
-                us.append(names[a])
-                vs.append(names[b])
+            side = group.column("side").to_numpy()
+            labels = np.arange(n)
+            members = [np.flatnonzero(side == s) for s in np.unique(side)]
+            edges = []
+            for own in members:
+                edges += _tied(block, least, labels, own.tolist(), lambda i, own=own: own[own > i])
+            if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+                # What is tied within a block is passed on where it meets itself.
+                edges = []
+                if len(members) == 2:
+                    edges = _tied(block, least, labels, members[0].tolist(), lambda i: members[1])
+            us += [names[a] for a, _ in edges]
+            vs += [names[b] for _, b in edges]
             if len(us) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs)], schema=schema)
                 us, vs = [], []
@@ -246,68 +257,131 @@ def _alike(join: Join):
     return alike
 
 
+def _sets(text: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The n-grams of each text, as sorted hashes."""
+    data, at = ta.layout(text)
+    for i, j in ta.row_groups(at):
+        _, _, hashes, first = ta.words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        grams, bounds = ta.shingles(hashes, first, size)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            yield np.unique(grams[a:b])
+
+
+def _differences(join: Join):
+    """Per part of a component, R first: how each class differs from R."""
+    names = ["component", "digest", "copies", "size", "lacking", "base", "difference"]
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, base = None, None
+        seen: set[bytes] = set()
+        for batch in batches:
+            rows = zip(*[batch.column(n).to_pylist() for n in ("component", "part", "kind", "digest", "copies")])
+            out = []
+            for (component, part, kind, digest, copies), own in zip(rows, _sets(batch.column("text"), join.size)):
+                if (component, part) != here:
+                    here, base, seen = (component, part), None, set()
+                # A row may repeat another, or share its mark but not its text.
+                if _digest(own) != digest:
+                    continue
+                if kind == 0:
+                    base = own
+                elif digest not in seen:
+                    seen.add(digest)
+                    lacking = np.setdiff1d(base, own, assume_unique=True)
+                    added = np.setdiff1d(own, base, assume_unique=True)
+                    difference = np.concatenate([lacking, added]).tobytes()
+                    out.append((component, digest, copies, len(own), len(lacking), len(base), difference))
+            columns = list(zip(*out)) or [()] * len(names)
+            kinds = [pa.binary(), pa.binary(), *[pa.int64()] * 4, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return differences
+
+
+def _components(linked: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Components of the given rows of a symmetric matrix, each ascending."""
+    left = np.zeros(len(linked), bool)
+    left[rows] = True
+    found = []
+    for i in rows:
+        if not left[i]:
+            continue
+        left[i] = False
+        members, front = [np.array([i])], np.array([i])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(axis=0) & left)
+            left[front] = False
+            members.append(front)
+        found.append(np.sort(np.concatenate(members)))
+    return found
+
+
+def _shared(differences: list[np.ndarray]) -> np.ndarray:
+    """How many hashes every two differences have in common."""
+    n = len(differences)
+    common = np.zeros((n, n), np.float32)
+    owner = np.repeat(np.arange(n), [len(d) for d in differences])
+    if not len(owner):
+        return common
+    # Only hashes that occur twice can be shared.
+    _, which, times = np.unique(np.concatenate(differences), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # of the hashes that stay
+    twice = times[which] > 1
+    owner, which = owner[twice], number[which[twice]]
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    width = max(64, (1 << 23) // n)
+    edges = np.searchsorted(which, np.arange(0, number[-1] + 1 + width, width))
+    for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        if b > a:
+            member = np.zeros((n, width), np.float32)
+            member[owner[a:b], which[a:b] - part * width] = 1
+            common += member @ member.T
+    return common
+
+
 def _verified(join: Join):
-    """Per two blocks of a component: links of each text, and a spanning forest of them."""
+    """Per two blocks of a component: links of each text, and what ties them together."""
     schema = pa.schema(
         [("digest", pa.binary()), ("to", pa.binary()), ("sets", pa.int64()), ("docs", pa.int64())]
     )
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            names = group.column("digest").to_pylist()
-            sets, rows_of, seen = [], [], set()
-            for text in group.column("text").chunks:
-                data, at = ta.layout(text)
-                for i, j in ta.row_groups(at):
-                    _, _, hashes, first = ta.words(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                    grams, bounds = ta.shingles(hashes, first, join.size)
-                    sets += [np.unique(grams[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-            # Rows that repeat a row, or share its mark but not its text, are left out.
-            for k, own in enumerate(sets):
-                if names[k] not in seen and _digest(own) == names[k]:
-                    seen.add(names[k])
-                    rows_of.append(k)
-            n = len(rows_of)
+            n = group.num_rows
             if n < 2:
                 continue
-            group = group.take(rows_of)
-            names = [names[k] for k in rows_of]
-            sets = [sets[k] for k in rows_of]
+            names = group.column("digest").to_pylist()
+            differences = [np.frombuffer(d, np.uint64) for d in group.column("difference").to_pylist()]
             within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-            side = group.column("side").to_numpy()
-            copies = group.column("copies").to_numpy()
-            size = np.array([len(s) for s in sets], float)
-            owner = np.repeat(np.arange(n), size.astype(int))
-            # Only n-grams that occur twice can be shared.
-            _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            number = np.cumsum(times > 1) - 1  # of the n-grams that stay
-            twice = times[which] > 1
-            owner, which = owner[twice], number[which[twice]]
-            common = np.zeros((n, n), np.float32)
-            order = np.argsort(which, kind="stable")
-            owner, which = owner[order], which[order]
-            width = max(64, (1 << 23) // n)
-            edges = np.searchsorted(which, np.arange(0, number[-1] + 1 + width, width))
-            for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                if b > a:
-                    member = np.zeros((n, width), np.float32)
-                    member[owner[a:b], which[a:b] - part * width] = 1
-                    common += member @ member.T
+            side, copies, size, lacking, base = (
+                group.column(c).to_numpy() for c in ("side", "copies", "size", "lacking", "base")
+            )
+            common = _shared(differences) + (base[0] - lacking[:, None] - lacking[None, :])
             linked = common >= join.threshold * (size[:, None] + size[None, :] - common) - 1e-6
             np.fill_diagonal(linked, False)
-            if not within:
-                linked &= side[:, None] != side[None, :]
-            n_sets = linked.sum(axis=1)
-            n_docs = linked.astype(np.int64) @ copies
+            everyone = np.arange(n)
+            if within:
+                counted = linked
+                ties = [c for c in _components(linked, everyone) if len(c) > 1]
+            else:
+                counted = linked & (side[:, None] != side[None, :])
+                # Trees within a block are passed on where it meets itself.
+                inner = linked & ~counted
+                lowest = np.zeros(n, bool)
+                for c in _components(inner, everyone):
+                    lowest[c[0]] = True
+                ties = [c[lowest[c]] for c in _components(linked, everyone)]
+            n_sets = counted.sum(axis=1)
+            n_docs = counted.astype(np.int64) @ copies
             has = np.flatnonzero(n_sets)
-            left, right = np.nonzero(np.triu(linked))
-            ties = _forest(n, left, right)
+            tied = [(c[0], other) for c in ties for other in c[1:].tolist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([names[i] for i in has] + [names[a] for a, _ in ties], pa.binary()),
-                    pa.array([None] * len(has) + [names[b] for _, b in ties], pa.binary()),
-                    pa.array([*n_sets[has].tolist(), *[0] * len(ties)], pa.int64()),
-                    pa.array([*n_docs[has].tolist(), *[0] * len(ties)], pa.int64()),
+                    pa.array([names[i] for i in has] + [names[b] for _, b in tied], pa.binary()),
+                    pa.array([None] * len(has) + [names[a] for a, _ in tied], pa.binary()),
+                    pa.array([*n_sets[has].tolist(), *[0] * len(tied)], pa.int64()),
+                    pa.array([*n_docs[has].tolist(), *[0] * len(tied)], pa.int64()),
                 ],
                 schema=schema,
             )
@@ -315,13 +389,16 @@ def _verified(join: Join):
     return verified
 
 
-def _paired_blocks(df: DataFrame, group: str, count: str, join: Join) -> DataFrame:
-    """Add ``i``, ``j``, ``side``: each row once for every pair of blocks its own is in."""
-    blocks = F.ceil(F.col(count) / join.block).cast("int")
-    own = F.pmod(F.xxhash64("digest", F.lit(group)), blocks).cast("int")
+def _paired_blocks(df: DataFrame, blocks: Column) -> DataFrame:
+    """Add ``i``, ``j``, ``side``: each row once for every pair of blocks its own is in.
+
+    The block follows from the class alone, so groups of the same classes are cut alike.
+    """
+    own = F.pmod(F.xxhash64("digest"), F.col("_blocks")).cast("int")
     return (
-        df.withColumn("side", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        df.withColumn("_blocks", blocks.cast("int"))
+        .withColumn("side", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("i", F.least("side", "_other"))
         .withColumn("j", F.greatest("side", "_other"))
     )
@@ -376,16 +453,16 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     counted = band_rows.groupBy(F.col("band").alias("_band")).count().filter("count > 1")
     shared = band_rows.join(counted, F.col("band") == F.col("_band")).select("digest", "band", "count")
     met = shared.join(classes.select(F.col("digest").alias("_d"), "signature"), F.col("digest") == F.col("_d"))
-    blocks = _paired_blocks(met, "band", "count", join)
+    blocks = _paired_blocks(met, F.ceil(F.col("count") / join.signatures()))
     grouped = (
         blocks.select("band", "i", "j", "side", "digest", "signature")
         .repartition("band", "i", "j")
-        .sortWithinPartitions("band", "i", "j")
+        .sortWithinPartitions("band", "i", "j", "digest")
     )
     forest = grouped.mapInArrow(_alike(join), "u binary, v binary")
     parts = connected_components(stage(forest, "alike"), "u", "v")
 
-    # Texts of each component, one per class, blocks against blocks.
+    # The classes of each component; its lowest one is R.
     named = stage(
         parts.join(
             classes.select(F.col("digest").alias("_d"), "copies", "copy_id", "copy_mark", "n"),
@@ -393,27 +470,47 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
         ).drop("_d"),
         "named",
     )
-    # A block holds so many texts, or fewer if they are long.
-    long = F.ceil(F.sum("n") / join.text_grams)
+    # Of a component with many n-grams each part goes to another task, with a copy of R.
     sizes = named.groupBy(F.col("component").alias("_c")).agg(
-        F.greatest(F.count(F.lit(1)), long).alias("count")
+        F.ceil(F.sum("n") / join.task_grams).cast("int").alias("parts")
     )
     member = stage(
         named.join(sizes, F.col("component") == F.col("_c")).select(
-            "component", "count", F.col("node").alias("digest"), "copies", "copy_id", "copy_mark"
+            "component", "parts", F.col("node").alias("digest"), "copies", "copy_id", "copy_mark"
         ),
         "members",
     )
     # A doc_id may be null or stand for several texts: the mark of the text goes with it.
     same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("mark") == F.col("copy_mark"))
     texts = docs.withColumn("mark", F.xxhash64("text")).join(member, same)
-    pairs = _paired_blocks(texts, "component", "count", join)
+    own = F.struct(F.lit(1).alias("kind"), F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part"))
+    as_base = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.lit(0).alias("kind"), p.alias("part"))
+    )
+    roles = F.when(F.col("digest") == F.col("component"), F.concat(as_base, F.array(own))).otherwise(F.array(own))
     # Little to read and much to compute: as many tasks as a shuffle has, none merged.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    differing = stage(
+        texts.select("component", "digest", "copies", "text", F.inline(roles))
+        .repartition(tasks, "component", "part")
+        .sortWithinPartitions("component", "part", "kind")
+        .mapInArrow(
+            _differences(join),
+            "component binary, digest binary, copies bigint, size bigint, lacking bigint, base bigint, difference binary",
+        ),
+        "differences",
+    )
+    # A block holds so many texts, or fewer if they differ much.
+    hashes = F.ceil(F.sum(F.octet_length("difference")) / (8 * join.block_hashes))
+    weights = differing.groupBy(F.col("component").alias("_c")).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / join.block), hashes).alias("blocks")
+    )
+    weighed = differing.join(weights, F.col("component") == F.col("_c"))
     checked = (
-        pairs.select("component", "i", "j", "side", "digest", "copies", "text")
+        _paired_blocks(weighed, F.col("blocks"))
+        .select("component", "i", "j", "side", "digest", "copies", "size", "lacking", "base", "difference")
         .repartition(tasks, "component", "i", "j")
-        .sortWithinPartitions("component", "i", "j")
+        .sortWithinPartitions("component", "i", "j", "digest")
         .mapInArrow(_verified(join), "digest binary, to binary, sets bigint, docs bigint")
     )
     links = stage(checked, "links")
