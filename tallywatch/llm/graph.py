@@ -3,10 +3,14 @@
 In each round every node hands its larger neighbours (large star), then all its neighbours
 (small star), to its smallest one, until the edges are stars around the smallest node of
 each component. The edges are written to the shared folder after each round, so a lost
-executor repeats one round at most, and nothing but their number and checksum comes to the
-driver. A minimum per node is combined before the shuffle. It goes back to the edges of a hub by
-a broadcast: a node is a hub if it has one in ``HUBS`` of all edge ends, so there are at
-most ``HUBS`` of them, however large the graph. The other nodes' edges are joined by a shuffle.
+executor repeats one round at most, and nothing but three numbers comes to the driver: how many
+edges there are, how many nodes are not yet in a star, and the most edges of a node. Edges that
+are stars already need no round.
+
+A minimum per node is combined before the shuffle. If a node has many edges, it goes back to the
+edges of such hubs by a broadcast: a node is a hub if it has one in ``HUBS`` of all edge ends, so
+there are at most ``HUBS`` of them, however large the graph. The other nodes' edges are joined
+by a shuffle.
 """
 
 from __future__ import annotations
@@ -24,19 +28,23 @@ HUBS = 5_000
 HUB_EDGES = 500
 
 
-def _stars(edges: DataFrame, ends: int, member: Column) -> DataFrame:
+def _stars(edges: DataFrame, ends: int, most: int, member: Column) -> DataFrame:
     """Every neighbour that is a ``member``, tied to the smallest of its node's closed neighbourhood.
 
-    ``edges`` has at most ``ends`` rows.
+    ``edges`` has at most ``ends`` rows, and at most ``most`` of a node.
     """
     least = edges.groupBy(F.col("u").alias("_u")).agg(
         F.least(F.min("v"), F.col("_u")).alias("m"), F.count(F.lit(1)).alias("_degree")
     )
-    hub = F.col("_degree") >= max(HUB_EDGES, math.ceil(ends / HUBS))
-    hubs = F.broadcast(stage(least.filter(hub).drop("_degree"), "hubs"))
     here = F.col("u") == F.col("_u")
-    others = edges.join(hubs, here, "left_anti").join(least.filter(~hub).drop("_degree").hint("merge"), here)
-    met = edges.join(hubs, here).unionByName(others)
+    share = max(HUB_EDGES, math.ceil(ends / HUBS))
+    if most < share:
+        met = edges.join(least.drop("_degree").hint("merge"), here)
+    else:
+        hub = F.col("_degree") >= share
+        hubs = F.broadcast(stage(least.filter(hub).drop("_degree"), "hubs"))
+        others = least.filter(~hub).drop("_degree").hint("merge")
+        met = edges.join(hubs, here).unionByName(edges.join(hubs, here, "left_anti").join(others, here))
     pair = F.array(
         F.when(member, F.struct(F.col("v").alias("u"), F.col("m").alias("v"))),
         F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
@@ -45,6 +53,21 @@ def _stars(edges: DataFrame, ends: int, member: Column) -> DataFrame:
     return pairs.filter("u != v").distinct()
 
 
+def _state(star: DataFrame) -> tuple[int, int, int]:
+    """How many edges, how many nodes that are not in a star, and the most edges of a node.
+
+    Edges go from a node to a smaller one. They are stars if no node has two smaller neighbours,
+    or a smaller and a larger one.
+    """
+    ends = star.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        star.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    nodes = ends.groupBy("n").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    restless = F.count_if((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))
+    found = nodes.agg(F.sum("down"), restless, F.max(F.col("down") + F.col("up"))).first()
+    return found[0] or 0, found[1], found[2] or 0
+
+
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node on an edge.
 
@@ -54,20 +77,16 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     star = stage(
         both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    seen = None
     while True:
-        state = star.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if state == seen or state[0] == 0:
+        number, restless, most = _state(star)
+        if not restless:
             break
-        seen = state
         around = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(around, 2 * state[0], F.col("v") > F.col("u"))
-        # After the large star each edge points from a node to a smaller one, and each end
-        # has made two rows at most.
+        large = _stars(around, 2 * number, most, F.col("v") > F.col("u"))
+        # After the large star each edge points from a node to a smaller one. Each end has made
+        # two rows at most, and no node has more smaller neighbours than it had neighbours.
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        star = stage(_stars(stage(down, "edges"), 4 * state[0], F.lit(True)), "edges")
+        star = stage(_stars(stage(down, "edges"), 4 * number, most, F.lit(True)), "edges")
     # At rest every edge ties a node to the smallest of its component.
     nodes = star.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
