@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,18 +70,83 @@ CLOSES = {
 }
 #: An open paragraph ends where one of these starts, unless it is in a nested cell or object.
 BLOCK_BARRIER = _names("td th table button object caption html body")
+PARAGRAPH, LINK = _names("p"), _names("a")
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</[^a-zA-Z>][^>]*>|</>",
-    re.S,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))|([^\s=\"'/]+)")
-SPLIT_WORDS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+SPLIT_WORDS = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+class Ends:
+    """Where tags end: at the first ``>`` outside of quotes, looked up in one pass from the right.
+
+    From each quote the next of its kind is known, so no start is ever scanned twice. A tag
+    whose quotes leave no such ``>`` ends at the first one, in quotes or not.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.at = [m.start() for m in SPECIAL.finditer(source)]
+        self.outside = [-1] * (len(self.at) + 1)
+        self.any = [-1] * (len(self.at) + 1)
+        following = {}
+        for k in range(len(self.at) - 1, -1, -1):
+            mark = source[self.at[k]]
+            if mark == ">":
+                self.outside[k] = self.any[k] = self.at[k]
+                continue
+            closing = following.get(mark)
+            self.outside[k] = -1 if closing is None else self.outside[closing + 1]
+            self.any[k] = self.any[k + 1]
+            following[mark] = k
+
+    def after(self, place: int) -> int:
+        """The place of the ``>`` that ends a tag whose name ends at ``place``; there is one."""
+        k = bisect_left(self.at, place)
+        return self.outside[k] if self.outside[k] >= 0 else self.any[k]
+
+
+def markup(source: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """Start, end, whether an end tag, name and attributes of each piece of markup.
+
+    Comments and declarations have no name; they reach to the end of the page if nothing
+    ends them. A ``<`` that begins no markup is text. The place goes forward only; a caller that
+    skips content sends the place to go on from.
+    """
+    ends = Ends(source)
+    at = source.find("<")
+    while at >= 0:
+        follows = source[at + 1 : at + 2]
+        start, stop, closing, name, rest = at, -1, False, None, ""
+        if follows in ("!", "?"):
+            if source.startswith("<!--", at):
+                stop = source.find("-->", at + 4)
+                stop = -1 if stop < 0 else stop + 3
+            elif source.startswith("<![CDATA[", at):
+                stop = source.find("]]>", at + 9)
+                stop = -1 if stop < 0 else stop + 3
+            else:
+                stop = source.find(">", at + 2) + 1 or -1
+            stop = len(source) if stop < 0 else stop
+        elif ends.any[bisect_left(ends.at, at)] >= 0:
+            # Some > follows, so a tag that begins here ends too.
+            closing = follows == "/"
+            found = NAME.match(source, at + 1 + closing)
+            if found:
+                end = ends.after(found.end())
+                name, rest, stop = found.group().lower(), source[found.end() : end], end + 1
+            elif closing:
+                stop = ends.any[bisect_left(ends.at, at + 2)] + 1
+        if stop < 0:
+            at = source.find("<", at + 1)
+            continue
+        skip = yield start, stop, closing, name, rest
+        at = source.find("<", stop if skip is None else skip)
+        if skip is not None:
+            yield  # the answer to the skip
+
+
 class Page:
     """The tree, in order of the page: node n has its subtree in n..end[n] - 1."""
 
@@ -95,7 +161,9 @@ class Page:
 
     def _read(self, source: str) -> None:
         open_nodes = [0]
-        open_count: dict[str, int] = {}
+        #: Depths of the open elements of each name, and of those that are not inline.
+        where: dict[str, list[int]] = {}
+        solid = [0]
         flow = 0
         at = 0
         lowered = None
@@ -109,42 +177,34 @@ class Page:
             block = False
             while len(open_nodes) > depth:
                 node = open_nodes.pop()
+                name = self.tag[node]
                 self.end[node] = len(self.tag)
-                open_count[self.tag[node]] -= 1
-                block |= self.tag[node] not in INLINE and self.tag[node] not in SILENT
+                if open_nodes:
+                    where[name].pop()
+                if name not in INLINE:
+                    solid.pop()
+                    block |= name not in SILENT
             return block
 
+        def depth_of(tags: frozenset[str]) -> int:
+            return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
         def find(tags: frozenset[str], barrier: frozenset[str]) -> int | None:
             """Depth of the innermost open element of ``tags`` before a barrier."""
-            if not any(open_count.get(t) for t in tags):
-                return None
-            for depth in range(len(open_nodes) - 1, 0, -1):
-                name = self.tag[open_nodes[depth]]
-                if name in tags:
-                    return depth
-                if name in barrier:
-                    return None
-            return None
-
-        while True:
-            match = MARKUP.search(source, at)
-            if match is None:
-                text(source[at:])
-                break
-            text(source[at : match.start()])
-            at = match.end()
-            if match.group(2) is None:
+            depth = depth_of(tags)
+            return depth if depth > depth_of(barrier) else None
+
+        pieces = markup(source)
+        for start, stop, closing, name, attributes in pieces:
+            text(source[at:start])
+            at = stop
+            if name is None:
                 continue
-            name = match.group(2).lower()
-            if match.group(1):
-                if open_count.get(name):
-                    depth = next(
-                        d for d in range(len(open_nodes) - 1, 0, -1) if self.tag[open_nodes[d]] == name
-                    )
+            if closing:
+                if where.get(name):
+                    depth = where[name][-1]
                     # The end of an inline element does not end the blocks around its start.
-                    if name in INLINE and any(
-                        self.tag[n] not in INLINE for n in open_nodes[depth + 1 :]
-                    ):
+                    if name in INLINE and solid[-1] > depth:
                         continue
                     if close_to(depth):
                         flow += 1
@@ -154,7 +214,7 @@ class Page:
             if name == "br":
                 self.texts.append((open_nodes[-1], flow, " "))
                 continue
-            if name in ("html", "body") and open_count.get(name):
+            if name in ("html", "body") and where.get(name):
                 continue
             block = name not in INLINE and name not in SILENT
             if block:
@@ -165,18 +225,18 @@ class Page:
                         close_to(depth)
                         depth = find(*CLOSES[name])
                 else:
-                    depth = find(frozenset(("p",)), BLOCK_BARRIER)
+                    depth = find(PARAGRAPH, BLOCK_BARRIER)
                     if depth is not None:
                         close_to(depth)
             elif name == "a":
-                depth = find(frozenset(("a",)), BLOCK_BARRIER)
-                if depth is not None and all(self.tag[n] in INLINE for n in open_nodes[depth:]):
+                depth = find(LINK, BLOCK_BARRIER)
+                if depth is not None and solid[-1] < depth:
                     close_to(depth)
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(open_nodes[-1])
             self.end.append(node + 1)
-            self.attributes.append(match.group(3))
+            self.attributes.append(attributes)
             if name in VOID:
                 continue
             if name in RAW:
@@ -184,17 +244,21 @@ class Page:
                     lowered = source.lower()
                     if len(lowered) != len(source):
                         lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in source)
-                stop = lowered.find("</" + name, at)
-                if stop < 0:
+                ending = lowered.find("</" + name, at)
+                if ending < 0:
+                    at = len(source)
                     break
-                close = source.find(">", stop)
+                close = source.find(">", ending)
                 at = len(source) if close < 0 else close + 1
+                pieces.send(at)
                 continue
-            if match.group(3).endswith("/") and name in ("svg", "math", "path"):
+            if attributes.endswith("/") and name in ("svg", "math", "path"):
                 continue
+            where.setdefault(name, []).append(len(open_nodes))
+            if name not in INLINE:
+                solid.append(len(open_nodes))
             open_nodes.append(node)
-            open_count[name] = open_count.get(name, 0) + 1
-        open_count["html"] = open_count.get("html", 0) + 1
+        text(source[at:])
         close_to(0)
 
     def named(self, node: int) -> tuple[bool, bool]:
@@ -212,7 +276,7 @@ class Page:
             or bool(HIDDEN.search(found.get("style", "")))
         )
         words = found.get("class", "") + " " + found.get("id", "")
-        return sure, any(w in WORDS for w in SPLIT_WORDS.split(words.lower()))
+        return sure, any(w.lower() in WORDS for w in SPLIT_WORDS.split(words))
 
 
 def extract(source: str | None) -> str:
