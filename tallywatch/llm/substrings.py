@@ -1,8 +1,9 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
-A text is cut before a word wherever the gear hash of the 16 bytes before it falls in a
-quarter of its range: about every fourth word, and at the same places of a passage whatever
-stands before or after it, so insertions shift nothing. A chunk that occurred before (in a
+The hash rolls over the words joined by one space each, so a passage has the same cuts however
+it is wrapped or indented. A text is cut before a word wherever the gear hash of the 16 bytes
+before it falls in a quarter of its range: about every fourth word, and at the same places of a
+passage whatever stands before or after it, so insertions shift nothing. A chunk that occurred before (in a
 lower ``doc_id``, or earlier in the text) is a repeat. Repeats in a row that hold at least
 ``min_words`` words are cut out of the text, with the white space after them.
 
@@ -40,17 +41,28 @@ def chunks(data: np.ndarray, at: np.ndarray):
     Word starts and ends, first word and digest of every chunk, first chunk of every text.
     """
     start, end, hashes, first = ta.words(data, at)
+    joined, place = _joined(data, start, end)
     text = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    inside = start - at[text]
+    inside = place - place[first[text]]
     cut = np.zeros(len(start), bool)
     far = inside >= 16
-    cut[far] = ta.gear(data)[start[far] - 1] < CUTS
+    cut[far] = ta.gear(joined)[place[far] - 1] < CUTS
     cut[first[:-1][np.diff(first) > 0]] = True
     low = np.flatnonzero(cut)
     high = np.append(low[1:], len(start)) if len(low) else low
     return start, end, low, ta.sequences(hashes, low, high), np.searchsorted(low, first), hashes, first
 
 
+def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words with one space after each, and where each word begins there."""
+    size = end - start
+    place = np.concatenate([[0], np.cumsum(size + 1)])
+    joined = np.full(place[-1], 0x20, np.uint8)
+    # Words are all there is but white space, in order.
+    joined[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = data[~ta.SPACE[data]]
+    return joined, place[:-1]
+
+
 def _marks(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """31 bits of each text, above the 32 bits of a chunk's number."""
     whole = ta.sequences(hashes, first[:-1], first[1:])

@@ -51,24 +51,17 @@ def near_classes(docs, threshold=0.8):
 
 
 def chunks(text):
-    """(first word, words) of every chunk, by the gear hash said plainly."""
-    data = (text or "").encode()
+    """(first word, words) of every chunk, by the gear hash over the words joined by a space."""
+    data = b""
     found = []
-    position, start = 0, None
-    spaces = {0x20, *range(0x09, 0x0E)}
-    for i, byte in enumerate(data):
-        if byte in spaces:
-            start = None
-            continue
-        if start is None:
-            start = i
-            h = 0
-            for b in data[max(0, i - 16) : i]:
-                h = (2 * h + int(ta.GEAR[b])) % 65536
-            if position == 0 or (i >= 16 and h < 1 << 14):
-                found.append(position)
-            position += 1
-    return list(zip(found, np.diff([*found, position]).tolist()))
+    for position, word in enumerate(words(text)):
+        h = 0
+        for b in data[-16:]:
+            h = (2 * h + int(ta.GEAR[b])) % 65536
+        if position == 0 or (len(data) >= 16 and h < 1 << 14):
+            found.append(position)
+        data += word.encode() + b" "
+    return list(zip(found, np.diff([*found, len(words(text))]).tolist()))
 
 
 def dedup(docs, min_words=20):
