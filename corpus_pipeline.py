@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and gives a table with the columns of ``documents``, the
 last one the mix. ``run`` writes every stage's result to the shared folder and reads
 it back as the next one's input.
+
+Defined results: null, empty and wordless texts have no language and go at the first stage, in
+the pipeline at least; ids may be null or repeat, rows are told apart by their texts; repeated
+rows are one document after the second stage; a null source is a source; further columns are
+carried to the mix; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -41,8 +46,8 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
-    return mixing.mix_sources(docs)
+    """What the mix takes of every document, with its text: ``mixing.taken_text`` gives the words."""
+    return mixing.with_texts(mixing.mix_sources(docs), docs)
 
 
 STAGES = [

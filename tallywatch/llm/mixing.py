@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in Spark expressions.
 
 Sources get token targets by weight, none above ``cap`` times what it has (the excess is
-shared again by weight). Each source is dealt into shards by a hash of its documents, and
-each shard's words, in order of the documents, are cut into blocks of equal length. Seats,
+shared again by weight). Each source is dealt into shards by a hash of its documents, of their
+ids and texts, and each shard's words, in order of the documents, are cut into blocks of equal length. Seats,
 one for each block's worth of the mix, go to the highest quotients votes / (2 seats + 1):
 first over the sources, with their targets as votes, then over the shards of each source,
 with their words as votes. A shard's quota takes every block equally often and gives what is
 left to the blocks with the lowest seeded draws.
 
 Defined results: a null or wordless text has size 0 and is never taken; a null source is a
-source, the last in order; equal quotients go to the earlier source or shard; repeated rows
-are documents of their own; an empty table gives an empty result.
+source, the last in order; equal quotients go to the earlier source or shard; a null ``doc_id``
+comes first in its shard, and rows of one ``doc_id`` are in order of a hash of their texts;
+repeated rows are documents of their own, which lie in one shard; further columns, also of
+clashing names, are ignored; an empty table gives an empty result.
 
 Only sums leave the documents: one row per source (window in one task), one per shard
 (ranked within its source; a shard has two million words) and one per block (ranked within
@@ -42,9 +44,15 @@ class Mix:
 
 
 def sizes(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and the number of words of the whole text."""
+    """``doc_id``, ``source``, the number of words of the whole text, and ``mark``, its hash."""
     docs = pick(documents, "doc_id", "source", "text")
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"))
+    size = F.size(words(F.col("text"))).cast("bigint").alias("size")
+    return docs.select("doc_id", "source", size, mark_of(F.col("text")).alias("mark"))
+
+
+def mark_of(text: Column) -> Column:
+    """What tells a text from others; null is as the empty one."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def targets(totals: DataFrame, mix: Mix) -> DataFrame:
@@ -125,7 +133,8 @@ def apportion(entries: DataFrame, group: list[str], order: list[Column]) -> Data
 
 def shards(sized: DataFrame, goal: DataFrame, mix: Mix) -> DataFrame:
     """Documents with their shard and the words before them in it."""
-    draw = unit_draw(F.lit(mix.seed), F.lit("shard"), F.col("doc_id"), F.col("size"))
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    draw = unit_draw(F.lit(mix.seed), F.lit("shard"), doc, F.col("mark"))
     n_shards = F.greatest(F.ceil(F.col("source_size") / F.lit(float(mix.shard_words))), F.lit(1))
     dealt = (
         sized.filter("size > 0")
@@ -134,11 +143,11 @@ def shards(sized: DataFrame, goal: DataFrame, mix: Mix) -> DataFrame:
     )
     earlier = (
         Window.partitionBy("source", "shard")
-        .orderBy("doc_id", "size")
+        .orderBy("doc_id", "mark")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return dealt.select(
-        "doc_id", "source", "shard", "size", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start")
+        "doc_id", "source", "shard", "size", "mark", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start")
     )
 
 
@@ -146,8 +155,9 @@ def mix_sources(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """One row per document with what the mix takes of it.
 
     ``doc_id``, ``source``, ``size``, ``source_size``, ``target`` (of its source), ``taken``
-    (words, repeats counted) and ``pieces``: structs of first word (0-based), number of
-    words and times, in order, of the parts of the document that are taken.
+    (words, repeats counted), ``pieces``: structs of first word (0-based), number of
+    words and times, in order, of the parts of the document that are taken, and ``mark``, which
+    with ``doc_id`` tells whose text they are of (see ``with_texts``).
     """
     sized = stage(sizes(documents), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -212,6 +222,7 @@ def mix_sources(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
         "source",
         "shard",
         "size",
+        "mark",
         "start",
         F.explode(
             F.expr(
@@ -234,19 +245,45 @@ def mix_sources(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
             & (F.col("at") == F.col("block")),
             "left",
         )
-        .groupBy("doc_id", "source", "shard", "size", "start")
+        .groupBy("doc_id", "source", "shard", "size", "mark", "start")
         .agg(
             F.coalesce(F.sum(F.col("times") * length), F.lit(0)).cast("bigint").alias("taken"),
             F.sort_array(F.collect_list(F.when(F.col("times").isNotNull(), piece))).alias("pieces"),
         )
-        .select("doc_id", "source", "size", "taken", "pieces")
+        .select("doc_id", "source", "size", "mark", "taken", "pieces")
     )
     none = F.array().cast(dict(met.dtypes)["pieces"])
     wordless = sized.filter("size = 0").select(
-        "doc_id", "source", "size", F.lit(0).cast("bigint").alias("taken"), none.alias("pieces")
+        "doc_id", "source", "size", "mark", F.lit(0).cast("bigint").alias("taken"), none.alias("pieces")
     )
     return (
         met.unionByName(wordless)
         .join(bounded(named), F.col("source").eqNullSafe(F.col("_source")))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "pieces")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "mark")
+    )
+
+
+def with_texts(mixed: DataFrame, documents: DataFrame) -> DataFrame:
+    """The rows of a mix with the ``text`` of their document, and no ``mark``.
+
+    A row's text is that of its ``doc_id`` and mark; a null text is the empty one.
+    """
+    docs = pick(documents, "doc_id", "text").select(
+        F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), mark_of(F.col("text")).alias("_mark")
+    )
+    # Rows that repeat a row stand for one text.
+    texts = docs.dropDuplicates(["_doc", "_mark"])
+    same = (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    return mixed.join(texts.hint("merge"), same).drop("mark", "_doc", "_mark")
+
+
+def taken_text(text: Column, pieces: Column) -> Column:
+    """The words that the mix takes of a text, joined by spaces: each piece as often as it says."""
+    own = words(text)
+    cut = F.transform(
+        pieces,
+        lambda p: F.concat_ws(
+            " ", F.array_repeat(F.array_join(F.slice(own, (p["first"] + 1).cast("int"), p["length"].cast("int")), " "), p["times"].cast("int"))
+        ),
     )
+    return F.concat_ws(" ", cut)

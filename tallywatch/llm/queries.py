@@ -304,7 +304,7 @@ def _apportion(entries: str, group: str, order: str) -> str:
 
 
 ORACLE["op9_mix_sources"] = f"""
-WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(text, '')) AS mark FROM documents),
 totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     CAST([{', '.join(map(str, _MIX.weights))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(_MIX.weights)} + 1] AS DOUBLE) AS weight
@@ -318,8 +318,8 @@ leveled AS (
 ), goal AS (
   SELECT source, source_size, least(room, weight * coalesce(max(level) FILTER (level <= ratio) OVER (), 1e300)) AS target FROM leveled
 ), dealt AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM (SELECT sized.*, CAST(floor({_draw(str(_MIX.seed), "'shard'", 'doc_id', 'size')} * greatest(ceil(source_size / {float(_MIX.shard_words)}), 1)) AS BIGINT) AS shard
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY doc_id NULLS FIRST, mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM (SELECT sized.*, CAST(floor({_draw(str(_MIX.seed), "'shard'", "coalesce(CAST(doc_id AS VARCHAR), 'null')", 'mark')} * greatest(ceil(source_size / {float(_MIX.shard_words)}), 1)) AS BIGINT) AS shard
     FROM sized JOIN goal ON sized.source IS NOT DISTINCT FROM goal.source WHERE size > 0)
 ), parts AS (
   SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(greatest(floor(sum(size) / {float(_MIX.block_words)} + 0.5), 1) AS BIGINT) AS blocks

@@ -592,3 +592,31 @@ def test_chat_long_conversation(spark):
     )
     r = chat.digest(chat.format_chats(df)).first()
     assert r.n_turns == 3000 and r.loss_chars == 2000 * 20
+
+
+def test_a_passage_wrapped_anew_is_found(spark):
+    """Cuts follow the words, not the line breaks and blanks between them."""
+    rng = random.Random(31)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    wrapped = "\n".join(" ".join(words[i : i + 5]) for i in range(0, 80, 5))
+    indented = "\t  ".join(words)
+    rows = [(1, "before it " + " ".join(words)), (2, "elsewhere " + wrapped + " after"), (3, indented)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    removed = {r.doc_id: sum(x["words"] for x in r.removed) for r in substrings.dedup_substrings(df).collect()}
+    assert removed[1] == 0 and removed[2] >= 70 and removed[3] >= 70
+
+
+def test_null_ids_fall_into_all_shards(spark):
+    rows = [(None, "s", f"a{i} b c d") for i in range(200)] + [(5, "s", f"x{i} b c d") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    mix = mixing.Mix(block_words=4, shard_words=160)
+    sized = mixing.sizes(df)
+    goal = mixing.targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), mix)
+    dealt = mixing.shards(sized, goal.withColumnRenamed("source", "_source"), mix).groupBy("doc_id", "shard").count()
+    per_id = {}
+    for r in dealt.collect():
+        per_id.setdefault(r.doc_id, []).append(r["count"])
+    assert {len(v) for v in per_id.values()} == {10} and max(map(max, per_id.values())) < 60
+    mixed = mixing.with_texts(mixing.mix_sources(df, mix), df)
+    taken = mixed.select("taken", mixing.taken_text(F.col("text"), F.col("pieces")).alias("words")).collect()
+    assert len(taken) == 400 and all(len(r.words.split()) == r.taken for r in taken) and sum(r.taken for r in taken) > 1600

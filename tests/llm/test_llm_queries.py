@@ -1,9 +1,12 @@
 """The registered queries and the pipeline, against SQL or plain Python, on whole tables."""
 
 import os
+import shutil
+import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -93,6 +96,54 @@ def test_pipeline_equals_plain_code(spark, documents):
         total[source] = total.get(source, 0) + r.taken
     for r in found.values():
         assert abs(total[r.source] - r.target) <= 0.02 * r.target + mixing.Mix().block_words
+        # The pieces and the text make the corpus.
+        assert r.text == dict((d[0], d[1]) for d in docs)[r.doc_id]
+        own = plain.words(r.text)
+        pieces = [own[p.first : p.first + p.length] for p in r.pieces]
+        assert all(len(w) == p.length for w, p in zip(pieces, r.pieces))
+        assert sum(len(w) * p.times for w, p in zip(pieces, r.pieces)) == r.taken
+
+
+def test_pipeline_on_odd_tables(spark, documents, tmp_path):
+    """Nulls in every column, empty and repeated rows, one id for several texts, an own column."""
+    rows = documents.orderBy("doc_id").limit(60)
+    names = documents.columns
+    text = rows.first()["text"]
+    odd = [
+        (None, text + " once more", "en", None), (None, "", "en", "web"), (None, None, None, None), (7, None, "en", "web"),
+        (7, "another text under the same number " + text[:300], None, "web"), (900, " \n ", "de", "web"),
+        (900, " \n ", "de", "web"), (901, "word " * 30_000, "en", "web"),
+    ]
+    more = spark.createDataFrame([(*r, r[1] and len(r[1])) for r in odd], rows.schema)
+    folder = str(tmp_path / "odd")
+    rows.unionByName(more).withColumn("own", F.lit(1)).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    benchmark.unionByName(benchmark.limit(1).select(*[F.lit(None).cast(t).alias(n) for n, t in benchmark.dtypes])).coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, folder)
+    assert {"doc_id", "text", "pieces", "taken", "target"} <= set(found.columns) and found.count() > 10
+    # The stages before it keep the columns of their input.
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        docs = stage(apply(spark, docs, folder), name)
+        assert docs.columns == [*names, "own"]
+    assert {r.doc_id for r in docs.select("doc_id").collect()} == {r.doc_id for r in found.collect()}
+    empty = str(tmp_path / "none")
+    documents.limit(0).write.parquet(f"{empty}/documents.parquet")
+    benchmark.limit(0).write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_rest_runs_without_the_subpackage(tmp_path):
+    """A copy without the folders of these operators: the entry imports and the others are all there."""
+    for name in ("tallywatch", "tools"):
+        shutil.copytree(os.path.join(ROOT, name), tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    said = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"],
+        cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True,
+    )
+    library = len(entry.queries()) - len(QUERIES) - 1
+    assert said.stdout.split()[-2:] == [str(library), str(library)]
 
 
 def test_rest_stands_alone():
