@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallywatch.functions.columns import c, quantitative_columns, string_columns, unpivot
 from tallywatch.operators.quantiles import approx_quantiles
+from tallywatch.session import stage
 
 def normalize_names(df: DataFrame) -> DataFrame:
     """Dots in column names become underscores; clashing names are an error."""
@@ -114,7 +115,12 @@ def drop_outliers_sequential(
     factor: float = 2.0,
     keep_nulls: bool = False,
 ) -> DataFrame:
-    """As ``drop_outliers``, each column's quartiles taken after the earlier filters."""
-    for name in columns:
+    """As ``drop_outliers``, each column's quartiles taken after the earlier filters.
+
+    The rows left by a column are staged for the next one.
+    """
+    for i, name in enumerate(columns):
+        if i:
+            df = stage(df, "within-fences")
         df = _fence(df, approx_quantiles(df, [name], [0.25, 0.75], error), factor, keep_nulls)
     return df

@@ -87,7 +87,9 @@ def exact_quantiles(
             _halve(near, large, kinds)
             wide = [s for s in wide if s.answer is None]
             if sum(s.size for s in large if s.answer is None) >= before:
-                break  # values that a sketch cannot tell apart
+                # Values that a sketch cannot tell apart: their range halves each time.
+                _bisect(near, large, kinds)
+                wide = [s for s in wide if s.answer is None]
             near = stage(_between(near, wide, kinds), "near")
         _sort(near, wide)
     found: dict[str, list] = {}
@@ -127,11 +129,18 @@ def _count_around(
     """Rows below and equal to every bound, all columns in one grouped count."""
     kinds = dict(df.dtypes)
     places = []
+
+    def searched(value: Column, found: list, kind: str, low: int, high: int) -> Column:
+        """Twice the number of bounds below, one more at a bound: a binary search."""
+        if low == high:
+            return F.lit(2 * low)
+        k = (low + high) // 2
+        at = F.lit(found[k]).cast(kind)
+        left, right = searched(value, found, kind, low, k), searched(value, found, kind, k + 1, high)
+        return F.when(value < at, left).when(value == at, 2 * k + 1).otherwise(right)
+
     for i, (name, found) in enumerate(bounds.items()):
-        place = F.lit(2 * len(found))
-        for k, bound in reversed(list(enumerate(found))):
-            at = F.lit(bound).cast(kinds[name])
-            place = F.when(values[name] < at, 2 * k).when(values[name] == at, 2 * k + 1).otherwise(place)
+        place = searched(values[name], found, kinds[name], 0, len(found))
         place = F.when(values[name].isNotNull(), place)
         places.append(F.struct(F.lit(i).alias("i"), place.alias("place")))
     rows = df.select(F.inline(F.array(*places))).groupBy("i", "place").count().collect()
@@ -212,6 +221,26 @@ def _halve(near: DataFrame, searches: list[_Search], kinds: dict[str, str]) -> N
             rows += [(s.number, None, round(x) + (s.low or 0)) for x in set(around)]
         else:
             rows += [(s.number, x, None) for x in set(around)]
+    _narrow(near, searches, rows)
+
+
+def _bisect(near: DataFrame, searches: list[_Search], kinds: dict[str, str]) -> None:
+    """Count around the middle of each search's range of values, whatever lies there."""
+    ends = near.groupBy("s").agg(F.min("d"), F.max("d"), F.min("l"), F.max("l")).collect()
+    wanted = {s.number: s for s in searches if s.answer is None}
+    rows = []
+    for s, low_d, high_d, low_l, high_l in ends:
+        if s not in wanted:
+            continue
+        if kinds[wanted[s].column] in WHOLE:
+            rows.append((s, None, low_l + (high_l - low_l) // 2))
+        else:
+            rows.append((s, low_d / 2 + high_d / 2 if low_d < high_d else low_d, None))
+    _narrow(near, list(wanted.values()), rows)
+
+
+def _narrow(near: DataFrame, searches: list[_Search], rows: list[tuple]) -> None:
+    """Narrow each search by the values below and equal to its bounds."""
     bounds = near.sparkSession.createDataFrame(rows, "s int, bound_d double, bound_l bigint")
     below = (F.col("d") < F.col("bound_d")) | (F.col("l") < F.col("bound_l"))
     equal = (F.col("d") == F.col("bound_d")) | (F.col("l") == F.col("bound_l"))
@@ -235,7 +264,7 @@ def _sort(near: DataFrame, searches: list[_Search]) -> None:
     if not searches:
         return
     wanted = near.sparkSession.createDataFrame(
-        [(s.number, s.rank - s.before) for s in searches], "s int, at int"
+        [(s.number, s.rank - s.before) for s in searches], "s int, at bigint"
     )
     place = F.row_number().over(Window.partitionBy("s").orderBy("d", "l"))
     rows = (

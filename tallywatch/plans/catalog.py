@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -320,12 +321,10 @@ def normalize_names(spark, folder):
     return clean.normalize_names(dotted)
 
 
-@query("SELECT c_custkey, c_name, c_acctbal, ' ' AS space FROM customer")
+@query("SELECT *, ' ' AS space FROM customer")
 def drop_empty_columns(spark, folder):
     customers = load(spark, folder, "customer").select(
-        "c_custkey",
-        "c_name",
-        "c_acctbal",
+        "*",
         F.nullif("c_custkey", "c_custkey").alias("nothing"),
         F.when(F.col("c_acctbal") < 0, "").alias("blank"),
         F.lit(" ").alias("space"),
@@ -420,6 +419,8 @@ def drop_outliers_sequential(spark, folder):
 
 
 LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+#: Every number of the table.
+ALL_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINE_NUMBERS)
 
 
 @query(
@@ -429,12 +430,11 @@ LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
                ROUND(AVG({n}), 4) AS mean, ROUND(STDDEV_SAMP({n}), 4) AS stddev,
                MIN({n}) AS "min", MAX({n}) AS "max" FROM lineitem
         """
-        for n in LINE_NUMBERS
+        for n in ALL_NUMBERS
     )
 )
 def describe(spark, folder):
-    lines = load(spark, folder, "lineitem").select(*LINE_NUMBERS)
-    return rounded(reports.describe(lines), 4, "mean", "stddev")
+    return rounded(reports.describe(load(spark, folder, "lineitem")), 4, "mean", "stddev")
 
 
 @query(
@@ -459,13 +459,12 @@ PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
         SELECT '{n}' AS "column", CAST({p} AS DOUBLE) AS probability,
                CAST(quantile_disc({n}, {p}) AS DOUBLE) AS value FROM lineitem
         """
-        for n in LINE_NUMBERS
+        for n in ALL_NUMBERS
         for p in PROBABILITIES
     )
 )
 def quantiles_(spark, folder):
-    lines = load(spark, folder, "lineitem").select(*LINE_NUMBERS)
-    return quantiles.quantile_table(lines, LINE_NUMBERS, PROBABILITIES, error=0)
+    return quantiles.quantile_table(load(spark, folder, "lineitem"), ALL_NUMBERS, PROBABILITIES, error=0)
 
 
 @query(
@@ -473,14 +472,14 @@ def quantiles_(spark, folder):
         f"""
         SELECT '{n}' AS "column", CAST({p} AS DOUBLE) AS probability, TRUE AS near
         """
-        for n in LINE_NUMBERS
+        for n in ALL_NUMBERS
         for p in PROBABILITIES
     )
 )
 def quantiles_default_error(spark, folder):
     """The default sketch: the rows up to each value are within 0.05 of all rows."""
-    lines = load(spark, folder, "lineitem").select(*LINE_NUMBERS)
-    found = quantiles.approx_quantiles(lines, LINE_NUMBERS, PROBABILITIES, 0.05)
+    lines = load(spark, folder, "lineitem")
+    found = quantiles.approx_quantiles(lines, ALL_NUMBERS, PROBABILITIES, 0.05)
     checks = [
         F.struct(
             F.lit(n).alias("column"),
@@ -491,7 +490,7 @@ def quantiles_default_error(spark, folder):
                 & (F.count_if(F.col(n) < v) <= (p + 0.05) * F.count(n))
             ).alias("near"),
         )
-        for n in LINE_NUMBERS
+        for n in ALL_NUMBERS
         for p, v in zip(PROBABILITIES, found[n])
     ]
     return lines.agg(F.array(*checks).alias("checks")).select(F.inline("checks"))
@@ -1370,6 +1369,99 @@ def run_pipeline_linear(spark, folder):
     return _sizes(log, run_pipeline(log, spec))
 
 
+# Jobs on a label that one column decides: every model must find it, so SQL knows all values.
+DECIDED = {
+    "Random_forest": {
+        "cleaning": ("Clean_data", "Handle_null_values"), "formatting": "Lebel_encoding", "scaling": "Minmax_scaler",
+    },
+    "Logistic_regression": {
+        "cleaning": ("Clean_data", "Balance_data"), "scaling": "Standered_scaler", "selection": "Chisqselector",
+    },
+    "Linear_SVM": {"cleaning": ("Handle_null_values",), "scaling": "MinAbs_scaler"},
+    "Linear_regression": {"formatting": "HashingTF_Encoding", "text_slots": 16, "scaling": "MinAbs_scaler"},
+}
+DECIDED_SQL = """
+decided AS (
+    SELECT event_id AS id, CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INTEGER) AS label
+    FROM events)
+"""
+
+
+def _decided(spark: SparkSession, folder: str) -> DataFrame:
+    failed = F.col("event_type") == "error"
+    return load(spark, folder, "events").select(
+        F.col("event_id").alias("id"),
+        "ts",
+        "event_type",
+        "value",
+        F.when(failed, 10.0).otherwise(0.0).alias("signal"),
+        failed.cast("int").alias("label"),
+    )
+
+
+def _decided_run(spark: SparkSession, folder: str, name: str) -> PipelineRun:
+    return run_pipeline(_decided(spark, folder), PipelineSpec(name, rule=None, **DECIDED[name]))
+
+
+@query(
+    f"""
+    WITH {DECIDED_SQL}
+    SELECT model, id, label, label AS prediction
+    FROM decided, (VALUES {", ".join(f"('{name}')" for name in DECIDED)}) AS m(model)
+    """
+)
+def run_pipeline_decided(spark, folder):
+    """The prediction for every row, of whole jobs with each of the four models."""
+    found = [
+        _decided_run(spark, folder, name).scores.select(
+            F.lit(name).alias("model"), "id", "label", F.col("prediction").cast("int").alias("prediction")
+        )
+        for name in DECIDED
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    f"""
+    WITH {DECIDED_SQL},
+    held AS (
+        SELECT CAST(label AS DOUBLE) AS y FROM decided
+        WHERE CAST('0x' || SUBSTR(md5(CAST(id AS VARCHAR)), 1, 6) AS INTEGER) % 10 >= 8)
+    SELECT model, metric, CASE WHEN metric = 'var' THEN (SELECT ROUND(VAR_POP(y), 6) FROM held) ELSE value END AS value
+    FROM (VALUES ('areaUnderROC', 1.0::DOUBLE), ('areaUnderPR', 1.0), ('accuracy', 1.0), ('f1', 1.0),
+                 ('weightedPrecision', 1.0), ('weightedRecall', 1.0), ('falsePositiveRateByLabel', 0.0),
+                 ('rmse', 0.0), ('mse', 0.0), ('mae', 0.0), ('r2', 1.0), ('var', 0.0)) AS v(metric, value),
+         (VALUES ('Logistic_regression'), ('Linear_regression')) AS m(model)
+    """
+)
+def run_pipeline_metrics(spark, folder):
+    """A job's own evaluation on its held-out rows: curves, classes, errors."""
+    rows = []
+    for name in ("Logistic_regression", "Linear_regression"):
+        run = _decided_run(spark, folder, name)
+        for part in (run.binary(), run.multiclass(), run.regression()):
+            wanted = [n for n in part.columns if n not in ("precisionByLabel", "recallByLabel")]
+            values = [F.struct(F.lit(n).alias("metric"), F.round(n, 6).alias("value")) for n in wanted]
+            rows.append(part.select(F.lit(name).alias("model"), F.inline(F.array(*values))))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(f"WITH {DECIDED_SQL} SELECT id, CASE WHEN label = 1 THEN 'anomaly' ELSE 'normal' END AS class FROM decided")
+def csv_job(spark, folder):
+    """Train on a CSV file with a text label, store the job, load it, score a CSV file without one."""
+    path = scratch_path(spark, "csv-job")
+    class_ = F.when(F.col("label") == 1, "anomaly").otherwise("normal").alias("class")
+    rows = _decided(spark, folder).select("id", "event_type", "value", "signal", class_)
+    tables.write_csv(rows, f"{path}/train")
+    tables.write_csv(rows.drop("class"), f"{path}/test")
+    train, test = tables.read_data(spark, f"{path}/train", f"{path}/test")
+    spec = PipelineSpec("Random_forest", rule=None, label="class", formatting="Lebel_encoding", scaling="Minmax_scaler")
+    run_pipeline(train, spec).fitted.save(f"{path}/job")
+    scored = FittedPipeline.load(spark, f"{path}/job").transform(test)
+    # The commoner class is 0.
+    return scored.select("id", F.when(F.col("prediction") == 0, "normal").otherwise("anomaly").alias("class"))
+
+
 # ---------------------------------------------------------------- along time
 
 #: Cuts every user into pieces, as a busy user's log would be.

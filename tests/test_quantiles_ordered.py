@@ -165,3 +165,17 @@ def test_time_order_is_kept(spark):
 
     numbers = [r[0] for r in df.orderBy("t").select(as_number(df, "t")).collect()]
     assert numbers == sorted(set(numbers))
+
+
+@pytest.mark.parametrize("kind,values", [
+    ("bigint", [2**62 + i % 37 for i in range(400)] + [-(2**62)] * 5),
+    ("double", [1e-300 * (i % 41) for i in range(300)] + [1e300, -1e300]),
+])
+def test_exact_without_any_help_of_a_sketch(spark, monkeypatch, kind, values):
+    """Values that no sketch tells apart: their range is halved until few are left."""
+    monkeypatch.setattr(quantiles, "TASK_VALUES", 3)
+    monkeypatch.setattr(quantiles, "_halve", lambda near, searches, kinds: None)
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+    found = quantiles.exact_quantiles(df, ["v"], [0.0, 0.3, 0.5, 0.99, 1.0])["v"]
+    order = sorted(values)
+    assert found == [order[max(1, math.ceil(p * len(order))) - 1] for p in (0.0, 0.3, 0.5, 0.99, 1.0)]
