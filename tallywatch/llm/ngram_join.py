@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.llm import textarrays as ta
-from tallywatch.llm.common import pick, place, positional, ship_code
+from tallywatch.llm.common import bounded, pick, place, positional, ship_code
 from tallywatch.llm.graph import connected_components
 from tallywatch.session import stage
 
@@ -404,6 +404,18 @@ def _paired_blocks(df: DataFrame, blocks: Column) -> DataFrame:
     )
 
 
+def _with_size(rows: DataFrame, name: str, size: Column) -> DataFrame:
+    """``rows`` with the size of their ``component``, 1 at the least.
+
+    Only components above 1 are joined, which are few, so that no component's rows meet in one
+    task; the table of them is broadcast if it was counted to be small.
+    """
+    sizes = rows.groupBy(F.col("component").alias("_c")).agg(size.alias(name)).filter(F.col(name) > 1)
+    large = bounded(stage(sizes, "large-components"))
+    joined = rows.join(large, F.col("component") == F.col("_c"), "left").drop("_c")
+    return joined.withColumn(name, F.coalesce(name, F.lit(1)))
+
+
 def _lowest_row() -> Column:
     """Of a group the row of the lowest ``doc_id``, null before all others, and ``mark``."""
     return F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "mark"))
@@ -471,18 +483,17 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
         "named",
     )
     # Of a component with many n-grams each part goes to another task, with a copy of R.
-    sizes = named.groupBy(F.col("component").alias("_c")).agg(
-        F.ceil(F.sum("n") / join.task_grams).cast("int").alias("parts")
-    )
+    grams = F.ceil(F.sum("n") / join.task_grams).cast("int")
     member = stage(
-        named.join(sizes, F.col("component") == F.col("_c")).select(
+        _with_size(named, "parts", grams).select(
             "component", "parts", F.col("node").alias("digest"), "copies", "copy_id", "copy_mark"
         ),
         "members",
     )
     # A doc_id may be null or stand for several texts: the mark of the text goes with it.
     same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("mark") == F.col("copy_mark"))
-    texts = docs.withColumn("mark", F.xxhash64("text")).join(member, same)
+    # Always by a shuffle: a guess from the size of files would change with the table.
+    texts = docs.withColumn("mark", F.xxhash64("text")).join(member.hint("merge"), same)
     own = F.struct(F.lit(1).alias("kind"), F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part"))
     as_base = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.lit(0).alias("kind"), p.alias("part"))
@@ -502,12 +513,9 @@ def ngram_join(documents: DataFrame, join: Join = Join()) -> DataFrame:
     )
     # A block holds so many texts, or fewer if they differ much.
     hashes = F.ceil(F.sum(F.octet_length("difference")) / (8 * join.block_hashes))
-    weights = differing.groupBy(F.col("component").alias("_c")).agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / join.block), hashes).alias("blocks")
-    )
-    weighed = differing.join(weights, F.col("component") == F.col("_c"))
+    weight = F.greatest(F.ceil(F.count(F.lit(1)) / join.block), hashes).cast("int")
     checked = (
-        _paired_blocks(weighed, F.col("blocks"))
+        _paired_blocks(_with_size(differing, "blocks", weight), F.col("blocks"))
         .select("component", "i", "j", "side", "digest", "copies", "size", "lacking", "base", "difference")
         .repartition(tasks, "component", "i", "j")
         .sortWithinPartitions("component", "i", "j", "digest")
@@ -573,6 +581,6 @@ def one_per_class(documents: DataFrame, join: Join = Join()) -> DataFrame:
     doc, text = f"_{place(columns, 'doc_id')}", f"_{place(columns, 'text')}"
     keyed = positional(documents).withColumn("_key_mark", F.xxhash64(text))
     same = F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_key_mark") == F.col("_mark"))
-    with_words = keyed.join(kept, same, "left_semi").dropDuplicates([doc, "_key_mark"])
+    with_words = keyed.join(kept.hint("merge"), same, "left_semi").dropDuplicates([doc, "_key_mark"])
     none = keyed.join(wordless.distinct(), same, "left_semi")
     return with_words.unionByName(none).drop("_key_mark").toDF(*columns)
