@@ -108,7 +108,8 @@ def _byte_level(blob: bytes) -> Side:
             found[t["id"]] = t["content"].encode()
         table = [found.get(i, b"") for i in range(max(found) + 1)]
         encoder = tokens.library_encoder(blob, plain_specials=True)
-        return Side(encoder.encode, encoder.cut is tokens.pieces_with_spaces, table, (",", "|"))
+        cuts = getattr(encoder, "cut", None) is tokens.pieces_with_spaces
+        return Side(encoder.encode, cuts, table, (",", "|"))
 
     return tokens._once("byte level", blob, make)
 

@@ -171,9 +171,8 @@ def _written(folder: str, layout: Layout, tokenizer, end_id: int, kind: str):
             if part is None:
                 number = batch.column(2)[0].as_py()
                 part = _Part(folder, number, layout, kind, batch.schema.field(0).type)
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.texts(texts)):
-                part.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]).astype(kind))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.arrays(batch.column(1))):
+                part.add(doc_id, np.concatenate([ids, end]).astype(kind))
         files = []
         if part is not None:
             part.close()

@@ -5,6 +5,11 @@ pieces, one after the other. Texts repeat their words, so a task encodes each di
 once and keeps short ones. Whether a tokenizer allows this is read from its file; any
 other one gets whole texts.
 
+A tokenizer that drops white space needs no more of a word than its hash: words of a batch
+are hashed, told apart and put back as arrays, and only words not met before are encoded. Two
+words of one 64-bit hash would get the same ids; among a million words that has a chance of one in
+ten million.
+
 Tokenizer files are read on the driver from a path the caller names and broadcast: their size
 is that of a vocabulary.
 """
@@ -17,12 +22,24 @@ import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+
+from tallywatch.llm import textarrays as ta
+
 #: Bytes or characters of text cut at once.
 SEGMENT = 1 << 20
 
 # The split patterns after which no piece reaches past white space.
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
+LOWER_CASE = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ],
+}
+
 #: Where a text may be cut: before a space that follows something else than white space.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
@@ -125,6 +142,84 @@ class Encoder:
             for pieces in cut:
                 yield b"".join(map(here.__getitem__, pieces))
 
+    def arrays(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column of strings."""
+        texts = column.cast(pa.large_binary()).to_pylist()
+        return (np.frombuffer(ids, "=u4") for ids in self.texts(texts))
+
+
+class WordEncoder:
+    """Ids of texts whose words between ASCII white space have ids of their own.
+
+    ``special`` are strings that are not what their words say: where one occurs, case is kept.
+    The table of words holds some thirty bytes a word, and is emptied at ``kept`` words.
+    """
+
+    def __init__(
+        self,
+        encode: Callable[[list[str]], Iterable[Sequence[int]]],
+        lowers: bool = False,
+        special: Sequence[bytes] = (),
+        kept: int = 3_000_000,
+    ) -> None:
+        self.encode, self.lowers, self.special, self.kept = encode, lowers, special, kept
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[ord("A") : ord("Z") + 1] += 32
+        self._empty()
+
+    def _empty(self) -> None:
+        #: Hashes in order, and of each word where its ids are and how many.
+        self.hashes = np.zeros(0, np.uint64)
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids: list[np.ndarray] = []
+        self.held = 0
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        found = [array("I", ids) for ids in self.encode(words)]
+        count = np.array([len(f) for f in found], np.int64)
+        at = self.held + np.cumsum(count) - count
+        self.ids.append(np.frombuffer(b"".join([f.tobytes() for f in found]), np.uint32))
+        self.held += int(count.sum())
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.at, self.count = np.insert(self.at, place, at), np.insert(self.count, place, count)
+
+    def _segment(self, data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        raw = data.tobytes() if self.lowers else b""
+        if self.lowers and not any(s in raw for s in self.special):
+            data = self.lower[data]
+        start, end, hashes, first = ta.words(data, at)
+        own, place, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(own) > self.kept:
+            self._empty()
+        known = np.searchsorted(self.hashes, own)
+        new = np.ones(len(own), bool)
+        inside = known < len(self.hashes)
+        new[inside] = self.hashes[known[inside]] != own[inside]
+        if new.any():
+            spans = zip(start[place[new]].tolist(), end[place[new]].tolist())
+            raw = data.tobytes()
+            self._learn(own[new], [raw[i:j].decode() for i, j in spans])
+            known = np.searchsorted(self.hashes, own)
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)]
+        slot = known[which]
+        count = self.count[slot]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        if not len(slot):
+            ids = np.zeros(0, np.uint32)
+        else:
+            ids = self.ids[0][np.repeat(self.at[slot] - ends[:-1], count) + np.arange(ends[-1])]
+        bounds = ends[first]
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[i:j]
+
+    def arrays(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column of strings, null as empty."""
+        data, at = ta.layout(column)
+        for i, j in ta.row_groups(at):
+            yield from self._segment(data[at[i] : at[j]], at[i : j + 1] - at[i])
+
 
 def _library_tokenizer(blob: bytes, plain_specials: bool) -> Callable[[list[str]], Iterator[list[int]]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark splits the work
@@ -184,14 +279,15 @@ def _once(kind: str, blob: bytes, make: Callable[[], object]):
     return _loaded[key]
 
 
-def library_encoder(blob: bytes, plain_specials: bool = False) -> Encoder:
+def library_encoder(blob: bytes, plain_specials: bool = False) -> Encoder | WordEncoder:
     """Of a file of the tokenizers library; ``plain_specials`` reads special strings as text."""
 
-    def make() -> Encoder:
+    def make() -> Encoder | WordEncoder:
         encode = _library_tokenizer(blob, plain_specials)
         specification = json.loads(blob)
         if drops_white_space(specification):
-            return Encoder(encode, pieces_without_spaces)
+            special = [t["content"].encode() for t in specification.get("added_tokens") or []]
+            return WordEncoder(encode, specification.get("normalizer") == LOWER_CASE, special)
         if leads_with_space(specification):
             return Encoder(encode, pieces_with_spaces)
         return Encoder(encode, whole)

@@ -53,12 +53,12 @@ def clashing(df):
 def test_pieces_give_the_ids_of_whole_texts(texts, path, plain):
     with open(path, "rb") as file:
         encoder = tokens.library_encoder(file.read(), plain)
-    assert encoder.cut is not tokens.whole
+    assert isinstance(encoder, tokens.WordEncoder) or encoder.cut is not tokens.whole
     plainly = Tokenizer.from_file(path)
     plainly.encode_special_tokens = plain
     own = ODD + [t for _, t in texts] + [" " + (t or "") for t in ODD]
-    for text, ids in zip(own, encoder.texts([t and t.encode() for t in own])):
-        assert np.frombuffer(ids, "<u4").tolist() == plainly.encode(text or "", add_special_tokens=False).ids, text
+    for text, ids in zip(own, encoder.arrays(pa.array(own, pa.string()))):
+        assert ids.tolist() == plainly.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_unknown_tokenizers_get_whole_texts():
@@ -67,6 +67,25 @@ def test_unknown_tokenizers_get_whole_texts():
     assert not tokens.leads_with_space({"pre_tokenizer": {"type": "Metaspace"}})
 
 
+def test_words_are_encoded_once_and_the_table_is_bounded():
+    calls = []
+
+    def encode(words):
+        calls.extend(words)
+        return [[len(w)] * (len(w) % 3) for w in words]
+
+    encoder = tokens.WordEncoder(encode, True, [b"<X>"], kept=50)
+    texts = ["a bb CCC", None, "", "  ", "Bb ccc dddd", "<X> A"]
+    found = [x.tolist() for t in texts for x in encoder.arrays(pa.array([t], pa.string()))]
+    assert found == [[1, 2, 2], [], [], [], [2, 2, 4], [1]]
+    assert sorted(calls) == sorted(["a", "bb", "ccc", "dddd", "<X>", "A"])
+    for i in range(40):
+        text = " ".join(f"w{i}x{k}" + "y" * (k % 3) for k in range(10))
+        expected = [n for w in text.split() for n in [len(w)] * (len(w) % 3)]
+        assert next(encoder.arrays(pa.array([text]))).tolist() == expected
+        assert len(encoder.hashes) <= 50
+
+
 def test_the_cache_of_pieces_is_bounded():
     calls = []
 
