@@ -19,6 +19,7 @@ import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from tallywatch.llm import language, mixing  # noqa: E402
 from tallywatch.llm.queries import ORACLE, QUERIES  # noqa: E402
+from tallywatch.session import stage  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -114,7 +115,7 @@ def test_pipeline_on_odd_tables(spark, documents, tmp_path):
         (7, "another text under the same number " + text[:300], None, "web"), (900, " \n ", "de", "web"),
         (900, " \n ", "de", "web"), (901, "word " * 30_000, "en", "web"),
     ]
-    more = spark.createDataFrame([(*r, r[1] and len(r[1])) for r in odd], rows.schema)
+    more = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in odd], rows.schema)
     folder = str(tmp_path / "odd")
     rows.unionByName(more).withColumn("own", F.lit(1)).coalesce(2).write.parquet(f"{folder}/documents.parquet")
     benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
