@@ -1380,14 +1380,14 @@ DECIDED = {
     "Linear_SVM": {"cleaning": ("Handle_null_values",), "scaling": "MinAbs_scaler"},
     "Linear_regression": {"formatting": "HashingTF_Encoding", "text_slots": 16, "scaling": "MinAbs_scaler"},
 }
-DECIDED_SQL = """
+DECIDED_LOG_SQL = """
 decided AS (
     SELECT event_id AS id, CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INTEGER) AS label
     FROM events)
 """
 
 
-def _decided(spark: SparkSession, folder: str) -> DataFrame:
+def _decided_log(spark: SparkSession, folder: str) -> DataFrame:
     failed = F.col("event_type") == "error"
     return load(spark, folder, "events").select(
         F.col("event_id").alias("id"),
@@ -1400,12 +1400,12 @@ def _decided(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _decided_run(spark: SparkSession, folder: str, name: str) -> PipelineRun:
-    return run_pipeline(_decided(spark, folder), PipelineSpec(name, rule=None, **DECIDED[name]))
+    return run_pipeline(_decided_log(spark, folder), PipelineSpec(name, rule=None, **DECIDED[name]))
 
 
 @query(
     f"""
-    WITH {DECIDED_SQL}
+    WITH {DECIDED_LOG_SQL}
     SELECT model, id, label, label AS prediction
     FROM decided, (VALUES {", ".join(f"('{name}')" for name in DECIDED)}) AS m(model)
     """
@@ -1423,7 +1423,7 @@ def run_pipeline_decided(spark, folder):
 
 @query(
     f"""
-    WITH {DECIDED_SQL},
+    WITH {DECIDED_LOG_SQL},
     held AS (
         SELECT CAST(label AS DOUBLE) AS y FROM decided
         WHERE CAST('0x' || SUBSTR(md5(CAST(id AS VARCHAR)), 1, 6) AS INTEGER) % 10 >= 8)
@@ -1446,12 +1446,12 @@ def run_pipeline_metrics(spark, folder):
     return reduce(DataFrame.unionByName, rows)
 
 
-@query(f"WITH {DECIDED_SQL} SELECT id, CASE WHEN label = 1 THEN 'anomaly' ELSE 'normal' END AS class FROM decided")
+@query(f"WITH {DECIDED_LOG_SQL} SELECT id, CASE WHEN label = 1 THEN 'anomaly' ELSE 'normal' END AS class FROM decided")
 def csv_job(spark, folder):
     """Train on a CSV file with a text label, store the job, load it, score a CSV file without one."""
     path = scratch_path(spark, "csv-job")
     class_ = F.when(F.col("label") == 1, "anomaly").otherwise("normal").alias("class")
-    rows = _decided(spark, folder).select("id", "event_type", "value", "signal", class_)
+    rows = _decided_log(spark, folder).select("id", "event_type", "value", "signal", class_)
     tables.write_csv(rows, f"{path}/train")
     tables.write_csv(rows.drop("class"), f"{path}/test")
     train, test = tables.read_data(spark, f"{path}/train", f"{path}/test")

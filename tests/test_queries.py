@@ -1,7 +1,10 @@
 """Every registered query: its SQL on DuckDB, or a stable result of the right size."""
 
+import ast
+import inspect
 import os
 import sys
+from collections import Counter
 
 import pytest
 
@@ -57,3 +60,22 @@ def test_entry(spark):
 def test_sql_has_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())
+
+
+def test_catalog_names_are_used_once():
+    """A query that looks up a helper by its name must not get a later one of that name."""
+    names = Counter()
+    for part in ast.parse(inspect.getsource(catalog)).body:
+        if isinstance(part, ast.FunctionDef | ast.ClassDef):
+            names[part.name] += 1
+        elif isinstance(part, ast.Assign):
+            names.update(t.id for t in part.targets if isinstance(t, ast.Name))
+    assert [n for n, found in names.items() if found > 1] == []
+
+
+@pytest.mark.parametrize("name", ["fit_forest", "fit_svm"])
+def test_models_of_a_deciding_feature(spark, name):
+    """Every event is scored as its type decides, whatever other queries call their rows."""
+    result = catalog.QUERIES[name](spark, FOLDER)
+    assert result.columns == ["event_id", "label", "prediction"]
+    assert result.count() == 1000 and result.filter("prediction <> label").count() == 0
