@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -113,23 +114,27 @@ def _all(conditions: Sequence[Column]) -> Column:
 
 # ---------------------------------------------------------------- interval overlap
 
-#: Each level's buckets are so many times as wide as those of the level below.
+#: The intervals of a level are up to so many times as long as those of the level below, and
+#: as its buckets are wide.
 GROWTH = 4
 
+#: A side of a full bucket is dealt to so many tasks at most, or to more if the other side,
+#: which every one of them needs, is so much smaller: copies stay in proportion to the rows.
+PARTS = 8
+
 
 def _level(length: Column) -> Column:
-    """The lowest level whose buckets are at least as wide as ``length`` ticks."""
+    """The lowest level whose intervals may be ``length`` ticks long."""
     level = F.lit(0)
-    width = 1
+    longest = 1
     for i in range(1, 32):
-        level = F.when(length > width, i).otherwise(level)
-        width *= GROWTH
+        level = F.when(length > longest, i).otherwise(level)
+        longest *= GROWTH
     return level
 
 
-def _width(level: Column) -> Column:
-    widths = F.array(*[F.lit(GROWTH**i).cast("bigint") for i in range(32)])
-    return F.element_at(widths, level + 1)
+def _width(level: int) -> int:
+    return GROWTH ** max(level - 1, 0)
 
 
 def _down(value: Column, width: Column) -> Column:
@@ -138,36 +143,43 @@ def _down(value: Column, width: Column) -> Column:
 
 
 def _bucketed(rows: DataFrame, levels: list[int], home: bool) -> DataFrame:
-    """Rows in the buckets they touch, two at most: of their own level, or of each higher one."""
-    own = _level(F.col("_to") - F.col("_from"))
-    if home:
-        leveled = rows.withColumn("_level", own)
-    else:
-        known = F.array(*[F.lit(i) for i in levels]).cast("array<int>")
-        above = F.filter(known, lambda i: i > own)
-        leveled = rows.withColumn("_level", F.explode(above))
-    width = _width(F.col("_level"))
+    """Intervals in the buckets they touch at their own level, or in which they begin at ``levels``."""
+    if not home:
+        widths = {i: F.lit(_width(i)).cast("bigint") for i in levels}
+        begins = [
+            F.struct(F.lit(i).alias("_level"), _down(F.col("_from"), w).alias("_bucket"))
+            for i, w in widths.items()
+        ]
+        return rows.select("*", F.inline(F.array(*begins)))
+    leveled = rows.withColumn("_level", _level(F.col("_to") - F.col("_from")))
+    widths = F.array(*[F.lit(_width(i)).cast("bigint") for i in range(32)])
+    width = F.element_at(widths, F.col("_level") + 1)
     first, last = _down(F.col("_from"), width), _down(F.col("_to"), width)
     return leveled.withColumn("_bucket", F.explode(F.sequence(first, last)))
 
 
-def _met(left: DataFrame, right: DataFrame, keys: list[str], task_rows: int) -> DataFrame:
-    """Pairs that share a bucket and overlap, each once; a full bucket is a grid of tasks."""
+def _met(points: DataFrame, intervals: DataFrame, keys: list[str], task_rows: int, strict: bool) -> DataFrame:
+    """Pairs of a row of ``points`` that begins in one of ``intervals``; a full bucket is a grid of tasks.
+
+    A row begins in one bucket of a level, so a pair is met once. ``strict`` leaves out those
+    that begin together.
+    """
     place = [*keys, "_level", "_bucket"]
-    sides = []
-    for side in (left, right):
-        counts = side.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
-        sides.append(counts.filter(F.col("_n") > task_rows))
-    parts = F.ceil(F.col("_n") / task_rows).cast("int")
-    none = F.lit(1)
+    yes, no = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     full = (
-        sides[0].select(*place, parts.alias("_l"), none.alias("_r"))
-        .unionByName(sides[1].select(*place, none.alias("_l"), parts.alias("_r")))
+        points.select(*place, yes.alias("_p"), no.alias("_i"))
+        .unionByName(intervals.select(*place, no.alias("_p"), yes.alias("_i")))
         .groupBy(*[F.col(n).alias("_full" + n) for n in place])
-        .agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
-    )
+        .agg(F.sum("_p").alias("_p"), F.sum("_i").alias("_i"))
+        .filter((F.least("_p", "_i") > 0) & (F.greatest("_p", "_i") > task_rows))
+    )
+
+    def parts(own: str, other: str) -> Column:
+        most = F.greatest(F.lit(PARTS), F.ceil(F.col(own) / F.col(other)))
+        return F.least(F.ceil(F.col(own) / task_rows), most).cast("int")
+
     # A full bucket has more than task_rows rows, so these are few.
-    full = stage(full, "full-buckets")
+    full = stage(full.withColumns({"_p": parts("_p", "_i"), "_i": parts("_i", "_p")}), "full-buckets")
     grid = broadcast_if_few(full)
     met = _all([F.col(n) == F.col("_full" + n) for n in place])
 
@@ -177,17 +189,20 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str], task_rows: int) ->
         all_parts = F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
         return joined.withColumn(f"_part{own}", part).withColumn(f"_part{other}", F.explode(all_parts))
 
-    if full.isEmpty():
-        on = place
-    else:
-        left, right = dealt(left, "_l", "_r"), dealt(right, "_r", "_l")
-        on = [*place, "_part_l", "_part_r"]
-    a = left.select(*on, F.col("_from").alias("_a"), F.col("_to").alias("_b"), F.col("_row").alias("_left"))
-    b = right.select(*on, F.col("_from").alias("_c"), F.col("_to").alias("_d"), F.col("_row").alias("_right"))
-    overlap = (F.col("_a") <= F.col("_d")) & (F.col("_c") <= F.col("_b"))
-    # Both touch the bucket in which the later of them begins: there the pair counts.
-    here = _down(F.greatest("_a", "_c"), _width(F.col("_level"))) == F.col("_bucket")
-    return a.hint("merge").join(b, on).filter(overlap & here).select("_left", "_right")
+    on = place
+    if not full.isEmpty():
+        points, intervals = dealt(points, "_p", "_i"), dealt(intervals, "_i", "_p")
+        on = [*place, "_part_p", "_part_i"]
+
+    def values(side: DataFrame) -> list[str]:
+        return [n for n in side.columns if n.startswith(("_left_", "_right_"))]
+
+    # The points pass by; a task holds the intervals of one bucket, or of a part of it.
+    a = points.select(*on, F.col("_from").alias("_at"), *values(points))
+    b = intervals.select(*on, "_from", "_to", *values(intervals))
+    begun = F.col("_from") < F.col("_at") if strict else F.col("_from") <= F.col("_at")
+    met_in = a.hint("merge").join(b, on).filter(begun & (F.col("_at") <= F.col("_to")))
+    return met_in.select(*values(points), *values(intervals))
 
 
 def interval_join(
@@ -206,38 +221,48 @@ def interval_join(
     Columns of ``key`` must be equal. A null end, a null key or an end before its begin
     matches nothing.
 
-    An interval lies in the buckets of its own length's level, where it touches at most
-    two, and is looked up in the buckets of the longer levels that the other side has. So a long
-    interval is never cut into many, and a short one is never compared with what is far
-    away. A pair is met in up to two buckets and kept in one. A bucket with more than
-    ``task_rows`` rows of a side is dealt to several tasks.
+    Two intervals overlap if one begins within the other. So the rows of each side are looked up,
+    by their begin alone, among the intervals of the other; rows that begin together count on the
+    left. An interval lies in the buckets of its own length's level, where it touches
+    ``GROWTH + 1`` at most, and a begin in one bucket of each level that the other side
+    has. So a long interval is never cut into many, a short one is never compared with what
+    is far away, and a pair is met once. A bucket with more than ``task_rows`` rows of a side
+    is dealt to several tasks; the copies that this needs stay in proportion to the rows.
     """
     keys = [f"_key_{i}" for i in range(len(key))]
     sides = []
-    for df, (begin, end), names in (
-        (left, left_ends, left.columns),
-        (right, right_ends, list(take)),
+    for df, (begin, end), names, side in (
+        (left, left_ends, left.columns, "_left"),
+        (right, right_ends, list(take), "_right"),
     ):
-        row = F.struct(*[c(n).alias(f"_{i}") for i, n in enumerate(names)])
         rows = df.select(
             *[c(n).alias(k) for n, k in zip(key, keys)],
             ticks(df, begin).alias("_from"),
             ticks(df, end).alias("_to"),
-            row.alias("_row"),
+            *[c(n).alias(f"{side}_{i}") for i, n in enumerate(names)],
         ).filter(F.col("_from") <= F.col("_to"))
         # Read several times, and its rows numbered: equal ones may go to different tasks.
-        rows = stage(rows.withColumn("_id", F.monotonically_increasing_id()), "intervals")
-        levels = rows.select(_level(F.col("_to") - F.col("_from")).alias("l")).distinct().collect()
-        sides.append((rows, sorted(r[0] for r in levels)))  # 32 levels at most
-    (a, a_levels), (b, b_levels) = sides
-    a_home, b_home = _bucketed(a, [], True), _bucketed(b, [], True)
-    pairs = _met(a_home, b_home, keys, task_rows)
-    pairs = pairs.unionByName(_met(_bucketed(a, b_levels, False), b_home, keys, task_rows))
-    pairs = pairs.unionByName(_met(a_home, _bucketed(b, a_levels, False), keys, task_rows))
-    return pairs.select(
-        *[F.col(f"_left._{i}").alias(n) for i, n in enumerate(left.columns)],
-        *[F.col(f"_right._{i}").alias(new) for i, new in enumerate(take.values())],
-    )
+        sides.append(stage(rows.withColumn("_id", F.monotonically_increasing_id()), "intervals"))
+
+    def begun_in(points: DataFrame, intervals: DataFrame, strict: bool) -> DataFrame | None:
+        found = intervals.select(_level(F.col("_to") - F.col("_from")).alias("l")).distinct().collect()
+        levels = sorted(r[0] for r in found)  # 32 at most
+        if not levels:
+            return None
+        begins = _bucketed(points, levels, False)
+        return _met(begins, _bucketed(intervals, [], True), keys, task_rows, strict)
+
+    a, b = sides
+    # Nothing begins later than a point and within it.
+    both = (begun_in(a, b, False), begun_in(b, a.filter("_from < _to"), True))
+    met = [part for part in both if part is not None]
+    wanted = [
+        *[F.col(f"_left_{i}").alias(n) for i, n in enumerate(left.columns)],
+        *[F.col(f"_right_{i}").alias(new) for i, new in enumerate(take.values())],
+    ]
+    if not met:
+        return a.join(b, a["_id"] == b["_id"]).filter(F.lit(False)).select(*wanted)
+    return reduce(DataFrame.unionByName, [part.select(*wanted) for part in met])
 
 
 # ---------------------------------------------------------------- sessions

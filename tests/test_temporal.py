@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.operators import grouping, temporal
 from tallywatch.operators.pieces import Cut, cut_busy, span, ticks
+from tallywatch.session import stage
 
 SCHEMA = "id int, user string, at bigint, kind string, value int"
 CUTS = [Cut(), Cut(5, 7), Cut(1, 3)]
@@ -127,6 +128,24 @@ def test_long_intervals_touch_few_buckets(spark):
     assert empty.count() == 0
 
 
+def test_copies_of_a_full_bucket_stay_in_proportion(spark, monkeypatch):
+    """300 intervals at one time, three to a task, are not copied 100 times each."""
+    grids = []
+
+    def staged(df, name, **options):
+        found = stage(df, name, **options)
+        if name == "full-buckets":
+            grids.append(found)
+        return found
+
+    monkeypatch.setattr(temporal, "stage", staged)
+    rows = spark.createDataFrame([(i, i, 1000 + i) for i in range(300)], "id int, a bigint, b bigint")
+    found = temporal.interval_join(rows, rows, ("a", "b"), ("a", "b"), {"id": "other"}, task_rows=3)
+    assert found.distinct().count() == found.count() == 300 * 300
+    parts = [v for g in grids for r in g.collect() for n, v in r.asDict().items() if not n.startswith("_full")]
+    assert max(parts) == temporal.PARTS
+
+
 # ---------------------------------------------------------------- sessions
 
 
