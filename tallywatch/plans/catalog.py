@@ -1563,10 +1563,9 @@ def bursts(spark: SparkSession, folder: str, hours: int) -> DataFrame:
 def interval_join(spark, folder):
     """Events that fall into other users' bursts of failures."""
     take = {"user_id": "burst_user", "started": "burst_started", "events": "burst_events"}
-    met = temporal.interval_join(
-        load(spark, folder, "events"), bursts(spark, folder, 2), ("ts", "ts"), ("started", "ended"), take
-    ).filter("user_id <> burst_user")
-    return in_micros(met, "burst_started").select("event_id", "user_id", *take.values())
+    others = in_micros(bursts(spark, folder, 2), "started", "ended")
+    met = temporal.interval_join(load(spark, folder, "events"), others, ("ts", "ts"), ("started", "ended"), take)
+    return met.filter("user_id <> burst_user").select("event_id", "user_id", *take.values())
 
 
 @query(
@@ -1581,14 +1580,12 @@ def interval_join(spark, folder):
 )
 def interval_join_segmented(spark, folder):
     """Bursts of two users at one time, with full buckets dealt to several tasks."""
-    own = bursts(spark, folder, 6)
+    own = stage(in_micros(bursts(spark, folder, 6), "started", "ended"), "bursts")
     take = {"user_id": "other_user", "started": "other_started", "ended": "other_ended"}
     ends = ("started", "ended")
     met = temporal.interval_join(own, own, ends, ends, take, task_rows=3).filter("user_id < other_user")
     shared = F.least("ended", "other_ended") - F.greatest("started", "other_started")
-    return in_micros(met, "started", "ended", "other_started", "other_ended").select(
-        "user_id", "started", "other_user", "other_started", shared.alias("micros")
-    )
+    return met.select("user_id", "started", "other_user", "other_started", shared.alias("micros"))
 
 
 RANGE_FRAME_SQL = """

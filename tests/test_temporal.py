@@ -146,6 +146,17 @@ def test_copies_of_a_full_bucket_stay_in_proportion(spark, monkeypatch):
     assert max(parts) == temporal.PARTS
 
 
+def test_points_and_intervals_meet_in_one_join(spark):
+    """Points begin in intervals, never the other way round; what nobody wants is not read."""
+    kind = "id int, k string, a bigint, b bigint"
+    rows = spark.createDataFrame(made_intervals(4, 50, 9), kind)
+    found = temporal.interval_join(rows, rows, ("a", "a"), ("a", "b"), {"id": "other"}).select("id", "other")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert scans and not any("string" in line for line in scans)
+
+
 # ---------------------------------------------------------------- sessions
 
 
