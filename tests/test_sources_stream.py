@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallywatch import session
 from tallywatch.operators.sequence import SequenceRule, consecutive_failures
+from tallywatch.plans import catalog
 from tallywatch.sources import tables
 from tallywatch.streaming import login_stream
 
@@ -167,6 +168,27 @@ def test_late_rows_and_rows_without_time_are_left_out(spark):
     assert [(r.user, r.id, r.micros) for r in found] == [("a", 9, 5_000_000_000)]
 
 
+def test_stream_query_labels_every_event(spark, tmp_path):
+    """Also those of the last hour, without a time or a user, early ones, and other types."""
+    rnd = random.Random(12)
+    rows = [
+        (i, None if rnd.random() < 0.1 else i * 60 - 3000, rnd.choice([1, 1, 2, None]),
+         rnd.choice(["error", "error", "error", "purchase", "click", None]), 1.0)
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(rows, "event_id bigint, s bigint, user_id bigint, event_type string, value double")
+    log = df.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s")
+    log.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog.QUERIES["consecutive_failures_stream"](spark, str(tmp_path))
+    assert found.columns == ["event_id", "user_id", "event_type", "label"]
+    runs, expected = {}, []
+    for i, _, user, kind, _ in rows:
+        runs[user] = 0 if kind == "purchase" else runs.get(user, 0) + (kind == "error")
+        expected.append((i, user, kind, int(kind == "error" and runs[user] >= 3)))
+    assert sorted(map(tuple, found.collect())) == expected
+    assert sum(r[3] for r in expected[-60:]) > 5
+
+
 def test_a_window_of_no_rows(spark):
     folder = session.scratch_path(spark, "none")
     stream_rows(spark, []).write.parquet(folder + "/input")
