@@ -1248,15 +1248,23 @@ FROM events
 
 def _decided(spark: SparkSession, folder: str) -> DataFrame:
     failed = (F.col("event_type") == "error").cast("int")
-    rows = events(spark, folder).select(
-        "event_id", failed.alias("failed"), "value", failed.alias("label")
+    rows = events(spark, folder).filter("event_type is not null").select(
+        "event_id", failed.alias("failed"), F.coalesce("value", F.lit(0.0)).alias("value"), failed.alias("label")
     )
     return encode.assemble(rows, exclude=("event_id", "label"))
 
 
+def _undecided(spark: SparkSession, folder: str) -> DataFrame:
+    """Events without a type have no label, and no model says one."""
+    return events(spark, folder).filter("event_type is null").select(
+        "event_id", F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("prediction")
+    )
+
+
 @query(DECIDED_SQL)
 def fit_forest(spark, folder):
-    return model.fit_forest(_decided(spark, folder)).select("event_id", "label", "prediction")
+    scored = model.fit_forest(_decided(spark, folder)).select("event_id", "label", "prediction")
+    return scored.unionByName(_undecided(spark, folder))
 
 
 @query(DECIDED_SQL)
@@ -1265,7 +1273,7 @@ def fit_svm(spark, folder):
     rows = stage(_decided(spark, folder), "decided")
     even = balancing.balance(rows, "label", "event_id", 1.0)
     scored = model.fit(even, model.svm()).transform(rows)
-    return scored.select("event_id", "label", "prediction")
+    return scored.select("event_id", "label", "prediction").unionByName(_undecided(spark, folder))
 
 
 @query(
@@ -1285,7 +1293,10 @@ def model_round_trip(spark, folder):
     both = model.load_and_score(path, fitted.transform(rows).select("event_id", "features",
                                 F.col("prediction").alias("fitted")))
     differ = F.sum((F.col("Threat") != F.col("fitted")).cast("bigint")).alias("mismatches")
-    return both.groupBy("Threat").agg(F.count(F.lit(1)).alias("count"), differ)
+    none = _undecided(spark, folder).groupBy(F.col("prediction").alias("Threat")).agg(
+        F.count(F.lit(1)).alias("count"), F.lit(0).cast("bigint").alias("mismatches")
+    )
+    return both.groupBy("Threat").agg(F.count(F.lit(1)).alias("count"), differ).unionByName(none)
 
 
 # -------------------------------------------------------------- whole jobs

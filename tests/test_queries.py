@@ -79,3 +79,18 @@ def test_models_of_a_deciding_feature(spark, name):
     result = catalog.QUERIES[name](spark, FOLDER)
     assert result.columns == ["event_id", "label", "prediction"]
     assert result.count() == 1000 and result.filter("prediction <> label").count() == 0
+
+
+def test_models_of_events_with_nulls(spark, tmp_path):
+    """An event without a type has no prediction, one without a value has."""
+    kinds = ["error", "click", None, "view"]
+    rows = [(i, i % 5, kinds[i % 4], None if i % 7 == 0 else float(i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double")
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    expected = {i: None if kind is None else int(kind == "error") for i, _, kind, _ in rows}
+    for name in ("fit_forest", "fit_svm"):
+        found = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(found) == 120 and {r.event_id: r.label for r in found} == expected
+        assert {r.event_id: r.prediction for r in found} == expected
+    counts = catalog.QUERIES["model_round_trip"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in counts} == {(None, 30, 0), (0.0, 60, 0), (1.0, 30, 0)}
